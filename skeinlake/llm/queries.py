@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, sentencepiece_codec, token_output
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
+    "op6_token_output": token_output.op6_token_output,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
