@@ -28,6 +28,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,23 +51,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Uncut(Exception):
-    pass
+#: Chunks of these two kinds of characters are two pre-tokens at most: letters (with the space before them), punctuation.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]*)([!-/:-@\[-`{-~]*)")
 
 
-class _Chunks(dict):
-    """chunk -> bytes of its ids (uint32, little-endian); ``encode`` fills in what is missing."""
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a letter: printable Latin-1 as it is, the others from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
 
-    def __missing__(self, chunk: str):
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Uncut
-        raise KeyError(chunk)
+
+def _sound(part: str) -> bool:
+    return bool(part) and not part[0].isspace() and not part[-1].isspace()
 
 
 class ChunkEncoder:
-    """Encodes whole texts by remembered chunks. Forgets all chunks at ``limit``, so memory is bounded."""
+    """Encodes whole texts by remembered chunks. Forgets all chunks at ``limit``, so memory is bounded.
+
+    Plain chunks go to the library's BPE model as the pre-tokens they are;
+    whatever else is in a text goes through the library's whole pipeline.
+    """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -75,31 +82,60 @@ class ChunkEncoder:
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
         self.limit = limit
-        self.after = _Chunks()  # what follows a space, which is part of it
+        self.code = "H" if self.t.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = "<u2" if self.code == "H" else "<u4"
+        self.after: dict[str, bytes] = {}  # what follows a space, which is part of it
+        self.marks: dict[str, bytes] = {}  # punctuation behind letters
+        self.letters = _byte_letters()
+        self.newline = self.raw(["\n"])[0]
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain(self, part: str, space: str) -> bytes | None:
+        found = _PLAIN.fullmatch(part)
+        if not found:
+            return None
+        word, tail = found.groups()
+        if not word:  # the space belongs to the punctuation
+            return self.raw([space + tail])[0]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = array(self.code, [x.id for x in self.t.model.tokenize("Ġ" + word if space else word)]).tobytes()
+        if not tail:
+            return ids
+        if tail not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[tail] = self.raw([tail])[0]
+        return ids + self.marks[tail]
+
+    def part(self, part: str) -> bytes:
+        """ids of a space and a part that neither begins nor ends with white space."""
+        ids = self._plain(part, " ")
+        if ids is None and "\n" in part:
+            lines = part.split("\n")  # a newline between other characters is a pre-token of its own
+            if all(map(_sound, lines)):
+                each = [self._plain(x, "" if k else " ") for k, x in enumerate(lines)]
+                ids = None if None in each else self.newline.join(each)
+        return self.raw([" " + part])[0] if ids is None else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        heads, tails, missing = [], [], set()
+        heads, tails = [], []
+        known = self.after
+        if len(known) > self.limit:
+            known.clear()
         for text in texts:
             parts = text.split(" ")
-            if text[:1].isspace() or not all(map(self._sound, parts)):
+            new = set(parts[1:]).difference(known)
+            if text[:1].isspace() or not all(map(_sound, new)) or parts[0][-1:].isspace() or not parts[0]:
                 parts = _CUT.split(text)
+                new = set(parts[1:]).difference(known)
+            for x in new:
+                known[x] = self.part(x)
             heads.append(parts[0])
-            tails.append(parts[1:])
-        if len(self.after) > self.limit:
-            self.after.clear()
-        for parts in tails:
-            missing.update(parts)
-        missing = [x for x in missing if x not in self.after]
-        self.after.update(zip(missing, self.raw([" " + x for x in missing]), strict=True))
-        get = self.after.__getitem__
-        return [head + b"".join(map(get, tail)) for head, tail in zip(self.raw(heads), tails, strict=True)]
-
-    @staticmethod
-    def _sound(part: str) -> bool:
-        return bool(part) and not part[0].isspace() and not part[-1].isspace()
+            tails.append(b"".join(map(known.__getitem__, parts[1:])))
+        return [head + tail for head, tail in zip(self.raw(heads), tails, strict=True)]
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -113,11 +149,11 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc, h, ids): ids as little-endian uint32, the end id last."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(doc, h, ids): little-endian ids of two bytes (four, if the vocabulary needs them), the end id last."""
 
     def run(it):
         coder = encoder(path)
+        end = np.array([end_id], coder.dtype).tobytes()
         for b in it:
             for at in range(0, b.num_rows, 500):
                 s = b.slice(at, 500)
@@ -175,14 +211,15 @@ def read_block(payload: bytes, id_of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return docs, counts, id_of[unpack(body[:n_control], body[n_control:], n)]
 
 
-def rank_table(tokens: DataFrame) -> DataFrame:
+def rank_table(tokens: DataFrame, path: str) -> DataFrame:
     """(rank, id): ids by falling count over the whole corpus, ties by id. A row for each id that occurs."""
 
     def count(it):
+        kind = encoder(path).dtype
         total = np.zeros(0, np.int64)
         for b in it:
             for ids in b.column("ids"):
-                c = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+                c = np.bincount(np.frombuffer(ids.as_buffer(), kind))
                 if len(c) > len(total):
                     c[: len(total)] += total
                     total = c
@@ -197,8 +234,9 @@ def rank_table(tokens: DataFrame) -> DataFrame:
 
 def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Write the blocks of ``docs`` under ``to``/blocks and the rank table under ``to``/ranks."""
-    tokens = staged(encoded(docs, path or tokenizer_path(), end_id), "tokens")
-    ids = np.array([r.id for r in rank_table(tokens).collect()], np.uint32)  # as many as the vocabulary has, at most
+    path = path or tokenizer_path()
+    tokens = staged(encoded(docs, path, end_id), "tokens")
+    ids = np.array([r.id for r in rank_table(tokens, path).collect()], np.uint32)  # as many as the vocabulary has, at most
     spark = docs.sparkSession
     spark.createDataFrame([(k, int(x)) for k, x in enumerate(ids)], "rank int, id bigint").coalesce(1).write.parquet(f"{to}/ranks")
     rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
@@ -209,6 +247,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        kind = encoder(path).dtype
         own: list[int] = []
         pieces: list[np.ndarray] = []
         size = before = 0
@@ -221,7 +260,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
         for b in it:
             for doc, x in zip(b.column("doc").to_pylist(), b.column("ids"), strict=True):
                 own.append(doc)
-                pieces.append(np.frombuffer(x.as_py(), "<u4"))
+                pieces.append(np.frombuffer(x.as_py(), kind))
                 size += len(pieces[-1])
                 if size >= BLOCK_IDS:
                     yield flush()

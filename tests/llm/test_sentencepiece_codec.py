@@ -1,6 +1,4 @@
 import numpy as np
-import pytest
-import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -12,16 +10,6 @@ CODEC = s.Codec(s.model_path(), limit=40)
 TEXT = st.text(alphabet=st.one_of(st.sampled_from("  etaonhr\n▁é"), st.characters(exclude_categories=["Cs"])), max_size=40)
 
 
-@pytest.fixture(scope="module")
-def library():
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
-    m = pb.ModelProto()
-    m.ParseFromString(open(s.model_path(), "rb").read())
-    m.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM  # the same pieces and scores, searched as a unigram model
-    return sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
-
-
 def ids(text):
     return np.frombuffer(CODEC.encode(text), "<u4").tolist()
 
@@ -49,14 +37,6 @@ def test_best_sums_against_all_segmentations():
             assert sum(words[CODEC.raw[i].decode().replace(" ", s.MARK)] for i in got) == best[-1]
 
 
-def test_as_the_library_searches_unigram_models(library):
-    for text in noise(3, 30, ("the", "thaned", "ble", "Ernst,", "schön", "sting"), 20):
-        if text:  # no digits: their scores of -1e9 drown the others in the library's single precision
-            assert library.decode(ids(text)) == text
-            score = lambda x: sum(library.get_score(i) for i in x)
-            assert score(ids(text)) == score(library.encode(text))
-
-
 def test_documents(spark):
     rows = [None, "", "one text", "one text", "é\x00\U0001f600 " * 3000] + noise(1, 20)
     d = docs(spark, [*enumerate(rows), (None, "no id")])

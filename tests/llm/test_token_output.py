@@ -23,7 +23,12 @@ CODER = t.ChunkEncoder(t.tokenizer_path(), limit=50)
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'’sat1é \u0085 \x1c<|"), st.characters(exclude_categories=["Cs"])), max_size=30), max_size=4))
 def test_chunks_encode_as_whole_texts(texts):
-    assert [np.frombuffer(x, "<u4").tolist() for x in CODER.encode(texts)] == whole(texts)
+    assert [np.frombuffer(x, CODER.dtype).tolist() for x in CODER.encode(texts)] == whole(texts)
+
+
+def test_plain_chunks_encode_as_whole_texts():
+    texts = noise(5, 50, ("to.\nErtion", "don't", "été,", "ɏß", "x", "--", "a--b", "THE!!", "ab\n", "\nab", "ab\n\ncd", "7", "'s", "ab's'"), 30)
+    assert [np.frombuffer(x, CODER.dtype).tolist() for x in CODER.encode(texts)] == whole(texts)
 
 
 @settings(max_examples=100, deadline=None)
