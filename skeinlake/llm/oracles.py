@@ -1,3 +1,35 @@
 """DuckDB SQL for the corpus queries that SQL can express on whole tables."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .secret_scan import COPIED, KINDS
+
+
+def _secrets() -> str:
+    parts = []
+    for number, (kind, (pattern, group, least)) in enumerate(KINDS.items()):
+        p = pattern.replace("'", "''")
+        parts.append(f"""
+        SELECT doc_id, source, {number} AS kind, len(m[i]) AS size, s[i] AS secret, {least} AS least,
+               CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0) AS BIGINT) AS start
+        FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (
+            SELECT doc_id, source, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS s, string_split_regex(text, '{p}') AS g FROM documents))""")
+    names = "CASE kind " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(KINDS)) + " END"
+    spell = f"{names} || ':' || start || ':' || (start + size)"
+    return f"""
+    WITH f AS (SELECT * FROM ({" UNION ALL ".join(parts)}) WHERE len(secret) >= least
+        AND (kind < 3 OR (regexp_matches(secret, '[A-Z]') AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[0-9]')))),
+    o AS (SELECT secret, count(DISTINCT source) AS owners FROM f GROUP BY secret),
+    j AS (SELECT f.*, owners FROM f JOIN o USING (secret) WHERE kind < 3 OR owners = 1),
+    d AS (SELECT doc_id,
+        count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        sha256(coalesce(string_agg({spell}, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+        string_agg({spell}, ',' ORDER BY start, kind) AS spans,
+        count(*) FILTER (owners = 1) AS n_owned, count(*) FILTER (owners >= {COPIED}) AS n_copied
+        FROM j GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+        coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied
+    FROM documents LEFT JOIN d USING (doc_id)"""
+
+
+ORACLES: dict[str, str] = {"op1_secret_scan": _secrets()}
