@@ -82,6 +82,10 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "source
     return placed.where(keep).select("doc", "h", "kind", "start", "end", F.xxhash64(s, F.length(s)).alias("secret_hash"), "owner", "repository")
 
 
+def _of(kind: str):
+    return lambda x: x["kind"] == list(KINDS).index(kind)
+
+
 def ownership(found: DataFrame) -> DataFrame:
     """secret_hash, n_owners, n_repositories over the whole corpus."""
     repos = found.select("secret_hash", "owner", "repository").distinct()
@@ -108,7 +112,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "source") ->
     count = lambda test: F.size(F.filter("s", test)).cast("bigint")
     return out.select(
         "doc_id",
-        *(count(lambda x, k=k: x["kind"] == list(KINDS).index(k)).alias(f"n_{k}") for k in BASE),
+        *(count(_of(k)).alias(f"n_{k}") for k in BASE),
         F.sha2(spell(F.filter("s", lambda x: x["kind"] < token)), 256).alias("base_sha256"),
         spell(F.col("s")).alias("spans"),
         count(lambda x: x["owned"]).alias("n_owned"),
