@@ -32,4 +32,14 @@ def _secrets() -> str:
     FROM documents LEFT JOIN d USING (doc_id)"""
 
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _secrets()}
+_REPEATS = """
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, s, array_to_string(w[s:s+19], ' ') AS t FROM (SELECT *, unnest(generate_series(1, len(w) - 19)) AS s FROM d)),
+r AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS n FROM v) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p FROM r),
+x AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+    sha256(coalesce(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda y, i: NOT list_contains(ps, i)), ' ') END, '')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op1_secret_scan": _secrets(), "op3_substring_dedup": _REPEATS}
