@@ -42,4 +42,18 @@ SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n, 0) AS
     sha256(coalesce(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda y, i: NOT list_contains(ps, i)), ' ') END, '')) AS kept_sha256
 FROM d LEFT JOIN x USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op1_secret_scan": _secrets(), "op3_substring_dedup": _REPEATS}
+_LINKS = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, t FROM (
+    SELECT doc_id, array_to_string(w[i:i+4], ' ') AS t FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS i FROM d)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 75 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(id, far) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.far)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(far) FROM r WHERE r.id = d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id)"""
+
+ORACLES: dict[str, str] = {
+    "op8_jaccard_join": _LINKS,
+    "op1_secret_scan": _secrets(), "op3_substring_dedup": _REPEATS}

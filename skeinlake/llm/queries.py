@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity
+from . import decontaminate, jaccard_join, language_id, line_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_language_id": language_id.op2_language_id,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_token_output": token_output.op6_token_output,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
