@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity
+from . import ann, decontaminate, jaccard_join, language_id, line_dedup, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_token_output": token_output.op6_token_output,
+    "op7_nearest": ann.op7_nearest,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_decontaminate": decontaminate.op10_decontaminate,
