@@ -1,17 +1,24 @@
 """N-gram Jaccard join with vertical partitioning, and the groups it makes.
 
-Global order: shingles by 64-bit hash, but those counted ``hot`` come last (the
-counts are sums over batches in which a shingle occurs twice or more, a lower
-bound; any global order is right, a good one only saves work). At most
-2**19 shingles can be hot, which bounds the broadcast.
+One pass over the texts leaves each document's size and ``low`` part: its
+shingles of the lowest ``LOW`` of the hash space, and further ones if the prefix
+needs them.
+
+Global order: the low part of the hash space first, by hash, but those counted
+``hot`` behind the others of it (the counts are sums over batches in which a
+shingle occurs twice or more, a lower bound; any global order is right, a good
+one only saves work); then the rest by hash. At most 2**19 shingles can be hot,
+which bounds the broadcast.
 
 Candidates: two sets of similarity 0.75 or more share a shingle among the
 first n - ceil(0.75 n) + 1 of each. Those prefixes are dealt out by fragments of
 the order. Within a fragment, a shingle's documents are paired with the first
 of them (a star, never all pairs); lists of three documents and more are kept.
 
-Verification: the order is cut into ``VERTICAL`` fragments; a pair's overlap is
-counted in each fragment apart and summed per pair. A set travels once for each
+Verification: a pair's overlap is first counted in the lowest ``FIRST`` of the
+order; if not even all the rest in common could make the pair similar, it is
+out. For others the order is cut into ``VERTICAL`` fragments, overlaps are
+counted in each apart and summed per pair. A set travels once for each
 pivot and fragment, sorted behind the pivot's, so a task holds one pivot's part;
 pivots of many documents are salted.
 
@@ -42,12 +49,14 @@ WIDTH, PERCENT = 5, 75
 #: Shingles that can be hot at most.
 HOT = 1 << 19
 #: Least count of a hot shingle.
-LEAST_HOT = 64
+LEAST_HOT = 16
 VERTICAL = 2
+#: Parts of the hash space, in 64ths.
+LOW, FIRST = 26, 13
 STARS = 2
 #: Documents of a pivot that one task verifies, about.
 SALT = 2000
-BATCH_WORDS = 3_000_000
+BATCH_SHINGLES = 1_500_000
 SYNTHETIC = 1 << 61
 
 _HASHES = WordHashes()
@@ -77,34 +86,55 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.select(node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _below(s: np.ndarray, part: int) -> int:
+    return int(np.searchsorted(s, np.uint64(part << 58)))
+
+
+def low_parts(docs: DataFrame) -> DataFrame:
+    """node, doc_id, n (shingles of the document) and low, a row per row of ``docs``."""
+
+    def run(it):
+        for b in it:
+            size, low = [], []
+            for t in b.column("text").to_pylist():
+                s = shingles(t)
+                size.append(len(s))
+                low.append(s[: max(_below(s, LOW), prefix_size(len(s)) if len(s) else 0)].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.array(size, pa.int32()), pa.array(low, pa.binary())], names=["node", "doc_id", "n", "low"])
+
+    rows = docs.select(node().alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "node bigint, doc_id bigint, n int, low binary")
+
+
 def _lots(it):
-    nodes, sets, words = [], [], 0
+    """Lots of (nodes, sizes, low parts) of documents that have shingles."""
+    nodes, sizes, lows, total = [], [], [], 0
     for b in it:
-        for d, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
-            s = shingles(t)
-            if len(s):
+        for d, n, low in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("low").to_pylist(), strict=True):
+            if n:
                 nodes.append(d)
-                sets.append(s)
-                words += len(s)
-            if words >= BATCH_WORDS:
-                yield nodes, sets
-                nodes, sets, words = [], [], 0
+                sizes.append(n)
+                lows.append(np.frombuffer(low, np.uint64))
+                total += len(lows[-1])
+            if total >= BATCH_SHINGLES:
+                yield nodes, sizes, lows
+                nodes, sizes, lows, total = [], [], [], 0
     if nodes:
-        yield nodes, sets
+        yield nodes, sizes, lows
 
 
-def hot_shingles(base: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles that come last in the global order."""
+def hot_shingles(parts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles of the low part that come behind the others of it."""
 
     def count(it):
-        for _, sets in _lots(it):
-            found, n = np.unique(np.concatenate(sets), return_counts=True)
-            some = n > 1
+        for _, _, lows in _lots(it):
+            found, n = np.unique(np.concatenate(lows), return_counts=True)
+            some = (n > 1) & (found < np.uint64(LOW << 58))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(found[some].view(np.int64), 0)), pa.array(np.append(n[some], 0)), pa.array(np.append(np.zeros(int(some.sum()), np.int64), n.sum()))], names=["shingle", "n", "total"]
             )
 
-    counts = base.mapInArrow(count, "shingle bigint, n bigint, total bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    counts = parts.select("node", "n", "low").mapInArrow(count, "shingle bigint, n bigint, total bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     counts = staged(counts.where(f"n >= {LEAST_HOT} or total > 0"), "counts")
     total = counts.agg(F.sum("total")).first()[0] or 0
     least = max(LEAST_HOT, -(-total // HOT))
@@ -145,21 +175,22 @@ def _lists(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(out_n, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.int32()))], names=["nodes", "sizes"])
 
 
-def posting_lists(base: DataFrame, hot: np.ndarray) -> DataFrame:
-    spark = base.sparkSession
+def posting_lists(parts: DataFrame, hot: np.ndarray) -> DataFrame:
+    spark = parts.sparkSession
     fragments = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     shared = spark.sparkContext.broadcast(hot)
 
     def packets(it):
         last = shared.value
-        for nodes, sets in _lots(it):
+        for nodes, sizes, lows in _lots(it):
             prefix = []
-            for s in sets:
-                n = prefix_size(len(s))
+            for total, s in zip(sizes, lows, strict=True):
+                n = prefix_size(total)
                 if len(last):
-                    i = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    common = last[i] == s
-                    s = np.concatenate([s[~common], s[common]])
+                    k = _below(s, LOW)
+                    i = np.minimum(np.searchsorted(last, s[:k]), len(last) - 1)
+                    common = last[i] == s[:k]
+                    s = np.concatenate([s[:k][~common], s[:k][common], s[k:]])
                 prefix.append(s[:n])
             size = np.array([len(x) for x in prefix])
             key = np.concatenate(prefix)
@@ -167,7 +198,7 @@ def posting_lists(base: DataFrame, hot: np.ndarray) -> DataFrame:
             frag = ((key >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
             order = np.argsort(frag, kind="stable")
             at = np.searchsorted(frag[order], np.arange(fragments + 1))
-            all_nodes, all_sizes = np.array(nodes, np.int64), np.array([len(x) for x in sets], np.int32)
+            all_nodes, all_sizes = np.array(nodes, np.int64), np.array(sizes, np.int32)
             for f in np.flatnonzero(np.diff(at)):
                 own = order[at[f] : at[f + 1]]
                 few, w = np.unique(who[own], return_inverse=True)
@@ -175,7 +206,7 @@ def posting_lists(base: DataFrame, hot: np.ndarray) -> DataFrame:
                 cells = [np.ascontiguousarray(raw).tobytes(), w.astype("<u4").tobytes(), all_nodes[few].tobytes(), all_sizes[few].astype("<i4").tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32())] + [pa.array([x], pa.binary()) for x in cells], names=["frag", "keys", "who", "nodes", "sizes"])
 
-    return base.mapInArrow(packets, PACKET).groupBy("frag").applyInArrow(_lists, LISTS)
+    return parts.select("node", "n", "low").mapInArrow(packets, PACKET).groupBy("frag").applyInArrow(_lists, LISTS)
 
 
 def _pairs(lists: DataFrame, turn: int | None) -> DataFrame:
@@ -205,24 +236,33 @@ def _pairs(lists: DataFrame, turn: int | None) -> DataFrame:
     return lists.mapInArrow(pair, "a bigint, b bigint").distinct()
 
 
-def verified(base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that are similar. Overlaps are counted by vertical fragment and summed."""
+def _overlaps(source: DataFrame, pairs: DataFrame, column: str, vertical: int) -> DataFrame:
+    """(a, b, n0, n1, l0, l1, both): sizes, sizes of the parts looked at, and their overlap, for each pair and fragment.
+
+    ``column`` of source is the text, or the low part; of the latter, only the lowest FIRST is looked at.
+    """
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select(F.col("b").alias("node"), F.struct("a", "salts", F.lit(True).alias("member")).alias("to"))
     pivots = salts.select(F.col("a").alias("node"), F.struct("a", "salts", F.lit(False).alias("member")).alias("to"))
     wanted = members.union(pivots).groupBy("node").agg(F.collect_list("to").alias("to"))
 
-    def parts(it):
+    def cells(value, n):
+        if column == "low":
+            s = np.frombuffer(value, np.uint64)
+            return n, [s[: _below(s, FIRST)].tobytes()]
+        s = shingles(value)
+        cut = [0, *(_below(s, 64 * v // vertical) for v in range(1, vertical)), len(s)]
+        return len(s), [s[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+
+    def deal(it):
         for batch in it:
             rows = {x: [] for x in ("a", "v", "salt", "member", "node", "n", "part")}
-            for node, text, to in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), batch.column("to").to_pylist(), strict=True):
-                s = shingles(text)
-                cut = [0, *np.searchsorted(s, np.array([(1 << 64) * v // VERTICAL for v in range(1, VERTICAL)], np.uint64)).tolist(), len(s)]
-                cells = [s[cut[v] : cut[v + 1]].tobytes() for v in range(VERTICAL)]
+            for node, value, n, to in zip(*(batch.column(x).to_pylist() for x in ("node", column, "n", "to")), strict=True):
+                n, parts = cells(value, n)
                 for x in to:
                     for salt in [hash(node) % x["salts"]] if x["member"] else range(x["salts"]):
-                        for v in range(VERTICAL):
-                            for k, y in zip(rows, (x["a"], v, salt, x["member"], node, len(s), cells[v]), strict=True):
+                        for v, part in enumerate(parts):
+                            for k, y in zip(rows, (x["a"], v, salt, x["member"], node, n, part), strict=True):
                                 rows[k].append(y)
                 if len(rows["a"]) > 5000:
                     yield _batch(rows)
@@ -230,13 +270,13 @@ def verified(base: DataFrame, pairs: DataFrame) -> DataFrame:
             if rows["a"]:
                 yield _batch(rows)
 
-    spread = base.join(wanted.hint("shuffle_hash"), "node").mapInArrow(parts, "a bigint, v int, salt int, member boolean, node bigint, n int, part binary")
+    spread = source.select("node", column, "n").join(wanted.hint("shuffle_hash"), "node").mapInArrow(deal, "a bigint, v int, salt int, member boolean, node bigint, n int, part binary")
     dealt = spread.repartition("a", "v", "salt").sortWithinPartitions("a", "v", "salt", "member")
 
     def overlap(it):
         at, pivot = None, []
         for batch in it:
-            rows = {x: [] for x in ("a", "b", "n0", "n1", "both")}
+            rows = {x: [] for x in ("a", "b", "n0", "n1", "l0", "l1", "both")}
             for a, v, salt, member, node, n, part in zip(*(batch.column(x).to_pylist() for x in ("a", "v", "salt", "member", "node", "n", "part")), strict=True):
                 own = np.frombuffer(part, np.uint64)
                 if at != (a, v, salt):
@@ -248,15 +288,25 @@ def verified(base: DataFrame, pairs: DataFrame) -> DataFrame:
                     both = 0
                     if len(p) and len(own):
                         both = int((p[np.minimum(np.searchsorted(p, own), len(p) - 1)] == own).sum())
-                    for k, x in zip(rows, (a, node, n0, n, both), strict=True):
+                    for k, x in zip(rows, (a, node, n0, n, len(p), len(own), both), strict=True):
                         rows[k].append(x)
             if rows["a"]:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[x], pa.int64()) for x in rows], names=list(rows))
 
-    partial = dealt.mapInArrow(overlap, "a bigint, b bigint, n0 bigint, n1 bigint, both bigint")
-    # rows that share a doc_id can only be told apart by size; their sums are an upper bound then, and equal rows count once
+    return dealt.mapInArrow(overlap, ", ".join(f"{x} bigint" for x in ("a", "b", "n0", "n1", "l0", "l1", "both")))
+
+
+def verified(base: DataFrame, parts: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """(a, b) of the pairs that are similar; None if none can be."""
+    n0, n1 = F.col("n0"), F.col("n1")
+    most = F.col("both") + F.least(n0 - F.col("l0"), n1 - F.col("l1"))
+    likely = staged(_overlaps(parts, pairs, "low", 1).where(similar(n0, n1, most)).select("a", "b").distinct(), "likely")
+    if likely.isEmpty():
+        return None
+    partial = _overlaps(base.withColumn("n", F.lit(0)), likely, "text", VERTICAL)
+    # rows that share a doc_id are told apart by their sizes; equal ones count once
     whole = partial.groupBy("a", "b", "n0", "n1").agg((F.sum("both") / (F.count("*") / VERTICAL)).cast("bigint").alias("both"))
-    return whole.where(similar(F.col("n0"), F.col("n1"), F.col("both"))).select("a", "b").distinct()
+    return staged(whole.where(similar(n0, n1, F.col("both"))).select("a", "b").distinct(), "links")
 
 
 def _batch(rows: dict) -> pa.RecordBatch:
@@ -264,49 +314,42 @@ def _batch(rows: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, parts: DataFrame) -> DataFrame:
     """(node, root) of every document that has a link; root is the smallest node of its component."""
     spark = docs.sparkSession
     base = _base(docs)
-    lists = staged(posting_lists(base, hot_shingles(base)), "lists")
+    lists = staged(posting_lists(parts, hot_shingles(parts)), "lists")
     tried = staged(_pairs(lists, 0), "pairs")
-    links = staged(verified(base, tried), "links")
+    none = spark.createDataFrame([], "a bigint, b bigint")
+    links = verified(base, parts, tried) or none
     comps = components(spark, links, "components")
     lists = staged(lists.where("size(nodes) > 2").withColumn("id", F.xxhash64("nodes")).dropDuplicates(["id"]), "lists")
     for turn in [*range(1, STARS + 1), None]:
         each = lists.select("id", F.posexplode("nodes").alias("i", "node")).join(comps, "node", "left").select("id", "i", F.coalesce("root", "node").alias("comp"))
         spread = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "comp"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         lists = staged(lists.drop("comps").join(spread.select("id", F.col("c.comp").alias("comps")), "id"), "open")
-        pairs = _pairs(lists, turn).join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
+        pairs = staged(_pairs(lists, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
         tried = tried.union(pairs)
-        new = staged(verified(base, pairs), "links")
-        if new.isEmpty():
-            continue
-        links = links.union(new)
-        comps = components(spark, links, "components")
+        new = verified(base, parts, pairs)
+        if new is not None:
+            links = links.union(new)
+            comps = components(spark, links, "components")
     return comps
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of ``docs``."""
-
-    def size(it):
-        for b in it:
-            n = [len(shingles(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.array(n, pa.int64())], names=["node", "doc_id", "n_shingles"])
-
-    comps = groups(docs)
-    sizes = docs.select(node().alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(size, "node bigint, doc_id bigint, n_shingles bigint")
+    parts = staged(low_parts(docs), "low")
     root = F.coalesce("root", "node")
-    return sizes.join(comps, "node", "left").select("doc_id", "n_shingles", F.when(root <= NO_ID - SYNTHETIC, root).alias("component_id"))
+    out = parts.select("node", "doc_id", "n").join(_groups(docs, parts), "node", "left")
+    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(root <= NO_ID - SYNTHETIC, root).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that a smaller one of their component stands for."""
-    others = groups(docs).where("root < node").select(F.col("node").alias("_node"))
+    others = _groups(docs, staged(low_parts(docs), "low")).where("root < node").select(F.col("node").alias("_node"))
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), node().alias("_node"))
     return rows.join(others.hint("shuffle_hash"), "_node", "left_anti").select(*(F.col("row")[x].alias(x) for x in names))

@@ -7,8 +7,8 @@ names equal runs and pairs alike over the whole corpus without a dictionary to
 join. Each symbol carries the extent of words that decided it; equal
 substrings share every symbol whose extent lies inside them.
 
-A window of 20 words is anchored at the symbol of least hash decided inside it
-(at its own words, if there is none). Windows with one anchor stand in a row,
+A window of 20 words is anchored at the symbol of widest extent inside it, of
+equally wide ones that of least hash (at its own words, if there is none). Windows with one anchor stand in a row,
 a group. Groups are exchanged as (anchor, hash of all words of the group,
 document, place):
 
@@ -18,8 +18,10 @@ document, place):
   first occurrence of a window is always in such a group, so this is exact.
 
 Each batch of documents combines equal keys before it sends them, so a
-passage in a third of all documents costs one entry a batch. Fragments of the
-key space are many times the shuffle partitions; each is sorted in numpy.
+passage in a third of all documents costs one entry a batch. Entries travel in
+packets, one for each batch and fragment of the key space, documents listed once
+and places as differences; a fragment is sorted in numpy. Anchors are cut to
+four bytes, which can only send more windows to the second exchange.
 
 Words are compared by 64-bit hashes, windows by 64-bit hashes of those.
 
@@ -35,25 +37,41 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NO_ID, ODD, WordHashes, combine, keyed, mix, staged
 
 WINDOW = 20
-ROUNDS = 3
-#: Fragments of the key space to a shuffle partition.
-FRAGMENTS = 4
+ROUNDS = 2
+#: Shuffle partitions to a fragment of the key space.
+FRAGMENTS = 2
 #: Words that are worked on at once, about (a document is never split).
 BATCH_WORDS = 3_000_000
 
 _HASHES = WordHashes()
 
 
-def split(text: str) -> list[bytes]:
+def split(text: str | bytes) -> list[bytes]:
+    """Words of a text, or of a compressed one."""
+    if isinstance(text, bytes):
+        return zstandard.decompress(text).split()
     return text.encode("utf-8", "surrogatepass").split()  # white space of bytes is that of ASCII
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc, h and the text as compressed bytes: texts are what is shuffled most."""
+
+    def pack(it):
+        small = zstandard.ZstdCompressor(level=1).compress
+        for b in it:
+            texts = [small(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), pa.array(texts, pa.binary())], names=["doc", "h", "text"])
+
+    return docs.mapInArrow(pack, "doc bigint, h bigint, text binary")
+
+
 def symbols(words: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, first word, last word that decided it) after the rounds; ``doc`` numbers the documents of the words."""
     place = np.arange(len(words))
@@ -115,7 +133,8 @@ def anchored(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, rounds:
     if not len(start):
         return (np.zeros(0, np.uint64),) * 2 + (start,) * 2
     sym, lo, hi = symbols(words, doc, rounds)
-    key = mix(sym)
+    long = np.minimum(hi - lo, 15).astype(np.uint64)  # what took more words to decide is rarer
+    key = (np.uint64(15) - long) << np.uint64(60) | mix(sym) >> np.uint64(4)
     a, b = np.searchsorted(lo, start, "left"), np.searchsorted(hi, start + window - 1, "right")
     level, best = [np.arange(len(key))], 1
     while 2 * best <= max(1, int((b - a).max())):  # level k: place of the least key among 2**k in a row
@@ -137,48 +156,61 @@ def anchored(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, rounds:
     return np.where(anchor[g] >= 0, key[anchor[g]], whole), whole, s1, s2
 
 
-def _packets(frag_key, key, whole, who, s1, s2, docs, hs, fragments):
+def _packets(key, whole, who, s1, s2, docs, hs, fragments, anchors=True):
     """Combine equal keys of a batch, and deal its entries out: an Arrow batch with a row for each fragment."""
     order = np.lexsort((s1, hs[who], docs[who], whole))
-    frag_key, key, whole, who, s1, s2 = (x[order] for x in (frag_key, key, whole, who, s1, s2))
+    key, whole, who, s1, s2 = (x[order] for x in (key, whole, who, s1, s2))
     head = np.concatenate([[True], whole[1:] != whole[:-1]])
     lead = np.maximum.accumulate(np.where(head, np.arange(len(whole)), 0))
     later = (docs[who] != docs[who[lead]]) | (hs[who] != hs[who[lead]]) | (s1 != s1[lead])
-    keep = head | later  # rows equal in all are one
-    frag = (mix(frag_key) % np.uint64(fragments)).astype(np.int64)
-    order = np.flatnonzero(keep)[np.argsort(frag[keep], kind="stable")]
+    frag = (mix(key) % np.uint64(fragments)).astype(np.int64)
+    keep = np.flatnonzero(head | later)  # rows equal in all are one
+    order = keep[np.lexsort((s1[keep], who[keep], later[keep], frag[keep]))]
     at = np.searchsorted(frag[order], np.arange(fragments + 1))
-    rows = {x: [] for x in ("frag", "keys", "wholes", "later", "doc", "h", "s1", "s2")}
+    rows = {x: [] for x in ("frag", "keys", "wholes", "doc", "h", "many", "s1", "s2")}
     for f in np.flatnonzero(np.diff(at)):
         own = order[at[f] : at[f + 1]]
-        first, rest = own[~later[own]], own[later[own]]
-        both = np.concatenate([first, rest])
+        new = own[~later[own]]
+        begin = np.flatnonzero(np.concatenate([[True], (who[own][1:] != who[own][:-1]) | (later[own][1:] != later[own][:-1])]))
+        step = np.diff(s1[own], prepend=0)
+        step[begin] = s1[own][begin]
         rows["frag"].append(f)
-        rows["keys"].append(key[first].tobytes())
-        rows["wholes"].append(whole[first].tobytes())
-        rows["later"].append(len(rest))
-        w = who[both]
-        rows["doc"].append(docs[w].tobytes())
-        rows["h"].append(hs[w].tobytes())
-        rows["s1"].append(s1[both].astype("<i4").tobytes())
-        rows["s2"].append((s2 - s1)[both].astype("<u2").tobytes())
-    kinds = [pa.int32(), *[pa.binary()] * 2, pa.int32(), *[pa.binary()] * 4]
+        rows["keys"].append((key[new] >> np.uint64(32)).astype("<u4").tobytes() if anchors else b"")
+        rows["wholes"].append(whole[new].tobytes())
+        rows["doc"].append(docs[who[own[begin]]].tobytes())
+        rows["h"].append(hs[who[own[begin]]].tobytes())
+        rows["many"].append(np.diff(np.append(begin, len(own))).astype("<u4").tobytes())
+        rows["s1"].append((b"2" if step.max() < 1 << 16 else b"4") + step.astype("<u2" if step.max() < 1 << 16 else "<u4").tobytes())
+        rows["s2"].append((s2 - s1)[own].astype("u1").tobytes() if anchors else b"")
+    kinds = [pa.int32(), *[pa.binary()] * 7]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
 
-PACKET = "frag int, keys binary, wholes binary, later int, doc binary, h binary, s1 binary, s2 binary"
+def _unpacked(keys, wholes, doc, h, many, s1, s2):
+    """(key, whole, doc, h, s1, s2 - s1, known to be later) of a packet's entries."""
+    many = np.frombuffer(many, "<u4")
+    total = int(many.sum())
+    step = np.frombuffer(s1, f"<u{s1[:1].decode()}", offset=1).astype(np.int64)
+    begin = np.cumsum(many) - many
+    run = np.cumsum(step)
+    place = run - np.repeat(run[begin] - step[begin], many)
+    whole = np.frombuffer(wholes, np.uint64)
+    key = np.frombuffer(keys, "<u4").astype(np.uint64) if keys else whole
+    pad = np.zeros(total - len(whole), np.uint64)
+    width = np.frombuffer(s2, "u1") if s2 else np.zeros(total, np.uint8)
+    both = (np.repeat(np.frombuffer(x, np.int64), many) for x in (doc, h))
+    return np.concatenate([key, pad]), np.concatenate([whole, pad]), *both, place, width, np.arange(total) >= len(whole)
+
+
+PACKET = "frag int, keys binary, wholes binary, doc binary, h binary, many binary, s1 binary, s2 binary"
 VERDICT = "doc bigint, h bigint, s1 binary, s2 binary, verdict binary"
 REPEATED, UNDECIDED = 1, 2
 
 
 def _judge(table: pa.Table) -> pa.Table:
     """All packets of a fragment: which groups are repeats (1), and which have windows to look at (2)."""
-    cols = {x: [v.as_py() for v in table.column(x)] for x in ("keys", "wholes", "later", "doc", "h", "s1", "s2")}
-    parts = []
-    for keys, wholes, later, doc, h, s1, s2 in zip(*cols.values(), strict=True):
-        k = len(keys) // 8
-        pad = np.zeros(later, np.uint64)
-        parts.append((np.concatenate([np.frombuffer(keys, np.uint64), pad]), np.concatenate([np.frombuffer(wholes, np.uint64), pad]), np.frombuffer(doc, np.int64), np.frombuffer(h, np.int64), np.frombuffer(s1, "<i4"), np.frombuffer(s2, "<u2"), np.arange(k + later) >= k))
+    cols = ([v.as_py() for v in table.column(x)] for x in ("keys", "wholes", "doc", "h", "many", "s1", "s2"))
+    parts = [_unpacked(*x) for x in zip(*cols, strict=True)]
     key, whole, doc, h, s1, s2, known = (np.concatenate(x) for x in zip(*parts, strict=True))
     verdict = np.where(known, REPEATED, 0).astype(np.int8)
     own = np.flatnonzero(~known)
@@ -210,7 +242,7 @@ def _judge(table: pa.Table) -> pa.Table:
     cut = np.flatnonzero(np.concatenate([[True], (doc[out][1:] != doc[out][:-1]) | (h[out][1:] != h[out][:-1])])) if len(out) else out
     to = np.append(cut[1:], len(out)) if len(out) else out
     pick = lambda x, kind: pa.array([x[out[a:b]].astype(kind).tobytes() for a, b in zip(cut, to, strict=True)], pa.binary())
-    return pa.Table.from_arrays([pa.array(doc[out[cut]]), pa.array(h[out[cut]]), pick(s1, "<i4"), pick(s2, "<u2"), pick(verdict, "i1")], names=["doc", "h", "s1", "s2", "verdict"])
+    return pa.Table.from_arrays([pa.array(doc[out[cut]]), pa.array(h[out[cut]]), pick(s1, "<i4"), pick(s2, "u1"), pick(verdict, "i1")], names=["doc", "h", "s1", "s2", "verdict"])
 
 
 def _exchange(packets: DataFrame) -> DataFrame:
@@ -243,7 +275,7 @@ def _verdicts(docs: DataFrame, window: int, fragments: int) -> DataFrame:
             if len(key):
                 begin = np.cumsum(sizes) - sizes
                 who = np.searchsorted(begin + sizes, s1, "right")
-                yield _packets(key, key, whole, who, s1 - begin[who], s2 - begin[who], ids, hs, fragments)
+                yield _packets(key, whole, who, s1 - begin[who], s2 - begin[who], ids, hs, fragments)
 
     first = staged(_exchange(docs.mapInArrow(groups, PACKET)), "repeats")
 
@@ -254,7 +286,7 @@ def _verdicts(docs: DataFrame, window: int, fragments: int) -> DataFrame:
             for k, (s1, s2, verdict) in enumerate(rest):
                 for a, b, v in zip(s1, s2, verdict, strict=True):
                     open_ = np.frombuffer(v, "i1") == UNDECIDED
-                    a, b = np.frombuffer(a, "<i4")[open_].astype(np.int64), np.frombuffer(b, "<u2")[open_].astype(np.int64) + 1
+                    a, b = np.frombuffer(a, "<i4")[open_].astype(np.int64), np.frombuffer(b, "u1")[open_].astype(np.int64) + 1
                     s = np.repeat(a - (np.cumsum(b) - b), b) + np.arange(b.sum())
                     start.append(s)
                     who.append(np.full(len(s), k))
@@ -262,11 +294,11 @@ def _verdicts(docs: DataFrame, window: int, fragments: int) -> DataFrame:
                 who, start = np.concatenate(who), np.concatenate(start)
                 at = start + begin[who]
                 key = Ranges(words).of(at, at + window)
-                yield _packets(key, key, key, who, start, start, ids, hs, fragments)
+                yield _packets(key, key, who, start, start, ids, hs, fragments, anchors=False)
 
     by_doc = lambda v: v.groupBy("doc", "h").agg(*(F.collect_list(x).alias(x) for x in ("s1", "s2", "verdict")))
     has = F.instr(F.hex("verdict"), "02") > 0
-    undecided = docs.join(by_doc(first.where(has)).hint("shuffle_hash"), ["doc", "h"])
+    undecided = packed(docs).join(by_doc(first.where(has)).hint("shuffle_hash"), ["doc", "h"])
     second = _exchange(undecided.select("doc", "h", "text", "s1", "s2", "verdict").mapInArrow(windows, PACKET))
     return by_doc(first.union(second))
 
@@ -275,7 +307,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept text, a row per row of ``docs``."""
     spark = docs.sparkSession
     base = keyed(docs)
-    fragments = FRAGMENTS * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    fragments = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // FRAGMENTS)
     verdicts = _verdicts(base, window, fragments)
 
     def cut(it):
@@ -289,7 +321,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if s1:
                     v = np.frombuffer(b"".join(verdict), "i1") == REPEATED
                     a = np.frombuffer(b"".join(s1), "<i4")[v].astype(np.int64)
-                    e = a + np.frombuffer(b"".join(s2), "<u2")[v] + window
+                    e = a + np.frombuffer(b"".join(s2), "u1")[v] + window
                     depth = np.zeros(len(words) + 1, np.int64)
                     np.add.at(depth, a, 1)
                     np.add.at(depth, e, -1)
@@ -302,7 +334,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [b.column("doc"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept_sha256", "kept"]
             )
 
-    out = base.join(verdicts.hint("shuffle_hash"), ["doc", "h"], "left").select("doc", "text", "s1", "s2", "verdict").mapInArrow(cut, "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    out = packed(base).join(verdicts.hint("shuffle_hash"), ["doc", "h"], "left").select("doc", "text", "s1", "s2", "verdict").mapInArrow(cut, "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     return out.select(F.expr(f"if(doc = {NO_ID}L, null, doc)").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
 
 
