@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import core
+from ..model import analogs
+from ..operators import graph, ingest, sensors, sync
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,12 +34,223 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _big(c: str):
+    return F.col(c).cast("bigint").alias(c)
+
+
+@query("SELECT lang AS detected_type, count(*) AS captures, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang")
+def ingest_plan_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.plan_by_type(analogs.captures(spark, sf_dir))
+
+
+@query("SELECT doc_id AS capture, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents")
+def content_hash_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analogs.captures(spark, sf_dir).select("capture", "bytes", "sha256")
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_capture FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analogs.captures(spark, sf_dir).groupBy("sha256").agg(F.count("*").alias("copies"), F.min("capture").alias("first_capture")).where("copies > 1")
+
+
+@query("SELECT source AS batch, count(*) AS captures FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source HAVING bool_and(coalesce(toxic, 0) <> 1)")
+def atomic_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = analogs.captures(spark, sf_dir).join(analogs.reviews(spark, sf_dir), "capture", "left")
+    return ingest.complete_batches(c, ~F.coalesce("failed", F.lit(False)))
+
+
+@query("SELECT doc_id AS capture FROM documents WHERE source IN (SELECT source FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source HAVING NOT bool_and(coalesce(toxic, 0) <> 1))")
+def restored_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = analogs.captures(spark, sf_dir).join(analogs.reviews(spark, sf_dir), "capture", "left")
+    return ingest.restored(c, ~F.coalesce("failed", F.lit(False))).select("capture")
+
+
+@query("SELECT source AS batch, count(*) AS pending FROM documents d ANTI JOIN labels l USING (doc_id) GROUP BY source")
+def pending_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.pending(analogs.captures(spark, sf_dir), analogs.reviews(spark, sf_dir)).groupBy("batch").agg(F.count("*").alias("pending"))
+
+
+@query("SELECT source AS batch, array_to_string(list_sort(list(DISTINCT lang)), ',') AS types FROM documents GROUP BY source")
+def batch_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analogs.captures(spark, sf_dir).groupBy("batch").agg(F.array_join(F.sort_array(F.collect_set("detected_type")), ",").alias("types"))
+
+
+@query("SELECT source AS batch, lang AS detected_type, CAST(grouping(source, lang) AS BIGINT) AS level, count(*) AS captures, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ROLLUP (source, lang)")
+def plan_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analogs.captures(spark, sf_dir).rollup("batch", "detected_type").agg(F.grouping_id("batch", "detected_type").cast("bigint").alias("level"), F.count("*").alias("captures"), F.sum("bytes").alias("bytes"))
+
+
+@query("SELECT source AS batch, bool_and(quality = 1) AS approved FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
+def batch_all_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analogs.captures(spark, sf_dir).join(analogs.reviews(spark, sf_dir), "capture", "left").groupBy("batch").agg(F.bool_and("approved").alias("approved"))
+
+
 @query("""
-SELECT lang AS detected_type, count(*) AS captures, CAST(sum(strlen(text)) AS BIGINT) AS bytes
-FROM documents GROUP BY lang
+WITH q AS (SELECT item_id, lower(substr(text, 1, 12)) AS phrase FROM benchmark WHERE item_id < 20),
+m AS (SELECT item_id, doc_id, CASE WHEN starts_with(lower(text), phrase) THEN 0 WHEN contains(lower(text), phrase) THEN 1 END AS place FROM q, documents),
+r AS (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY place) AS k, count(*) OVER (PARTITION BY item_id, place) AS ties FROM m WHERE place IS NOT NULL)
+SELECT item_id, doc_id, CAST(place AS INT) AS place, ties, ties = 1 AS lone FROM r WHERE k = 1
 """)
-def ingest_plan_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy(F.col("lang").alias("detected_type")).agg(
-        F.count("*").alias("captures"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes")
-    )
+def retrieve_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").where("item_id < 20").select("item_id", F.lower(F.substring("text", 1, 12)).alias("phrase"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
+    place = F.when(F.startswith("t", "phrase"), 0).when(F.contains("t", "phrase"), 1)
+    m = d.join(F.broadcast(b), F.contains("t", "phrase")).select("item_id", "doc_id", place.alias("place"))  # twenty phrases
+    by = Window.partitionBy("item_id")
+    r = m.withColumn("k", F.rank().over(by.orderBy("place"))).withColumn("ties", F.count("*").over(Window.partitionBy("item_id", "place")))
+    return r.where("k = 1").select("item_id", "doc_id", "place", "ties", (F.col("ties") == 1).alias("lone"))
+
+
+@query("SELECT item_id, doc_id FROM documents d JOIN (SELECT item_id, substr(text, 1, 40) AS phrase FROM benchmark WHERE item_id < 100) ON contains(d.text, phrase)")
+def topic_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").where("item_id < 100").select("item_id", F.substring("text", 1, 40).alias("phrase"))
+    return table(spark, sf_dir, "documents").join(F.broadcast(b), F.contains("text", "phrase")).select("item_id", "doc_id")  # a hundred phrases
+
+
+_PARENTS = """p AS (SELECT 'customer:' || c_custkey AS id, 'nation:' || c_nationkey AS parent FROM customer
+UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation)"""
+
+
+@query(f"WITH RECURSIVE {_PARENTS}, up(id, ancestor, level) AS (SELECT id, parent, 1 FROM p UNION ALL SELECT up.id, p.parent, level + 1 FROM up JOIN p ON p.id = up.ancestor) SELECT id, ancestor, level FROM up")
+def ancestor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.ancestors(analogs.parents(spark, sf_dir))
+
+
+@query("""
+WITH v AS (SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS s, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END AS t
+FROM orders JOIN customer ON c_custkey = o_custkey) SELECT s AS src_level, t AS dst_level, count(*) AS violations FROM v WHERE s < t GROUP BY 1, 2
+""")
+def exposure_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.expr("CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END").alias("src_level"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.expr("CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 2 WHEN 'MACHINERY' THEN 1 ELSE 0 END").alias("dst_level"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).where("src_level < dst_level").groupBy("src_level", "dst_level").agg(F.count("*").alias("violations"))
+
+
+@query("SELECT o_orderkey FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")
+def notes_without_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("""
+SELECT 'order' AS kind, count(*) AS dangling FROM lineitem ANTI JOIN orders ON o_orderkey = l_orderkey
+UNION ALL SELECT 'part', count(*) FROM lineitem ANTI JOIN part ON p_partkey = l_partkey
+UNION ALL SELECT 'supplier', count(*) FROM lineitem ANTI JOIN supplier ON s_suppkey = l_suppkey
+""")
+def dangling_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    out = None
+    for kind, name, key, own in (("order", "orders", "o_orderkey", "l_orderkey"), ("part", "part", "p_partkey", "l_partkey"), ("supplier", "supplier", "s_suppkey", "l_suppkey")):
+        n = l.join(table(spark, sf_dir, name), F.col(key) == F.col(own), "left_anti").agg(F.count("*").alias("dangling")).select(F.lit(kind).alias("kind"), "dangling")
+        out = n if out is None else out.union(n)
+    return out
+
+
+@query("""
+SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN b.doc_id IS NULL THEN 'keep' WHEN a.doc_id IS NULL THEN 'add' ELSE 'replace' END AS action
+FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0) b ON a.doc_id = b.doc_id
+""")
+def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
+    return sync.overlay(d.where("path % 2 = 0"), d.where("path % 3 = 0"), d.where("path % 5 = 0"))
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(strlen(html) AS BIGINT) AS bytes FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", sensors.page_title("html").alias("title"), core.byte_length(F.col("html")).alias("bytes"))
+
+
+@query("SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, count(*) AS pages, count(DISTINCT url) AS urls FROM pages GROUP BY 1")
+def page_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host")).agg(F.count("*").alias("pages"), F.count_distinct("url").alias("urls"))
+
+
+@query("SELECT conv_id, count(*) AS turns, arg_max(role, turn) AS last_role, CASE WHEN arg_max(role, turn) = 'assistant' THEN 'answered' ELSE 'pending' END AS state FROM (SELECT DISTINCT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY role) = 1) GROUP BY conv_id")
+def dialogue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    last = F.max_by("role", "turn")
+    return one.groupBy("conv_id").agg(F.count("*").alias("turns"), last.alias("last_role"), F.when(last == "assistant", "answered").otherwise("pending").alias("state"))
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def activity_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT DISTINCT lang AS domain, upper(lang[1]) || lower(lang[2:]) AS vault_name FROM documents")
+def vault_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("domain")).distinct().select("domain", core.vault_name(F.col("domain")).alias("vault_name"))
+
+
+_EDGES = """e AS (SELECT 'order:' || o_orderkey AS src, 'DERIVES_FROM' AS predicate, 'customer:' || o_custkey AS dst FROM orders
+UNION ALL SELECT 'region:' || n_regionkey, 'GOVERNS', 'nation:' || n_nationkey FROM nation
+UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'IMPLEMENTS', 'supplier:' || l_suppkey FROM lineitem
+UNION ALL SELECT DISTINCT 'line:' || l_orderkey || '-' || l_linenumber, 'EVIDENCES', 'order:' || l_orderkey FROM lineitem
+UNION ALL SELECT 'part:' || p_partkey, 'TRANSMUTES', 'type:' || p_type FROM part)"""
+
+
+@query(f"""WITH {_EDGES}
+SELECT src AS id, 'out' AS direction, predicate, dst AS neighbour FROM e WHERE src IN ('part:0', 'order:5')
+UNION ALL SELECT dst, 'in', predicate, src FROM e WHERE dst IN ('part:0', 'order:5')""")
+def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = analogs.edges(spark, sf_dir).withColumn("rationale", F.lit(None).cast("string"))
+    return graph.one_hop(e, spark.createDataFrame([("part:0",), ("order:5",)], "id string")).drop("rationale")
+
+
+@query("""
+SELECT o_orderkey, l_linenumber, p_name, s_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey
+WHERE o_custkey = 899
+""")
+def evidence_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, l, p, s = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "part", "supplier"))  # noqa: E741
+    own = o.where("o_custkey = 899").join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return own.join(p, F.col("p_partkey") == F.col("l_partkey"), "left").join(s, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("o_orderkey", "l_linenumber", "p_name", "s_name")
+
+
+@query(f"WITH {_EDGES} SELECT predicate, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY predicate")
+def edge_predicate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analogs.edges(spark, sf_dir).where(core.known_predicate(F.col("predicate"))).groupBy("predicate").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+
+
+@query("SELECT doc_id, source, dense_rank() OVER (PARTITION BY source ORDER BY n_chars DESC) AS place FROM documents")
+def doc_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = Window.partitionBy("source").orderBy(F.desc("n_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.dense_rank().over(by).cast("bigint").alias("place"))
+
+
+@query("SELECT source AS batch, 'frontier-batch-intake-' || substr(sha256(string_agg(sha256(text), '' ORDER BY sha256(text))), 1, 12) AS name FROM documents GROUP BY source")
+def handoff_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.handoffs(analogs.captures(spark, sf_dir)).select("batch", "name")
+
+
+@query("SELECT doc_id AS capture, CASE lang WHEN 'en' THEN 'reader-a' WHEN 'de' THEN 'reader-b' END AS tool FROM documents")
+def sensor_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = spark.createDataFrame([("en", "linux", "reader-a", 1), ("en", None, "reader-c", 2), ("de", None, "reader-b", 1), ("fr", "macos", "reader-d", 1)], "detected_type string, platform string, tool string, priority int")
+    return ingest.routed(analogs.captures(spark, sf_dir), routes, "linux").select("capture", "tool")
+
+
+@query("SELECT doc_id AS capture FROM documents WHERE lang NOT IN ('en', 'de')")
+def unrecognised_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routes = spark.createDataFrame([("en",), ("de",)], "detected_type string")
+    return ingest.unrecognised(analogs.captures(spark, sf_dir), routes).select("capture")
+
+
+@query("SELECT source AS batch, array_to_string(list_sort(list(sha256(text))), '') AS hashes, count(*) AS captures, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def batch_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = analogs.captures(spark, sf_dir).withColumn("domain", F.lit("corpus"))
+    return ingest.envelopes(c).select("batch", F.array_join("source_hashes", "").alias("hashes"), "captures", "bytes")
+
+
+@query("SELECT doc_id AS capture, substr(text, 1, 64) AS sample FROM documents")
+def structural_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("capture"), core.sample_of(F.col("text"), 64).alias("sample"))
+
+
+@query("SELECT 'captures' AS kind, count(*) AS items FROM documents UNION ALL SELECT 'reviewed', count(*) FROM labels UNION ALL SELECT 'dialogues', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'pages', count(*) FROM pages")
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = lambda name, kind, what=None: table(spark, sf_dir, name).agg((F.count_distinct(what) if what else F.count("*")).alias("items")).select(F.lit(kind).alias("kind"), "items")
+    return one("documents", "captures").union(one("labels", "reviewed")).union(one("conversations", "dialogues", "conv_id")).union(one("pages", "pages"))
+
+
+@query("SELECT doc_id AS subject, 'many-blank-lines' AS rule FROM documents WHERE contains(text, chr(10) || chr(10) || chr(10) || chr(10)) UNION ALL SELECT doc_id, 'no-final-newline' FROM documents WHERE text <> '' AND right(text, 1) <> chr(10) UNION ALL SELECT doc_id, 'tab' FROM documents WHERE contains(text, chr(9)) UNION ALL SELECT doc_id, 'trailing-space' FROM documents WHERE regexp_matches(text, '(?m)[ \\t]+$')")
+def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.lint(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")).select("subject", "rule")
