@@ -24,7 +24,8 @@ pivots of many documents are salted.
 
 Rounds: links found so far give components; from each list that spans several
 components new stars are made around another pivot, ``STARS`` times; then every
-pair of a list that still lies across components is verified. Pairs inside a
+pair of a list that still lies across components, and shares enough of its
+prefixes to be similar, is verified. Pairs inside a
 component are never needed, so a group of n copies takes about n verifications,
 and no link between components is lost.
 
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, components, shingle_hashes, staged
+from .common import NO_ID, WordHashes, components, mix, shingle_hashes, staged
 
 WIDTH, PERCENT = 5, 75
 #: Shingles that can be hot at most.
@@ -53,7 +54,7 @@ LEAST_HOT = 16
 VERTICAL = 2
 #: Parts of the hash space, in 64ths.
 LOW, FIRST = 26, 13
-STARS = 2
+STARS = 1
 #: Documents of a pivot that one task verifies, about.
 SALT = 2000
 BATCH_SHINGLES = 1_500_000
@@ -143,7 +144,7 @@ def hot_shingles(parts: DataFrame) -> np.ndarray:
 
 
 PACKET = "frag int, keys binary, who binary, nodes binary, sizes binary"
-LISTS = "nodes array<bigint>, sizes array<int>"
+LISTS = "nodes array<bigint>, sizes array<int>, weight int"
 
 
 def _lists(table: pa.Table) -> pa.Table:
@@ -163,16 +164,19 @@ def _lists(table: pa.Table) -> pa.Table:
     key, node, size = key[~again], node[~again], size[~again]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     many = np.diff(np.append(begin, len(key)))
-    seen: set[bytes] = set()
-    out_n, out_s = [], []
+    seen: dict[bytes, int] = {}
+    out_n, out_s, weight = [], [], []
     for b, m in zip(begin[many > 1].tolist(), many[many > 1].tolist(), strict=True):
         own = node[b : b + m]
         raw = own.tobytes()
-        if raw not in seen:
-            seen.add(raw)
+        if raw in seen:
+            weight[seen[raw]] += 1
+        else:
+            seen[raw] = len(weight)
+            weight.append(1)
             out_n.append(own)
             out_s.append(size[b : b + m])
-    return pa.Table.from_arrays([pa.array(out_n, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.int32()))], names=["nodes", "sizes"])
+    return pa.Table.from_arrays([pa.array(out_n, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.int32())), pa.array(weight, pa.int32())], names=["nodes", "sizes", "weight"])
 
 
 def posting_lists(parts: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -209,33 +213,63 @@ def posting_lists(parts: DataFrame, hot: np.ndarray) -> DataFrame:
     return parts.select("node", "n", "low").mapInArrow(packets, PACKET).groupBy("frag").applyInArrow(_lists, LISTS)
 
 
-def _pairs(lists: DataFrame, turn: int | None) -> DataFrame:
-    """Distinct pairs (a pivot, b) of each list (with comps: across components), of sizes that can be similar.
-
-    turn 0, 1, ...: a star around another document each time; None: all pairs.
-    """
+def _stars(lists: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a pivot, b) of each list (with comps: across components), of sizes that can be similar."""
     has = "comps" in lists.columns
 
     def pair(it):
         for batch in it:
             cols = [batch.column(x).to_pylist() for x in ("nodes", "sizes", *(["comps"] if has else []))]
+            out = []
             for nodes, sizes, *comps in zip(*cols, strict=True):
                 d, n = np.array(nodes, np.int64), np.array(sizes, np.int64)
                 c = np.array(comps[0], np.int64) if comps else d
-                if turn is None:
-                    pivots = range(len(d))
-                else:
-                    pivots = [0 if turn == 0 else int(np.argsort(d.view(np.uint64) * np.uint64(2 * turn + 0x9E3779B1), kind="stable")[0])]
-                for k in pivots:
-                    ok = (c != c[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k]))
-                    if turn is None:
-                        ok[:k] = False
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(int(ok.sum()), d[k])), pa.array(d[ok])], names=["a", "b"])
+                k = 0 if turn == 0 else int(np.argsort(mix(d.view(np.uint64) + np.uint64(turn)), kind="stable")[0])
+                ok = (c != c[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k]))
+                out.append(np.stack([np.full(int(ok.sum()), d[k]), d[ok]]))
+            both = np.unique(np.concatenate(out, 1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
     return lists.mapInArrow(pair, "a bigint, b bigint").distinct()
 
 
+def _rest(lists: DataFrame) -> DataFrame:
+    """All pairs of the lists that lie across components and share enough of their prefixes.
+
+    The lists hold every shared prefix shingle of such a pair (those of two documents were a star). What lies
+    behind the prefix that ends first can add its document's other shingles at most, whichever it is.
+    """
+
+    def pair(it):
+        for batch in it:
+            out, size = [], 0
+            for nodes, sizes, comps, w in zip(*(batch.column(x).to_pylist() for x in ("nodes", "sizes", "comps", "weight")), strict=True):
+                d, n, c = np.array(nodes, np.int64), np.array(sizes, np.int64), np.array(comps, np.int64)
+                for k in range(len(d) - 1):
+                    j = k + 1 + np.flatnonzero((c[k + 1 :] != c[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= PERCENT * np.maximum(n[k + 1 :], n[k])))
+                    if len(j):
+                        out.append(np.stack([np.full(len(j), d[k]), d[j], np.full(len(j), n[k]), n[j], np.full(len(j), w)]))
+                        size += len(j)
+                if size > 500_000:
+                    yield _summed(out)
+                    out, size = [], 0
+            if out:
+                yield _summed(out)
+
+    rows = lists.mapInArrow(pair, "a bigint, b bigint, n0 bigint, n1 bigint, w bigint").groupBy("a", "b", "n0", "n1").agg(F.sum("w").alias("w"))
+    n0, n1 = F.col("n0"), F.col("n1")
+    behind = F.greatest(*(F.ceil(PERCENT * n / 100) - 1 for n in (n0, n1)))
+    return rows.where(similar(n0, n1, F.least(n0, n1, F.col("w") + behind))).select("a", "b").distinct()
+
+
+def _summed(out: list[np.ndarray]) -> pa.RecordBatch:
+    x = np.concatenate(out, 1)
+    order = np.lexsort((x[1], x[0]))
+    x = x[:, order]
+    cut = np.flatnonzero(np.concatenate([[True], (x[:4, 1:] != x[:4, :-1]).any(0)]))
+    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(v[cut])) for v in x[:4]), pa.array(np.add.reduceat(x[4], cut))], names=["a", "b", "n0", "n1", "w"])
+
+
 def _overlaps(source: DataFrame, pairs: DataFrame, column: str, vertical: int) -> DataFrame:
     """(a, b, n0, n1, l0, l1, both): sizes, sizes of the parts looked at, and their overlap, for each pair and fragment.
 
@@ -319,16 +353,16 @@ def _groups(docs: DataFrame, parts: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = _base(docs)
     lists = staged(posting_lists(parts, hot_shingles(parts)), "lists")
-    tried = staged(_pairs(lists, 0), "pairs")
+    tried = staged(_stars(lists, 0), "pairs")
     none = spark.createDataFrame([], "a bigint, b bigint")
     links = verified(base, parts, tried) or none
     comps = components(spark, links, "components")
-    lists = staged(lists.where("size(nodes) > 2").withColumn("id", F.xxhash64("nodes")).dropDuplicates(["id"]), "lists")
+    lists = staged(lists.where("size(nodes) > 2").withColumn("id", F.xxhash64("nodes")).groupBy("id").agg(F.first("nodes").alias("nodes"), F.first("sizes").alias("sizes"), F.sum("weight").alias("weight")), "lists")
     for turn in [*range(1, STARS + 1), None]:
         each = lists.select("id", F.posexplode("nodes").alias("i", "node")).join(comps, "node", "left").select("id", "i", F.coalesce("root", "node").alias("comp"))
         spread = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "comp"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         lists = staged(lists.drop("comps").join(spread.select("id", F.col("c.comp").alias("comps")), "id"), "open")
-        pairs = staged(_pairs(lists, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = staged((_rest(lists) if turn is None else _stars(lists, turn)).join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
         tried = tried.union(pairs)

@@ -46,9 +46,9 @@ from .common import NO_ID, ODD, WordHashes, combine, keyed, mix, staged
 WINDOW = 20
 ROUNDS = 2
 #: Shuffle partitions to a fragment of the key space.
-FRAGMENTS = 2
+FRAGMENTS = 1
 #: Words that are worked on at once, about (a document is never split).
-BATCH_WORDS = 3_000_000
+BATCH_WORDS = 1_500_000
 
 _HASHES = WordHashes()
 
