@@ -45,13 +45,27 @@ def _remove(at: str) -> None:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    Shuffle files of the write are of no use then, but Spark's cleaner only
+    drops those whose plans the driver's collector has found dead; it is asked
+    to look now, or they would pile up until the driver's heap is full.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a ``staged`` table that nothing will read again."""
+    folder = df.inputFiles()[0].rsplit("/", 1)[0]
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def doc_column() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
 
@@ -131,7 +145,8 @@ def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
         low2 = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(low2, large.b == low2.u)
         new = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), F.col("b"))).where("a <> b").distinct()
-        e = staged(new, label)
+        last, e = e, staged(new, label)
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root"))

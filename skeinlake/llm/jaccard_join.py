@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, components, mix, shingle_hashes, staged
+from .common import NO_ID, WordHashes, components, discard, mix, shingle_hashes, staged
 
 WIDTH, PERCENT = 5, 75
 #: Shingles that can be hot at most.
@@ -53,7 +53,7 @@ HOT = 1 << 19
 LEAST_HOT = 16
 VERTICAL = 2
 #: Parts of the hash space, in 64ths.
-LOW, FIRST = 26, 13
+LOW, FIRST = 26, 26
 STARS = 1
 #: Documents of a pivot that one task verifies, about.
 SALT = 2000
@@ -140,23 +140,23 @@ def hot_shingles(parts: DataFrame) -> np.ndarray:
     total = counts.agg(F.sum("total")).first()[0] or 0
     least = max(LEAST_HOT, -(-total // HOT))
     rows = counts.where(F.col("n") >= least).select("shingle").toArrow()
+    discard(counts)
     return np.sort(rows.column("shingle").to_numpy().view(np.uint64))
 
 
-PACKET = "frag int, keys binary, who binary, nodes binary, sizes binary"
+#: keys: the low 32 bits of a fragment's shingles by document (an equal pair of others costs a verification); many: how many each document has.
+PACKET = "frag int, keys binary, many binary, nodes binary, sizes binary"
 LISTS = "nodes array<bigint>, sizes array<int>, weight int"
 
 
 def _lists(table: pa.Table) -> pa.Table:
     """The distinct lists of two and more documents that share a shingle of this fragment, smallest document first."""
     keys, nodes, sizes = [], [], []
-    for k, w, d, n in zip(*([v.as_py() for v in table.column(x)] for x in ("keys", "who", "nodes", "sizes")), strict=True):
-        w = np.frombuffer(w, "<u4")
-        raw = np.zeros((len(w), 8), np.uint8)
-        raw[:, :6] = np.frombuffer(k, np.uint8).reshape(-1, 6)
-        keys.append(raw.view("<u8").ravel())
-        nodes.append(np.frombuffer(d, np.int64)[w])
-        sizes.append(np.frombuffer(n, "<i4")[w])
+    for k, m, d, n in zip(*([v.as_py() for v in table.column(x)] for x in ("keys", "many", "nodes", "sizes")), strict=True):
+        m = np.frombuffer(m, "<u4")
+        keys.append(np.frombuffer(k, "<u4"))
+        nodes.append(np.repeat(np.frombuffer(d, np.int64), m))
+        sizes.append(np.repeat(np.frombuffer(n, "<i4"), m))
     key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
     order = np.lexsort((node, key))
     key, node, size = key[order], node[order], size[order]
@@ -205,10 +205,9 @@ def posting_lists(parts: DataFrame, hot: np.ndarray) -> DataFrame:
             all_nodes, all_sizes = np.array(nodes, np.int64), np.array(sizes, np.int32)
             for f in np.flatnonzero(np.diff(at)):
                 own = order[at[f] : at[f + 1]]
-                few, w = np.unique(who[own], return_inverse=True)
-                raw = key[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                cells = [np.ascontiguousarray(raw).tobytes(), w.astype("<u4").tobytes(), all_nodes[few].tobytes(), all_sizes[few].astype("<i4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32())] + [pa.array([x], pa.binary()) for x in cells], names=["frag", "keys", "who", "nodes", "sizes"])
+                few, many = np.unique(who[own], return_counts=True)
+                cells = [key[own].astype("<u4").tobytes(), many.astype("<u4").tobytes(), all_nodes[few].tobytes(), all_sizes[few].astype("<i4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32())] + [pa.array([x], pa.binary()) for x in cells], names=["frag", "keys", "many", "nodes", "sizes"])
 
     return parts.select("node", "n", "low").mapInArrow(packets, PACKET).groupBy("frag").applyInArrow(_lists, LISTS)
 
@@ -336,11 +335,14 @@ def verified(base: DataFrame, parts: DataFrame, pairs: DataFrame) -> DataFrame |
     most = F.col("both") + F.least(n0 - F.col("l0"), n1 - F.col("l1"))
     likely = staged(_overlaps(parts, pairs, "low", 1).where(similar(n0, n1, most)).select("a", "b").distinct(), "likely")
     if likely.isEmpty():
+        discard(likely)
         return None
     partial = _overlaps(base.withColumn("n", F.lit(0)), likely, "text", VERTICAL)
     # rows that share a doc_id are told apart by their sizes; equal ones count once
     whole = partial.groupBy("a", "b", "n0", "n1").agg((F.sum("both") / (F.count("*") / VERTICAL)).cast("bigint").alias("both"))
-    return staged(whole.where(similar(n0, n1, F.col("both"))).select("a", "b").distinct(), "links")
+    links = staged(whole.where(similar(n0, n1, F.col("both"))).select("a", "b").distinct(), "links")
+    discard(likely)
+    return links
 
 
 def _batch(rows: dict) -> pa.RecordBatch:
@@ -357,11 +359,13 @@ def _groups(docs: DataFrame, parts: DataFrame) -> DataFrame:
     none = spark.createDataFrame([], "a bigint, b bigint")
     links = verified(base, parts, tried) or none
     comps = components(spark, links, "components")
-    lists = staged(lists.where("size(nodes) > 2").withColumn("id", F.xxhash64("nodes")).groupBy("id").agg(F.first("nodes").alias("nodes"), F.first("sizes").alias("sizes"), F.sum("weight").alias("weight")), "lists")
+    first, lists = lists, staged(lists.where("size(nodes) > 2").withColumn("id", F.xxhash64("nodes")).groupBy("id").agg(F.first("nodes").alias("nodes"), F.first("sizes").alias("sizes"), F.sum("weight").alias("weight")), "lists")
+    discard(first)
     for turn in [*range(1, STARS + 1), None]:
         each = lists.select("id", F.posexplode("nodes").alias("i", "node")).join(comps, "node", "left").select("id", "i", F.coalesce("root", "node").alias("comp"))
         spread = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "comp"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        lists = staged(lists.drop("comps").join(spread.select("id", F.col("c.comp").alias("comps")), "id"), "open")
+        last, lists = lists, staged(lists.drop("comps").join(spread.select("id", F.col("c.comp").alias("comps")), "id"), "open")
+        discard(last)
         pairs = staged((_rest(lists) if turn is None else _stars(lists, turn)).join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
