@@ -44,7 +44,7 @@ def _remove(at: str) -> None:
     shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     Shuffle files of the write are of no use then, but Spark's cleaner only
@@ -53,7 +53,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

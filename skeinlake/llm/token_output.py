@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, keyed, shared_dir, staged
+from .common import NO_ID, discard, keyed, shared_dir, staged
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -235,7 +235,7 @@ def rank_table(tokens: DataFrame, path: str) -> DataFrame:
 def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Write the blocks of ``docs`` under ``to``/blocks and the rank table under ``to``/ranks."""
     path = path or tokenizer_path()
-    tokens = staged(encoded(docs, path, end_id), "tokens")
+    tokens = staged(encoded(docs, path, end_id), "tokens", "zstd")
     ids = np.array([r.id for r in rank_table(tokens, path).collect()], np.uint32)  # as many as the vocabulary has, at most
     spark = docs.sparkSession
     spark.createDataFrame([(k, int(x)) for k, x in enumerate(ids)], "rank int, id bigint").coalesce(1).write.parquet(f"{to}/ranks")
@@ -271,6 +271,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = tokens.repartitionByRange(n, "doc", "h").sortWithinPartitions("doc", "h")
     ordered.mapInArrow(write, "part int, before bigint, n_ids bigint, payload binary").write.option("compression", "uncompressed").parquet(f"{to}/blocks")
+    discard(tokens)
 
 
 def read_tokens(spark: SparkSession, at: str) -> DataFrame:
