@@ -8,9 +8,11 @@ join. Each symbol carries the extent of words that decided it; equal
 substrings share every symbol whose extent lies inside them.
 
 A window of 20 words is anchored at the symbol of widest extent inside it, of
-equally wide ones that of least hash (at its own words, if there is none). Windows with one anchor stand in a row,
-a group. Groups are exchanged as (anchor, hash of all words of the group,
-document, place):
+equally wide ones that of least hash (at its own words, if there is none). On one side of
+that symbol the window has half of its other words or more, on the left if on both;
+the words of the symbol with that half are its anchor: equal windows have equal ones.
+Windows with one anchor stand in a row, a group. Groups are exchanged as (anchor,
+hash of all words of the group, document, place):
 
 * the group's words occur earlier: all its windows are repeats;
 * its anchor occurs nowhere else: none is;
@@ -149,11 +151,16 @@ def anchored(words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, rounds:
         x, y = row[a[at]], row[b[at] - (1 << j)]
         anchor[at] = np.where(key[x] <= key[y], x, y)
     ranges = Ranges(words)
-    begin = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (anchor[1:] < 0) | (start[1:] != start[:-1] + 1)])
+    found = anchor >= 0
+    # the anchor's words and half of the window's others, on the side that has them
+    a, b = np.where(found, lo[anchor], start), np.where(found, hi[anchor] + 1, start + window)
+    half = (window - (b - a) + 1) // 2
+    left = a - start >= half
+    begin = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1]) | ~found[1:] | (start[1:] != start[:-1] + 1)])
     g = np.flatnonzero(begin)
     s1, s2 = start[g], start[np.append(g[1:], len(start)) - 1]
-    whole = ranges.of(s1, s2 + window)
-    return np.where(anchor[g] >= 0, key[anchor[g]], whole), whole, s1, s2
+    a, b, half, left = a[g], b[g], half[g], left[g]
+    return ranges.of(np.where(left, a - half, a), np.where(left, b, b + half)), ranges.of(s1, s2 + window), s1, s2
 
 
 def _packets(key, whole, who, s1, s2, docs, hs, fragments, anchors=True):
