@@ -210,7 +210,8 @@ def _unpacked(keys, wholes, doc, h, many, s1, s2):
 
 
 PACKET = "frag int, keys binary, wholes binary, doc binary, h binary, many binary, s1 binary, s2 binary"
-VERDICT = "doc bigint, h bigint, s1 binary, s2 binary, verdict binary"
+#: span: first start, starts behind it (a byte) and verdict (a byte) of a group. A row a group, as rows by document and fragment would grow with both.
+VERDICT = "doc bigint, h bigint, span bigint"
 REPEATED, UNDECIDED = 1, 2
 
 
@@ -246,10 +247,15 @@ def _judge(table: pa.Table) -> pa.Table:
             verdict[rest[hit]] = UNDECIDED
     out = np.flatnonzero(verdict)
     out = out[np.lexsort((s1[out], h[out], doc[out]))]
-    cut = np.flatnonzero(np.concatenate([[True], (doc[out][1:] != doc[out][:-1]) | (h[out][1:] != h[out][:-1])])) if len(out) else out
-    to = np.append(cut[1:], len(out)) if len(out) else out
-    pick = lambda x, kind: pa.array([x[out[a:b]].astype(kind).tobytes() for a, b in zip(cut, to, strict=True)], pa.binary())
-    return pa.Table.from_arrays([pa.array(doc[out[cut]]), pa.array(h[out[cut]]), pick(s1, "<i4"), pick(s2, "u1"), pick(verdict, "i1")], names=["doc", "h", "s1", "s2", "verdict"])
+    span = s1[out].astype(np.int64) << 16 | s2[out].astype(np.int64) << 8 | verdict[out]
+    return pa.Table.from_arrays([pa.array(doc[out]), pa.array(h[out]), pa.array(span)], names=["doc", "h", "span"])
+
+
+def _spans(spans: list[int] | None, verdict: int) -> tuple[np.ndarray, np.ndarray]:
+    """First starts, and starts behind those, of a document's groups of one verdict."""
+    x = np.array(spans or [], np.int64)
+    x = x[x & 255 == verdict]
+    return x >> 16, x >> 8 & 255
 
 
 def _exchange(packets: DataFrame) -> DataFrame:
@@ -290,23 +296,21 @@ def _verdicts(docs: DataFrame, window: int, fragments: int) -> DataFrame:
         for ids, hs, words, sizes, rest in _chunks(it):
             begin = np.cumsum(sizes) - sizes
             who, start = [], []
-            for k, (s1, s2, verdict) in enumerate(rest):
-                for a, b, v in zip(s1, s2, verdict, strict=True):
-                    open_ = np.frombuffer(v, "i1") == UNDECIDED
-                    a, b = np.frombuffer(a, "<i4")[open_].astype(np.int64), np.frombuffer(b, "u1")[open_].astype(np.int64) + 1
-                    s = np.repeat(a - (np.cumsum(b) - b), b) + np.arange(b.sum())
-                    start.append(s)
-                    who.append(np.full(len(s), k))
+            for k, (spans,) in enumerate(rest):
+                a, b = _spans(spans, UNDECIDED)
+                b = b + 1
+                s = np.repeat(a - (np.cumsum(b) - b), b) + np.arange(b.sum())
+                start.append(s)
+                who.append(np.full(len(s), k))
             if start and sum(map(len, start)):
                 who, start = np.concatenate(who), np.concatenate(start)
                 at = start + begin[who]
                 key = Ranges(words).of(at, at + window)
                 yield _packets(key, key, who, start, start, ids, hs, fragments, anchors=False)
 
-    by_doc = lambda v: v.groupBy("doc", "h").agg(*(F.collect_list(x).alias(x) for x in ("s1", "s2", "verdict")))
-    has = F.instr(F.hex("verdict"), "02") > 0
-    undecided = packed(docs).join(by_doc(first.where(has)).hint("shuffle_hash"), ["doc", "h"])
-    second = _exchange(undecided.select("doc", "h", "text", "s1", "s2", "verdict").mapInArrow(windows, PACKET))
+    by_doc = lambda v: v.groupBy("doc", "h").agg(F.collect_list("span").alias("spans"))
+    undecided = packed(docs).join(by_doc(first.where(f"span & 255 = {UNDECIDED}")).hint("shuffle_hash"), ["doc", "h"])
+    second = _exchange(undecided.select("doc", "h", "text", "spans").mapInArrow(windows, PACKET))
     return by_doc(first.union(second))
 
 
@@ -320,15 +324,13 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(it):
         for b in it:
             n, gone, sha, kept = [], [], [], []
-            spans = zip(*(b.column(x).to_pylist() for x in ("s1", "s2", "verdict")), strict=True)
-            for text, (s1, s2, verdict) in zip(b.column("text").to_pylist(), spans, strict=True):
+            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 words = split(text)
                 n.append(len(words))
                 left = words
-                if s1:
-                    v = np.frombuffer(b"".join(verdict), "i1") == REPEATED
-                    a = np.frombuffer(b"".join(s1), "<i4")[v].astype(np.int64)
-                    e = a + np.frombuffer(b"".join(s2), "u1")[v] + window
+                if spans:
+                    a, e = _spans(spans, REPEATED)
+                    e = a + e + window
                     depth = np.zeros(len(words) + 1, np.int64)
                     np.add.at(depth, a, 1)
                     np.add.at(depth, e, -1)
@@ -341,7 +343,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 [b.column("doc"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept_sha256", "kept"]
             )
 
-    out = packed(base).join(verdicts.hint("shuffle_hash"), ["doc", "h"], "left").select("doc", "text", "s1", "s2", "verdict").mapInArrow(cut, "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    out = packed(base).join(verdicts.hint("shuffle_hash"), ["doc", "h"], "left").select("doc", "text", "spans").mapInArrow(cut, "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
     return out.select(F.expr(f"if(doc = {NO_ID}L, null, doc)").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
 
 
