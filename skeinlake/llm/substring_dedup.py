@@ -50,7 +50,7 @@ ROUNDS = 2
 #: Shuffle partitions to a fragment of the key space.
 FRAGMENTS = 1
 #: Words that are worked on at once, about (a document is never split).
-BATCH_WORDS = 1_500_000
+BATCH_WORDS = 750_000
 
 _HASHES = WordHashes()
 
