@@ -50,9 +50,9 @@ ROUNDS = 2
 #: Shuffle partitions to a fragment of the key space.
 FRAGMENTS = 1
 #: Words that are worked on at once, about (a document is never split).
-BATCH_WORDS = 750_000
+BATCH_WORDS = 400_000
 
-_HASHES = WordHashes()
+_HASHES = WordHashes(150_000)
 
 
 def split(text: str | bytes) -> list[bytes]:
@@ -245,6 +245,8 @@ def _judge(table: pa.Table) -> pa.Table:
             rest = own[verdict[own] == 0]
             hit = np.isin(key[rest], key[repeated])
             verdict[rest[hit]] = UNDECIDED
+    del parts
+    pa.default_memory_pool().release_unused()
     out = np.flatnonzero(verdict)
     out = out[np.lexsort((s1[out], h[out], doc[out]))]
     span = s1[out].astype(np.int64) << 16 | s2[out].astype(np.int64) << 8 | verdict[out]
