@@ -57,6 +57,8 @@ LOW, FIRST = 26, 26
 STARS = 1
 #: Documents of a pivot that one task verifies, about.
 SALT = 2000
+#: Bits of the filter that keeps rows no pair asks for out of a shuffle: 2 MB, whatever the number of pairs.
+BITS = 1 << 24
 BATCH_SHINGLES = 1_500_000
 SYNTHETIC = 1 << 61
 
@@ -269,10 +271,32 @@ def _summed(out: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(v[cut])) for v in x[:4]), pa.array(np.add.reduceat(x[4], cut))], names=["a", "b", "n0", "n1", "w"])
 
 
+def _asked(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``source`` without most rows whose node is not in ``wanted``; a join has to follow."""
+    spark = source.sparkSession
+    bit = F.pmod(F.xxhash64("node"), F.lit(BITS))
+    x = (bit + 1).alias("x")
+    maps = wanted.select(x).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).toArrow()
+    bits = np.zeros(BITS // 8, np.uint8)
+    for k, own in zip(maps.column("k").to_pylist(), maps.column("bits").to_pylist(), strict=True):
+        bits[(k - 1) * len(own) : k * len(own)] = np.frombuffer(own, np.uint8)
+    shared = spark.sparkContext.broadcast(bits)
+
+    def keep(it):
+        for b in it:
+            at = b.column("bit").to_numpy()
+            some = b.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            if some.num_rows:
+                yield some.drop_columns(["bit"])
+
+    return source.withColumn("bit", bit).mapInArrow(keep, source.schema)
+
+
 def _overlaps(source: DataFrame, pairs: DataFrame, column: str, vertical: int) -> DataFrame:
     """(a, b, n0, n1, l0, l1, both): sizes, sizes of the parts looked at, and their overlap, for each pair and fragment.
 
-    ``column`` of source is the text, or the low part; of the latter, only the lowest FIRST is looked at.
+    ``column`` of source is the text, or the low part; of the latter, only the lowest FIRST is looked at,
+    and the upper half of its hashes: both is an upper bound then.
     """
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select(F.col("b").alias("node"), F.struct("a", "salts", F.lit(True).alias("member")).alias("to"))
@@ -282,7 +306,7 @@ def _overlaps(source: DataFrame, pairs: DataFrame, column: str, vertical: int) -
     def cells(value, n):
         if column == "low":
             s = np.frombuffer(value, np.uint64)
-            return n, [s[: _below(s, FIRST)].tobytes()]
+            return n, [(s[: _below(s, FIRST)] >> np.uint64(32)).astype("<u4").tobytes()]
         s = shingles(value)
         cut = [0, *(_below(s, 64 * v // vertical) for v in range(1, vertical)), len(s)]
         return len(s), [s[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
@@ -303,15 +327,17 @@ def _overlaps(source: DataFrame, pairs: DataFrame, column: str, vertical: int) -
             if rows["a"]:
                 yield _batch(rows)
 
-    spread = source.select("node", column, "n").join(wanted.hint("shuffle_hash"), "node").mapInArrow(deal, "a bigint, v int, salt int, member boolean, node bigint, n int, part binary")
+    spread = _asked(source.select("node", column, "n"), wanted.select("node")).join(wanted.hint("shuffle_hash"), "node").mapInArrow(deal, "a bigint, v int, salt int, member boolean, node bigint, n int, part binary")
     dealt = spread.repartition("a", "v", "salt").sortWithinPartitions("a", "v", "salt", "member")
 
+    kind = "<u4" if column == "low" else "<u8"
+
     def overlap(it):
         at, pivot = None, []
         for batch in it:
             rows = {x: [] for x in ("a", "b", "n0", "n1", "l0", "l1", "both")}
             for a, v, salt, member, node, n, part in zip(*(batch.column(x).to_pylist() for x in ("a", "v", "salt", "member", "node", "n", "part")), strict=True):
-                own = np.frombuffer(part, np.uint64)
+                own = np.frombuffer(part, kind)
                 if at != (a, v, salt):
                     at, pivot = (a, v, salt), []
                 if not member:
