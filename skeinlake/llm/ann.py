@@ -6,8 +6,8 @@ rows). In a block each of ``PROJECTIONS`` random projections keeps its own
 sorted array. A query opens a window around its own projection in every array;
 widening the radius (virtual rehashing) only adds what is new at both ends. A
 vector that fell into ``THRESHOLD`` of the windows is verified by its distance.
-A query is done in a block once its k-th best verified distance is within the
-radius: with a window of ``WIDTH`` radii, a vector within the radius collides
+A query is done in a block once the k-th best verified distance, one of each
+vec_id, is within the radius: with a window of ``WIDTH`` radii, a vector within the radius collides
 in 83 % of the projections, so one is missed about once in a thousand.
 
 Blocks give k neighbours each, merged per query. Every row is indexed, nothing
@@ -67,15 +67,16 @@ class Block:
             gap = self.x[check] - q
             found, dist = np.append(found, self.ids[check]), np.append(dist, np.sqrt((gap * gap).sum(1)))
             done = (lo == 0).all() and (hi == n).all()
-            if len(dist) > k:
-                keep = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-                keep = keep[np.lexsort((found[keep], dist[keep]))][: 4 * k]
-                found, dist = found[keep], dist[keep]
-            if done or len(set(found.tolist())) >= k and np.sort(dist)[k - 1] <= radius:
+            order = np.lexsort((dist, found))
+            found, dist = found[order], dist[order]
+            least = np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]  # one row of each id
+            found, dist = found[least], dist[least]
+            order = np.lexsort((found, dist))[:k]
+            found, dist = found[order], dist[order]
+            if done or len(dist) == k and dist[-1] <= radius:
                 break
             radius *= STEP
-        order = np.lexsort((found, dist))
-        return found[order], dist[order]
+        return found, dist
 
 
 def _search(k: int):

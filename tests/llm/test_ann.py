@@ -40,3 +40,18 @@ def test_recall_and_order(spark, monkeypatch):
     few = table.where("vec_id < 4")
     assert ann.neighbours(few, few.where("vec_id = 0")).count() == 3
     assert ann.neighbours(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_repeated_rows_push_no_neighbour_out(spark):
+    r = np.random.default_rng(2)
+    rows = [(k, r.standard_normal(16).tolist()) for k in range(200)]
+    near = (np.array(rows[0][1]) + 0.001).tolist()
+    rows += rows + [(500, near)] * 60 + [(501, rows[9][1]), (501, near)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    queries = {0, 40, 80, 120, 160}
+    got = {}
+    for x in ann.neighbours(table, table.where(table.vec_id.isin(*queries))).collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    want = brute(rows, queries, 10)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(queries, 10)
+    assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in queries) >= 49
