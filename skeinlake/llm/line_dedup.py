@@ -1,15 +1,16 @@
 """Line dedup by pairwise alignment.
 
 Lines are what stands between newlines; two lines are equal if their 64-bit
-hashes are. A line is rare here if it has ``MIN_WORDS`` words or more and stands
-once in its document: such lines anchor patience diff. How many documents hold
+hashes are. A line is rare here if it has ``MIN_WORDS`` words or more: such lines
+anchor patience diff, those that stand once first. How many documents hold
 it does not count against it, since a group of copies makes all its lines
 frequent.
 
 Each rare line leads to the first document that holds it (rarely more than one
 or two for a document), so a group of n copies gives n - 1 pairs, not n squared.
 Each pair is aligned: rare lines of both, longest increasing run of them, and
-again between those; matches grow over equal neighbours of any kind. Aligned
+again between those; where none is unique, a longest common subsequence of those
+that both hold decides, as in an ordinary diff. Matches grow over equal neighbours of any kind. Aligned
 lines are deleted from the later document. A line is only ever deleted for an
 equal one in an earlier document, so the first copy of each stays.
 
@@ -27,6 +28,7 @@ travel along in ``without_copied_lines``.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import doc_column, keyed, staged
 
 MIN_WORDS = 5
+#: Bits of alignment state that one gap takes at most (64 MB).
+BITS = 1 << 29
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -58,25 +62,9 @@ def patience(a: list[int], b: list[int], anchors_a: set[int], anchors_b: set[int
         once_a = _once(a, a0, a1, anchors_a)
         once_b = _once(b, b0, b1, anchors_b)
         pairs = sorted((once_a[x], once_b[x]) for x in once_a.keys() & once_b.keys())
-        if not pairs:
+        chain = _increasing(pairs) if pairs else _common(a, a0, a1, anchors_a, b, b0, b1, anchors_b)
+        if not chain:
             continue
-        tops: list[int] = []
-        piles: list[int] = []
-        back = [-1] * len(pairs)
-        for k, (_, y) in enumerate(pairs):
-            p = bisect_left(tops, y)
-            back[k] = piles[p - 1] if p else -1
-            if p == len(tops):
-                tops.append(y)
-                piles.append(k)
-            else:
-                tops[p], piles[p] = y, k
-        chain = []
-        k = piles[-1]
-        while k >= 0:
-            chain.append(pairs[k])
-            k = back[k]
-        chain.reverse()
         x0, y0 = a0, b0
         for x, y in chain:
             if x < x0 or y < y0:
@@ -93,6 +81,76 @@ def patience(a: list[int], b: list[int], anchors_a: set[int], anchors_b: set[int
     return hit
 
 
+def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs, sorted by their first places, whose second places increase."""
+    tops: list[int] = []
+    piles: list[int] = []
+    back = [-1] * len(pairs)
+    for k, (_, y) in enumerate(pairs):
+        p = bisect_left(tops, y)
+        back[k] = piles[p - 1] if p else -1
+        if p == len(tops):
+            tops.append(y)
+            piles.append(k)
+        else:
+            tops[p], piles[p] = y, k
+    chain = []
+    k = piles[-1]
+    while k >= 0:
+        chain.append(pairs[k])
+        k = back[k]
+    return chain[::-1]
+
+
+def _common(a: list[int], a0: int, a1: int, anchors_a: set[int], b: list[int], b0: int, b1: int, anchors_b: set[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of the anchors in a gap without unique ones."""
+    both = {v for v in a[a0:a1] if v in anchors_a} & {v for v in b[b0:b1] if v in anchors_b}
+    if not both:
+        return []
+    x = [k for k in range(a0, a1) if a[k] in both]
+    y = [k for k in range(b0, b1) if b[k] in both]
+    return [(x[i], y[j]) for i, j in subsequence([a[k] for k in x], [b[k] for k in y])]
+
+
+def _rows(x: list[int], y: list[int]) -> Iterator[int]:
+    """For each prefix of ``x``, a bit per place of ``y``: 0 where the common subsequence grows (Hyyro's bit vectors)."""
+    at: dict[int, int] = {}
+    for j, v in enumerate(y):
+        at[v] = at.get(v, 0) | 1 << j
+    full = row = (1 << len(y)) - 1
+    for v in x:
+        u = row & at.get(v, 0)
+        row = (row + u | row - u) & full
+        yield row
+
+
+def subsequence(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence; halves ``x`` where the bit vectors would take over ``BITS``."""
+    if not x or not y:
+        return []
+    if len(x) > 1 and len(x) * len(y) > BITS:
+        half = len(x) // 2
+        grown = []
+        for p, q in ((x[:half], y), (x[:half - 1:-1], y[::-1])):
+            *_, row = _rows(p, q)
+            bits = np.unpackbits(np.frombuffer(row.to_bytes(len(q) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(q)]
+            grown.append(np.concatenate([[0], np.cumsum(bits == 0)]))
+        cut = int(np.argmax(grown[0] + grown[1][::-1]))
+        return subsequence(x[:half], y[:cut]) + [(i + half, j + cut) for i, j in subsequence(x[half:], y[cut:])]
+    rows = list(_rows(x, y))
+    out = []
+    i, j = len(x), len(y)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def _once(x: list[int], begin: int, end: int, anchors: set[int]) -> dict[int, int]:
     seen: dict[int, int] = {}
     for k in range(begin, end):

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from skeinlake.llm import line_dedup as d
 
@@ -50,3 +51,30 @@ def test_patience_keeps_order_and_grows():
     hit = d.patience(a, b, {"X", "Y"}, {"X", "Y"})
     assert sorted(hit) == [1, 2, 3, 5, 6, 7]
     assert d.patience(list("XY"), list("YX"), {"X", "Y"}, {"X", "Y"}) in ([0], [1])
+
+
+def _longest(a, b):
+    """Length of the longest common subsequence, by the plain table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+        row = new
+    return row[-1]
+
+
+def test_repeated_lines_align(monkeypatch):
+    r = random.Random(1)
+    for bits in (d.BITS, 20):
+        monkeypatch.setattr(d, "BITS", bits)
+        for _ in range(300):
+            a, b = ([r.randrange(4) for _ in range(r.randrange(14))] for _ in range(2))
+            pairs = d.subsequence(a, b)
+            assert len(pairs) == _longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+            # every line twice: no anchor is unique, so the whole alignment is the common subsequence
+            a, b = a + a, b + b
+            hit = d.patience(a, b, set(a), set(b))
+            assert len(hit) == len(set(hit)) == _longest(a, b) == _longest(a, [b[k] for k in sorted(hit)])
+    assert sorted(d.patience(list("XaX"), list("bXcXd"), {"X"}, {"X"})) == [1, 3]
