@@ -6,6 +6,11 @@ anchor patience diff, those that stand once first. How many documents hold
 it does not count against it, since a group of copies makes all its lines
 frequent.
 
+Short lines anchor by twos: a short line and the next one that is not blank, if
+that is short as well, are one rare line. So verse, lists and code are paired and
+aligned too. A text of several lines also leads to the first equal one. A short
+line between long ones, or alone in its text, starts no match.
+
 Each rare line leads to the first document that holds it (rarely more than one
 or two for a document), so a group of n copies gives n - 1 pairs, not n squared.
 Each pair is aligned: rare lines of both, longest increasing run of them, and
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_column, keyed, staged
+from .common import ODD, combine, doc_column, keyed, mix, staged
 
 MIN_WORDS = 5
 #: Bits of alignment state that one gap takes at most (64 MB).
@@ -43,26 +48,60 @@ BITS = 1 << 29
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc, h, lines (hashes in order), rare (which of them may be anchors)."""
+    """doc, h, lines (hashes in order), kind (of each: 0 blank, 1 short, 2 long enough to be an anchor)."""
     lines = F.split("text", "\n", -1)
     # enough words: a gap of spaces or tabs after at least MIN_WORDS - 1 words
-    long = F.transform(lines, lambda x: x.rlike(r"^\s*(\S+\s+){%d}\S" % (MIN_WORDS - 1)))
-    return keyed(docs).where("text <> ''").select("doc", "h", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), long.alias("rare"))
+    long = lambda x: x.rlike(r"^\s*(\S+\s+){%d}\S" % (MIN_WORDS - 1))
+    kind = F.transform(lines, lambda x: F.when(long(x), 2).when(x.rlike(r"\S"), 1).otherwise(0).cast("tinyint"))
+    return keyed(docs).where("text <> ''").select("doc", "h", F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), kind.alias("kind"))
+
+
+def anchor_keys(lines: np.ndarray, kind: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """What each line anchors by, 0 if by nothing: a long line by itself, a short one with the next if that is short (blank ones between count too)."""
+    x = lines.view(np.uint64)
+    key = np.where(kind == 2, x, np.uint64(0))
+    at = np.flatnonzero(kind > 0)
+    at = np.stack([at[:-1], at[1:]])[:, (kind[at[:-1]] == 1) & (kind[at[1:]] == 1) & (owner[at[:-1]] == owner[at[1:]])]
+    total = np.cumsum(mix(x + ODD), dtype=np.uint64)
+    key[at[0]] = combine(x[at[0]], total[at[1]] - total[at[0]])
+    return key.view(np.int64)
+
+
+def _anchors(it):
+    for b in it:
+        lists = b.column("lines")
+        size = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(b.num_rows), size)
+        lines, kind = lists.flatten().to_numpy(), b.column("kind").flatten().to_numpy()
+        key = anchor_keys(lines, kind, owner)
+        # a whole text of several lines is a key of its own
+        h = b.column("h").to_numpy()
+        several = np.flatnonzero(size > 1)
+        some = key != 0
+        who = np.concatenate([owner[some], several])
+        key = np.concatenate([key[some], mix(h[several].view(np.uint64)).view(np.int64)])
+        yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(who)), pa.array(h[who]), pa.array(key)], names=["doc", "h", "line"])
 
 
 def patience(a: list[int], b: list[int], anchors_a: set[int], anchors_b: set[int]) -> list[int]:
     """Places in ``b`` that align with equal ones in ``a``; anchors are values that may start a match."""
+    keys = lambda x, anchors: [v if v in anchors else None for v in x]
+    return aligned(a, b, keys(a, anchors_a), keys(b, anchors_b))
+
+
+def aligned(a: list[int], b: list[int], keys_a: list[int | None], keys_b: list[int | None]) -> list[int]:
+    """Places in ``b`` that align with equal ones in ``a``; places of equal keys, None being none, may start a match."""
     hit: list[int] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0] and (hit and hit[-1] == b0 - 1 or a[a0] in anchors_a):
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0] and (hit and hit[-1] == b0 - 1 or keys_a[a0] is not None and keys_a[a0] == keys_b[b0]):
             hit.append(b0)
             a0, b0 = a0 + 1, b0 + 1
-        once_a = _once(a, a0, a1, anchors_a)
-        once_b = _once(b, b0, b1, anchors_b)
+        once_a = _once(keys_a, a0, a1)
+        once_b = _once(keys_b, b0, b1)
         pairs = sorted((once_a[x], once_b[x]) for x in once_a.keys() & once_b.keys())
-        chain = _increasing(pairs) if pairs else _common(a, a0, a1, anchors_a, b, b0, b1, anchors_b)
+        chain = _increasing(pairs) if pairs else _common(keys_a, a0, a1, keys_b, b0, b1)
         if not chain:
             continue
         x0, y0 = a0, b0
@@ -102,9 +141,9 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def _common(a: list[int], a0: int, a1: int, anchors_a: set[int], b: list[int], b0: int, b1: int, anchors_b: set[int]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence of the anchors in a gap without unique ones."""
-    both = {v for v in a[a0:a1] if v in anchors_a} & {v for v in b[b0:b1] if v in anchors_b}
+def _common(a: list[int | None], a0: int, a1: int, b: list[int | None], b0: int, b1: int) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of the keys in a gap without unique ones."""
+    both = (set(a[a0:a1]) & set(b[b0:b1])) - {None}
     if not both:
         return []
     x = [k for k in range(a0, a1) if a[k] in both]
@@ -151,10 +190,10 @@ def subsequence(x: list[int], y: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _once(x: list[int], begin: int, end: int, anchors: set[int]) -> dict[int, int]:
+def _once(x: list[int | None], begin: int, end: int) -> dict[int, int]:
     seen: dict[int, int] = {}
     for k in range(begin, end):
-        if x[k] in anchors:
+        if x[k] is not None:
             seen[x[k]] = -1 if x[k] in seen else k
     return {v: k for v, k in seen.items() if k >= 0}
 
@@ -162,12 +201,14 @@ def _once(x: list[int], begin: int, end: int, anchors: set[int]) -> dict[int, in
 def _align(it):
     for b in it:
         cut = []
-        cols = (b.column(x).to_pylist() for x in ("lines", "rare", "lines0", "rare0"))
-        for own, rare, first, rare0 in zip(*cols, strict=True):
-            if own == first:
+        cols = (b.column(x) for x in ("lines", "kind", "lines0", "kind0"))
+        for row in zip(*cols, strict=True):
+            own, kind, first, kind0 = (x.values.to_numpy() for x in row)
+            if np.array_equal(own, first):
                 hit = range(len(own))
             else:
-                hit = patience(first, own, {v for v, r in zip(first, rare0, strict=True) if r}, {v for v, r in zip(own, rare, strict=True) if r})
+                keys, keys0 = (anchor_keys(x, k, np.zeros(len(x), np.int8)) for x, k in ((own, kind), (first, kind0)))
+                hit = aligned(first.tolist(), own.tolist(), [k or None for k in keys0.tolist()], [k or None for k in keys.tolist()])
             cut.append(np.unique(np.array(hit, np.int32)))
         yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), pa.array(cut, pa.list_(pa.int32()))], names=["doc", "h", "cut"])
 
@@ -175,14 +216,14 @@ def _align(it):
 def copied_lines(docs: DataFrame) -> DataFrame:
     """doc, h, cut: the places of the lines to delete, for documents that have some."""
     table = staged(line_table(docs), "lines")
-    one = table.select("doc", "h", F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("rare").alias("long"))).alias("x")).where("x.long").select("doc", "h", F.col("x.line").alias("line"))
+    one = table.mapInArrow(_anchors, "doc bigint, h bigint, line bigint")
     at = F.struct("doc", "h")
     first = one.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("line", "first")
     pairs = one.join(first, "line").where(at > F.col("first")).select("doc", "h", F.col("first.doc").alias("doc0"), F.col("first.h").alias("h0")).distinct()
     lines = table.dropDuplicates(["doc", "h"])
-    theirs = lines.select(F.col("doc").alias("doc0"), F.col("h").alias("h0"), F.col("lines").alias("lines0"), F.col("rare").alias("rare0"))
+    theirs = lines.select(F.col("doc").alias("doc0"), F.col("h").alias("h0"), F.col("lines").alias("lines0"), F.col("kind").alias("kind0"))
     both = pairs.join(lines, ["doc", "h"]).join(theirs, ["doc0", "h0"])
-    cut = both.select("doc", "h", "lines", "rare", "lines0", "rare0").mapInArrow(_align, "doc bigint, h bigint, cut array<int>")
+    cut = both.select("doc", "h", "lines", "kind", "lines0", "kind0").mapInArrow(_align, "doc bigint, h bigint, cut array<int>")
     return cut.where("size(cut) > 0").groupBy("doc", "h").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
 
 

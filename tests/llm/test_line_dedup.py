@@ -78,3 +78,13 @@ def test_repeated_lines_align(monkeypatch):
             hit = d.patience(a, b, set(a), set(b))
             assert len(hit) == len(set(hit)) == _longest(a, b) == _longest(a, [b[k] for k in sorted(hit)])
     assert sorted(d.patience(list("XaX"), list("bXcXd"), {"X"}, {"X"})) == [1, 3]
+
+
+def test_short_lines_lead_to_pairs(spark):
+    verse = "roses red\nviolets blue\n\nsugar sweet\nso you"
+    rows = [verse, verse, "own head\n" + verse + "\nown tail", "one\n", "one\n", "so you\nroses red", "so you"]
+    rows += ["x\ny\nx\ny", "z\nx\ny\nq\nx\ny"]
+    got = {r.doc_id: (r.n_deleted, r.kept_sha256) for r in d.deduplicated(docs(spark, rows)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    kept = {1: (5, ""), 2: (5, "own head\nown tail"), 4: (2, ""), 8: (4, "z\nq")}
+    assert got == {k: (n, sha(t)) for k, (n, t) in ({k: (0, t) for k, t in enumerate(rows)} | kept).items()}
