@@ -335,20 +335,22 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the benchmark's windows cut out of the texts; ``n_chars``, if there, follows. Null texts stay null."""
     names = docs.columns
-    out = docs.select(F.struct(*names).alias("row"), "text")
+    none = F.array().cast("array<bigint>")
+    out = docs.select(F.struct(*names).alias("row"), F.col("text").alias("old"), none.alias("left"), none.alias("right"))
     own = f"row {out.schema['row'].dataType.simpleString()}"
-    for block in _blocks(benchmark):
-        spans = leak_spans(out.select("row", F.col("text").alias("old"), F.coalesce("text", F.lit("")).alias("text")), block, window)
-
-        def cut(it):
-            for b in it:
-                texts = [
-                    t if not s else cut_words(t, list(zip(s, e, strict=True)))
-                    for t, s, e in zip(b.column("old").to_pylist(), b.column("starts").to_pylist(), b.column("ends").to_pylist(), strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
-
-        out = spans.mapInArrow(cut, f"{own}, text string")
+    for block in _blocks(benchmark):  # all on the text as it was, so that blocks make no difference
+        spans = leak_spans(out.withColumn("text", F.coalesce("old", F.lit(""))), block, window)
+        out = spans.select("row", "old", F.concat("left", "starts").alias("left"), F.concat("right", "ends").alias("right"))
+
+    def cut(it):
+        for b in it:
+            texts = []
+            for t, s, e in zip(b.column("old").to_pylist(), b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
+                s, e = merged(np.array(s, np.int64), np.array(e, np.int64))
+                texts.append(cut_words(t, list(zip(s.tolist(), e.tolist(), strict=True))) if len(s) else t)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+    out = out.mapInArrow(cut, f"{own}, text string")
     out = out.select(*(F.col("text") if x == "text" else F.col("row")[x].alias(x) for x in names))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -69,6 +69,17 @@ def test_removed_cuts_the_passage_and_keeps_the_rest(spark):
     assert got[0].n_chars == len(got[0].text) and got[0].starts == "x" and got[0]["items"] == 7
 
 
+def test_removed_is_the_same_in_blocks(spark, monkeypatch):
+    whole = [f"w{k}" for k in range(15)]
+    bench = [(1, " ".join(whole[:10])), (2, " ".join(whole)), (3, " ".join(f"v{k}" for k in range(10)))]
+    # without w0..w14, what stands before and after would be item 3, which the text never held
+    rows = ["Before: " + " ".join(whole) + " after.", "v0 v1 v2 v3 v4 " + " ".join(whole) + " v5 v6 v7 v8 v9", None]
+    once = [r.text for r in d.removed(docs(spark, rows), items(spark, bench)).orderBy("doc_id").collect()]
+    monkeypatch.setattr(d, "BLOCK_WORDS", 5)
+    blocks = [r.text for r in d.removed(docs(spark, rows), items(spark, bench)).orderBy("doc_id").collect()]
+    assert blocks == once == ["Before:  after.", "v0 v1 v2 v3 v4  v5 v6 v7 v8 v9", None]
+
+
 def test_fm_index_finds_every_occurrence():
     r = np.random.default_rng(5)
     for n in (1, 2, 30, 500):
