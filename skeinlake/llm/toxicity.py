@@ -1,7 +1,8 @@
 """Toxicity by weak supervision.
 
 1. A bounded sample of labelled training rows (``SAMPLE`` of least hash) gives
-   the lexicon: words whose presence goes with the toxic label.
+   the lexicon: words whose presence goes with the toxic label. Equal texts of
+   equal label count once there.
 2. Voters look at the same rows: one for each lexicon word (toxic or abstain),
    and patterns over the whole text (several hits, dense hits, no hit at all,
    shouting). A generative model of class-conditional votes is fitted by EM,
@@ -19,7 +20,7 @@ Defined results: null texts are empty; an empty text has no hits and gets the
 score of such texts; without a label of both classes every score is the
 training rate of toxic labels (0 without labels); rows are scored on their own,
 so repeated rows and extra columns need no care; a document with several label
-rows counts once for each; null labels are no labels; a null doc_id has none.
+rows counts once for each (in the lexicon, once for each class); null labels are no labels; a null doc_id has none.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .decontaminate import words_of
 SAMPLE = 20_000
 #: Words of the lexicon at most; least evidence (a z score of log odds) and toxic documents of each.
 LEXICON, LEAST_Z, LEAST_DOCS = 400, 3.5, 4
+#: Least ratio of a lexicon word's shares in toxic and in other documents, which holds at any rate of toxic labels.
+RATIO = 4
 THRESHOLD = 0.3
 PATTERNS = ("any hit", "two hits", "four hits", "dense", "very dense", "no hit", "shouting")
 
@@ -67,15 +70,17 @@ def lexicon(rows: DataFrame) -> dict[bytes, int]:
                     toxic.update(own)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([toxic[w] for w in n], pa.int64())], names=["word", "n", "a"])
 
-    by_word = rows.select("text", "toxic").mapInArrow(count, "word binary, n bigint, a bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(f"a >= {LEAST_DOCS}")
+    once = rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates()  # copies prove nothing more
+    by_word = once.mapInArrow(count, "word binary, n bigint, a bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(f"a >= {LEAST_DOCS}")
     whole = by_word.where("word = binary('')").first()
     if whole is None or whole.a == whole.n:
         return {}
     b, rest, a = F.col("n") - F.col("a"), whole.n - whole.a, F.col("a")
     odds = F.log((a + 0.5) / (whole.a - a + 0.5)) - F.log((b + 0.5) / (rest - b + 0.5))
     z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    # a word of the lexicon is mostly found in toxic documents, else it is common speech of long ones
-    top = by_word.where("word <> binary('')").withColumn("z", z).where(F.col("z") >= LEAST_Z).where(a / F.col("n") >= 3 * whole.a / whole.n)
+    # a word of the lexicon is said far more often by toxic documents, else it is common speech of long ones
+    often = (a + 0.5) / (whole.a + 1) >= RATIO * (b + 0.5) / (rest + 1)
+    top = by_word.where("word <> binary('')").withColumn("z", z).where(F.col("z") >= LEAST_Z).where(often)
     return {bytes(r.word): k for k, r in enumerate(top.orderBy(F.desc("z"), "word").limit(LEXICON).collect())}
 
 

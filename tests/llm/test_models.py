@@ -83,6 +83,19 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, []), labels).count() == 0
 
 
+def test_toxicity_at_any_share_of_toxic_labels(spark):
+    r = random.Random(5)
+    clean = _speech(3, ("the", "ing", "on", "er"), 600)
+    for every, copies in ((6, 400), (2, 0)):
+        texts = [t + " " + r.choice(("Vilewort.", "gruntel", "scabbo!")) if k % every == 0 else t for k, t in enumerate(clean)]
+        toxic = [int(k % every == 0) for k in range(600)] + [1] * copies
+        texts += [texts[0]] * copies
+        labels = spark.createDataFrame([(k, y) for k, y in enumerate(toxic)], "doc_id bigint, toxic int")
+        got = {x.doc_id: x for x in toxicity.toxicity(docs(spark, texts), labels).collect()}
+        held = [k for k in range(600) if got[k].held_out]
+        assert all(got[k].predicted == toxic[k] for k in held)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
