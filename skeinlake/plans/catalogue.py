@@ -101,6 +101,22 @@ def retrieve_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("k = 1").select("item_id", "doc_id", "place", "ties", (F.col("ties") == 1).alias("lone"))
 
 
+@query("""
+WITH q AS (SELECT item_id, lower(text) AS phrase FROM benchmark),
+m AS (SELECT item_id, doc_id, CASE WHEN starts_with(lower(text), phrase) THEN 0 WHEN contains(lower(text), phrase) THEN 1 END AS place FROM q, documents),
+r AS (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY place) AS k, count(*) OVER (PARTITION BY item_id, place) AS ties FROM m WHERE place IS NOT NULL)
+SELECT item_id, doc_id, CAST(place AS INT) AS place, ties, ties = 1 AS lone FROM r WHERE k = 1
+""")
+def retrieve_ties_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("phrase"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
+    place = F.when(F.startswith("t", "phrase"), 0).when(F.contains("t", "phrase"), 1)
+    m = d.join(b, F.contains("t", "phrase")).select("item_id", "doc_id", place.alias("place"))
+    by = Window.partitionBy("item_id")
+    r = m.withColumn("k", F.rank().over(by.orderBy("place"))).withColumn("ties", F.count("*").over(Window.partitionBy("item_id", "place")))
+    return r.where("k = 1").select("item_id", "doc_id", "place", "ties", (F.col("ties") == 1).alias("lone"))
+
+
 @query("SELECT item_id, doc_id FROM documents d JOIN (SELECT item_id, substr(text, 1, 40) AS phrase FROM benchmark WHERE item_id < 100) ON contains(d.text, phrase)")
 def topic_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").where("item_id < 100").select("item_id", F.substring("text", 1, 40).alias("phrase"))
