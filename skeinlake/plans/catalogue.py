@@ -123,6 +123,12 @@ def topic_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(F.broadcast(b), F.contains("text", "phrase")).select("item_id", "doc_id")  # a hundred phrases
 
 
+@query("SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def topic_containment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return table(spark, sf_dir, "documents").join(b, F.contains("text", "phrase")).select("item_id", "doc_id")
+
+
 _PARENTS = """p AS (SELECT 'customer:' || c_custkey AS id, 'nation:' || c_nationkey AS parent FROM customer
 UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation)"""
 

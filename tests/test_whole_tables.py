@@ -14,6 +14,8 @@ def test_phrases_are_whole_items(spark, tmp_path):
     texts = [head + "one", head + "two and more", "x " + head.upper() + "ONE", "y " + head + "one", head]
     items = [(5, head + "one"), (150, head + "two"), (250, "and"), (260, head + "three")]
     at = _tables(spark, tmp_path, documents=("doc_id bigint, text string", list(enumerate(texts))), benchmark=("item_id bigint, text string", items))
+    got = {tuple(r) for r in catalogue.queries()["topic_containment_whole"](spark, at).collect()}
+    assert got == {(i, k) for i, p in items for k, t in enumerate(texts) if p in t}
     want = set()
     for i, p in items:
         place = {k: 0 if t.lower().startswith(p) else 1 for k, t in enumerate(texts) if p in t.lower()}
