@@ -176,6 +176,15 @@ def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.overlay(d.where("path % 2 = 0"), d.where("path % 3 = 0"), d.where("path % 5 = 0"))
 
 
+@query("""
+SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN b.doc_id IS NULL THEN 'keep' WHEN a.doc_id IS NULL THEN 'add' ELSE 'replace' END AS action
+FROM documents a FULL JOIN (SELECT DISTINCT doc_id FROM labels ANTI JOIN pages ON page_id = doc_id) b ON a.doc_id = b.doc_id
+""")
+def overlay_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = lambda name, key: table(spark, sf_dir, name).select(F.col(key).alias("path"))
+    return sync.overlay(path("documents", "doc_id"), path("labels", "doc_id"), path("pages", "page_id"))
+
+
 @query("SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, CAST(strlen(html) AS BIGINT) AS bytes FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", sensors.page_title("html").alias("title"), core.byte_length(F.col("html")).alias("bytes"))
@@ -228,6 +237,15 @@ def evidence_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(p, F.col("p_partkey") == F.col("l_partkey"), "left").join(s, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("o_orderkey", "l_linenumber", "p_name", "s_name")
 
 
+@query("""
+SELECT o_orderkey, l_linenumber, p_name, s_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey
+""")
+def evidence_trace_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, l, p, s = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "part", "supplier"))  # noqa: E741
+    own = o.join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return own.join(p, F.col("p_partkey") == F.col("l_partkey"), "left").join(s, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("o_orderkey", "l_linenumber", "p_name", "s_name")
+
+
 @query(f"WITH {_EDGES} SELECT predicate, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY predicate")
 def edge_predicate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analogs.edges(spark, sf_dir).where(core.known_predicate(F.col("predicate"))).groupBy("predicate").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))

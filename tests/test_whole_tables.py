@@ -22,3 +22,14 @@ def test_phrases_are_whole_items(spark, tmp_path):
         best = [k for k, x in place.items() if x == min(place.values())]
         want |= {(i, k, place[k], len(best), len(best) == 1) for k in best}
     assert {tuple(r) for r in catalogue.queries()["retrieve_ties_whole"](spark, at).collect()} == want
+
+
+def test_overlay_and_evidence_of_whole_tables(spark, tmp_path):
+    at = _tables(
+        spark, tmp_path, documents=("doc_id bigint", [(1,), (2,), (5,)]), labels=("doc_id bigint", [(1,), (2,), (7,), (7,), (11,)]), pages=("page_id bigint", [(2,), (11,)]),
+        orders=("o_orderkey bigint, o_custkey bigint", [(1, 3), (2, 4)]), lineitem=("l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint", [(1, 1, 1, 1)]),
+        part=("p_partkey bigint, p_name string", [(1, "p")]), supplier=("s_suppkey bigint, s_name string", [(1, "s")]),
+    )
+    q = catalogue.queries()
+    assert {tuple(r) for r in q["overlay_merge_whole"](spark, at).collect()} == {(1, "replace"), (2, "keep"), (5, "keep"), (7, "add")}
+    assert {tuple(r) for r in q["evidence_trace_whole"](spark, at).collect()} == {(1, 1, "p", "s"), (2, None, None, None)}
