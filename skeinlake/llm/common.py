@@ -11,11 +11,13 @@ Row key
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,26 +46,51 @@ def _remove(at: str) -> None:
     shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
 
 
+_STAGED: set[str] = set()
+
+
 def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    Shuffle files of the write are of no use then, but Spark's cleaner only
-    drops those whose plans the driver's collector has found dead; it is asked
-    to look now, or they would pile up until the driver's heap is full.
+    Shuffle files of the write are of no use then; Spark drops them as the
+    write ends (they would otherwise stay until the driver collects the plan).
+    What is not discarded before goes when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    spark._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if not _STAGED:
+        atexit.register(_discard_all, spark)
+    _STAGED.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the folder of a ``staged`` table that nothing will read again."""
-    folder = df.inputFiles()[0].rsplit("/", 1)[0]
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _STAGED.discard(folder)
+
+
+def _discard_all(spark: SparkSession) -> None:
+    if not spark.sparkContext._jsc:
+        return  # the session is over
+    for folder in sorted(_STAGED):
+        _delete(spark, folder)
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Remove the folders of ``staged`` tables that nothing will read again."""
+    for df in dfs:
+        for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
 
 
 def doc_column() -> Column:
@@ -93,23 +120,68 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(mix(a + ODD) * np.uint64(0xD6E8FEB86659FD93) + b)
 
 
-class WordHashes(dict):
-    """bytes -> 64-bit hash, remembered. Forgets everything at ``limit`` words, so memory is bounded."""
+class Remembered(dict):
+    """A cache of a Python worker, bounded by bytes: it forgets all at ``limit``, and when a task ends (see ``task``)."""
+
+    every: list[Remembered] = []
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 24 << 20):
         super().__init__()
-        self.limit = limit
+        self.limit, self.size = limit, 0
+        Remembered.every.append(self)
+
+    def keep(self, key, value, size: int):
+        """``size``: bytes of key and value; the dictionary's own are added."""
+        self.size += size + 120
+        if self.size > self.limit:
+            self.forget()
+        self[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.size = 0
+
+
+def task(run):
+    """A mapInArrow function that leaves its worker, which later stages use too, with empty caches and without spare memory."""
+
+    def inner(it):
+        try:
+            yield from run(it)
+        finally:
+            tidy()
+
+    return inner
+
+
+def tidy() -> None:
+    for x in Remembered.every:
+        x.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no GNU libc
+        pass
+
+
+class WordHashes(Remembered):
+    """bytes -> 64-bit hash, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+        return self.keep(word, xxhash.xxh3_64_intdigest(word), len(word) + 65)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def slices(it: Iterator, n: int = 500) -> Iterator:
+    """Arrow record batches in pieces of ``n`` rows, so that few of them become Python objects at once."""
+    for b in it:
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of every run of ``width`` words; one hash of all words if there are fewer; empty if none."""
     n = len(words)
@@ -122,13 +194,6 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def batches_of(it: Iterator, *names: str) -> Iterator[tuple]:
-    """Arrow record batches as tuples of their columns."""
-    for batch in it:
-        if batch.num_rows:
-            yield tuple(batch.column(batch.schema.get_field_index(x)) for x in names)
-
-
 def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (a, b bigint).
 

@@ -1,33 +1,36 @@
 """N-gram Jaccard join with vertical partitioning, and the groups it makes.
 
-One pass over the texts leaves each document's size and ``low`` part: its
-shingles of the lowest ``LOW`` of the hash space, and further ones if the prefix
-needs them.
+Classes: documents with equal shingle sets are one class, and only one of them
+is looked at; the others are members. One pass over the texts leaves each
+document's class, set size, ``low`` part (its shingles of the lowest ``LOW`` of
+the hash space, and further ones if the prefix needs them) and parity bits.
 
-Global order: the low part of the hash space first, by hash, but those counted
-``hot`` behind the others of it (the counts are sums over batches in which a
-shingle occurs twice or more, a lower bound; any global order is right, a good
-one only saves work); then the rest by hash. At most 2**19 shingles can be hot,
-which bounds the broadcast.
+Global order: the plain shingles of the low part by the number of classes that
+hold them, then its hot ones (at most 2**19, so their broadcast is bounded) by
+count, then the rest by hash. Plain counts are taken in fragments of the hash
+space whose number follows from the bytes to be counted; a shingle that many
+documents share is hot, so no fragment gets it.
 
 Candidates: two sets of similarity 0.75 or more share a shingle among the
-first n - ceil(0.75 n) + 1 of each. Those prefixes are dealt out by fragments of
-the order. Within a fragment, a shingle's documents are paired with the first
-of them (a star, never all pairs); lists of three documents and more are kept.
-
-Verification: a pair's overlap is first counted in the lowest ``FIRST`` of the
-order; if not even all the rest in common could make the pair similar, it is
-out. For others the order is cut into ``VERTICAL`` fragments, overlaps are
+first n - ceil(0.75 n) + 1 of each. Prefix shingles that no other class holds
+lead nowhere, so what is left are few postings (shingle, class). Rounds:
+
+1. stars: each shingle's classes are paired with the least of them;
+2. shingles whose classes still lie in several components: a forest over the
+   likely pairs between components;
+3. all likely pairs that still lie between components.
+
+Every pair of a shingle's classes that could be similar is so either verified or
+inside one component. Rounds 2 and 3 compare classes in numpy, in blocks of
+``BLOCK`` by ``BLOCK`` classes, so that a shingle of many classes is many tasks,
+and only likely pairs leave a block: a shingle sits at one of the parity bits, so
+two sets differ in as many shingles as their bits do at least, which is an
+exact filter and a close one.
+
+Verification: the hash space is cut into ``VERTICAL`` fragments, overlaps are
 counted in each apart and summed per pair. A set travels once for each
 pivot and fragment, sorted behind the pivot's, so a task holds one pivot's part;
-pivots of many documents are salted.
-
-Rounds: links found so far give components; from each list that spans several
-components new stars are made around another pivot, ``STARS`` times; then every
-pair of a list that still lies across components, and shares enough of its
-prefixes to be similar, is verified. Pairs inside a
-component are never needed, so a group of n copies takes about n verifications,
-and no link between components is lost.
+pivots of many classes are salted.
 
 Defined results: null and empty texts have no shingles, no links, and their own
 component; rows that share a doc_id are one document with the links of any of
@@ -41,25 +44,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, components, discard, mix, shingle_hashes, staged
+from .common import NO_ID, WordHashes, components, discard, shingle_hashes, slices, staged, task
 
 WIDTH, PERCENT = 5, 75
-#: Shingles that can be hot at most.
-HOT = 1 << 19
-#: Least count of a hot shingle.
-LEAST_HOT = 16
+#: Shingles that can be hot at most, and the least count of one.
+HOT, LEAST_HOT = 1 << 19, 16
 VERTICAL = 2
-#: Parts of the hash space, in 64ths.
-LOW, FIRST = 26, 26
-STARS = 1
-#: Documents of a pivot that one task verifies, about.
+#: Part of the hash space that is low, in 64ths.
+LOW = 26
+#: Bytes of shingles that one fragment counts, about.
+FRAGMENT_BYTES = 16 << 20
+BATCH_SHINGLES = 1_000_000
+#: Classes of a pivot that one task verifies, about.
 SALT = 2000
-#: Bits of the filter that keeps rows no pair asks for out of a shuffle: 2 MB, whatever the number of pairs.
+#: Classes of a shingle that one task compares with as many others.
+BLOCK = 2000
+#: Bits of the filter that keeps texts no pair asks for out of a shuffle: 2 MB, whatever the number of pairs.
 BITS = 1 << 24
-BATCH_SHINGLES = 1_500_000
 SYNTHETIC = 1 << 61
 
 _HASHES = WordHashes()
@@ -85,190 +90,272 @@ def node() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID) - F.pmod(h, F.lit(SYNTHETIC)))
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    return docs.select(node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+def class_of(s: np.ndarray, own: int) -> int:
+    """The class of a shingle set; an empty one is a class of its document only."""
+    raw = s.tobytes() if len(s) else b"-%d" % own
+    return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64))
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bit for each residue of the hashes: whether an odd number of them has it. As many bits as shingles, about."""
+    n = 1 << min(20, max(8, int(len(s)).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little")
+
+
+def folded(bits: np.ndarray, n_bytes: int) -> np.ndarray:
+    """The parity bits for fewer residues."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, n_bytes), 0)
 
 
 def _below(s: np.ndarray, part: int) -> int:
     return int(np.searchsorted(s, np.uint64(part << 58)))
 
 
+PARTS = "node bigint, doc_id bigint, c bigint, n int, low binary, bits binary"
+
+
 def low_parts(docs: DataFrame) -> DataFrame:
-    """node, doc_id, n (shingles of the document) and low, a row per row of ``docs``."""
+    """A row per row of ``docs``: node, doc_id, class c, n (shingles of the document), low part and parity bits."""
 
     def run(it):
-        for b in it:
-            size, low = [], []
-            for t in b.column("text").to_pylist():
+        for b in slices(it):
+            cells = {x: [] for x in ("c", "n", "low", "bits")}
+            for own, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(t)
-                size.append(len(s))
-                low.append(s[: max(_below(s, LOW), prefix_size(len(s)) if len(s) else 0)].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), pa.array(size, pa.int32()), pa.array(low, pa.binary())], names=["node", "doc_id", "n", "low"])
+                cells["c"].append(class_of(s, own))
+                cells["n"].append(len(s))
+                cells["low"].append(s[: max(_below(s, LOW), prefix_size(len(s)) if len(s) else 0)].tobytes())
+                cells["bits"].append(parity(s).tobytes())
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), *(pa.array(v, k) for v, k in zip(cells.values(), kinds, strict=True))], names=["node", "doc_id", *cells])
 
     rows = docs.select(node().alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "node bigint, doc_id bigint, n int, low binary")
+    return rows.mapInArrow(task(run), PARTS)
+
+
+# ---------------------------------------------------------------- the order and the prefixes
 
 
 def _lots(it):
-    """Lots of (nodes, sizes, low parts) of documents that have shingles."""
-    nodes, sizes, lows, total = [], [], [], 0
+    """Lots of (classes, sizes, low parts)."""
+    cs, sizes, lows, total = [], [], [], 0
     for b in it:
-        for d, n, low in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("low").to_pylist(), strict=True):
-            if n:
-                nodes.append(d)
-                sizes.append(n)
-                lows.append(np.frombuffer(low, np.uint64))
-                total += len(lows[-1])
+        for c, n, low in zip(b.column("c").to_pylist(), b.column("n").to_pylist(), b.column("low"), strict=True):
+            cs.append(c)
+            sizes.append(n)
+            lows.append(np.frombuffer(low.as_py(), np.uint64))
+            total += len(lows[-1])
             if total >= BATCH_SHINGLES:
-                yield nodes, sizes, lows
-                nodes, sizes, lows, total = [], [], [], 0
-    if nodes:
-        yield nodes, sizes, lows
+                yield cs, sizes, lows
+                cs, sizes, lows, total = [], [], [], 0
+    if cs:
+        yield cs, sizes, lows
 
 
-def hot_shingles(parts: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles of the low part that come behind the others of it."""
+def hot_shingles(reps: DataFrame, total: int) -> np.ndarray:
+    """Hashes of the hot shingles by count, rarest first. Counted are those that a lot holds twice or more."""
 
     def count(it):
         for _, _, lows in _lots(it):
             found, n = np.unique(np.concatenate(lows), return_counts=True)
             some = (n > 1) & (found < np.uint64(LOW << 58))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(found[some].view(np.int64), 0)), pa.array(np.append(n[some], 0)), pa.array(np.append(np.zeros(int(some.sum()), np.int64), n.sum()))], names=["shingle", "n", "total"]
-            )
-
-    counts = parts.select("node", "n", "low").mapInArrow(count, "shingle bigint, n bigint, total bigint").groupBy("shingle").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    counts = staged(counts.where(f"n >= {LEAST_HOT} or total > 0"), "counts")
-    total = counts.agg(F.sum("total")).first()[0] or 0
-    least = max(LEAST_HOT, -(-total // HOT))
-    rows = counts.where(F.col("n") >= least).select("shingle").toArrow()
-    discard(counts)
-    return np.sort(rows.column("shingle").to_numpy().view(np.uint64))
-
-
-#: keys: the low 32 bits of a fragment's shingles by document (an equal pair of others costs a verification); many: how many each document has.
-PACKET = "frag int, keys binary, many binary, nodes binary, sizes binary"
-LISTS = "nodes array<bigint>, sizes array<int>, weight int"
-
-
-def _lists(table: pa.Table) -> pa.Table:
-    """The distinct lists of two and more documents that share a shingle of this fragment, smallest document first."""
-    keys, nodes, sizes = [], [], []
-    for k, m, d, n in zip(*([v.as_py() for v in table.column(x)] for x in ("keys", "many", "nodes", "sizes")), strict=True):
-        m = np.frombuffer(m, "<u4")
-        keys.append(np.frombuffer(k, "<u4"))
-        nodes.append(np.repeat(np.frombuffer(d, np.int64), m))
-        sizes.append(np.repeat(np.frombuffer(n, "<i4"), m))
-    key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
-    order = np.lexsort((node, key))
-    key, node, size = key[order], node[order], size[order]
-    again = np.concatenate([[False], (key[1:] == key[:-1]) & (node[1:] == node[:-1])])
-    key, node, size = key[~again], node[~again], size[~again]
+            yield pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some])], names=["shingle", "n"])
+
+    counts = reps.select("c", "n", "low").mapInArrow(task(count), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= max(LEAST_HOT, -(-total // HOT))).toArrow()  # HOT at most, as they add up to the total at most
+    shingle, n = rows.column("shingle").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    return shingle[np.lexsort((shingle, n))]
+
+
+class Split:
+    """Takes the hot shingles out of low parts."""
+
+    def __init__(self, hot: np.ndarray):
+        self.rank = np.argsort(hot)
+        self.hot = hot[self.rank]
+
+    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(plain shingles, what comes behind them in the order)."""
+        k = _below(s, LOW)
+        own, rest = s[:k], s[k:]
+        if not len(self.hot):
+            return own, rest
+        i = np.minimum(np.searchsorted(self.hot, own), len(self.hot) - 1)
+        hot = self.hot[i] == own
+        return own[~hot], np.concatenate([own[hot][np.argsort(self.rank[i[hot]], kind="stable")], rest])
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """(c, key, df) of a fragment's shingles that several classes hold."""
+    keys, classes = [], []
+    for k, m, c in zip(*(table.column(x) for x in ("keys", "many", "classes")), strict=True):
+        keys.append(np.frombuffer(k.as_py(), np.uint64))
+        classes.append(np.repeat(np.frombuffer(c.as_py(), np.int64), np.frombuffer(m.as_py(), "<u4")))
+    key, c = np.concatenate(keys), np.concatenate(classes)
+    del keys, classes
+    order = np.argsort(key, kind="stable")
+    key, c = key[order], c[order]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    many = np.diff(np.append(begin, len(key)))
-    seen: dict[bytes, int] = {}
-    out_n, out_s, weight = [], [], []
-    for b, m in zip(begin[many > 1].tolist(), many[many > 1].tolist(), strict=True):
-        own = node[b : b + m]
-        raw = own.tobytes()
-        if raw in seen:
-            weight[seen[raw]] += 1
-        else:
-            seen[raw] = len(weight)
-            weight.append(1)
-            out_n.append(own)
-            out_s.append(size[b : b + m])
-    return pa.Table.from_arrays([pa.array(out_n, pa.list_(pa.int64())), pa.array(out_s, pa.list_(pa.int32())), pa.array(weight, pa.int32())], names=["nodes", "sizes", "weight"])
-
-
-def posting_lists(parts: DataFrame, hot: np.ndarray) -> DataFrame:
-    spark = parts.sparkSession
-    fragments = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    shared = spark.sparkContext.broadcast(hot)
+    df = np.repeat(*[np.diff(np.append(begin, len(key)))] * 2)
+    some = df > 1
+    return pa.Table.from_arrays([pa.array(c[some]), pa.array(key[some].view(np.int64)), pa.array(df[some].astype(np.int32))], names=["c", "key", "df"])
+
+
+def postings(reps: DataFrame) -> DataFrame:
+    """(key, c, n): prefix shingles that may lead to another class, and the sizes of the classes that hold them."""
+    spark = reps.sparkSession
+    total = reps.agg(F.sum(F.octet_length("low"))).first()[0] or 0
+    fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FRAGMENT_BYTES))
+    shared = spark.sparkContext.broadcast(hot_shingles(reps, total // 8))
 
     def packets(it):
-        last = shared.value
-        for nodes, sizes, lows in _lots(it):
-            prefix = []
-            for total, s in zip(sizes, lows, strict=True):
-                n = prefix_size(total)
-                if len(last):
-                    k = _below(s, LOW)
-                    i = np.minimum(np.searchsorted(last, s[:k]), len(last) - 1)
-                    common = last[i] == s[:k]
-                    s = np.concatenate([s[:k][~common], s[:k][common], s[k:]])
-                prefix.append(s[:n])
-            size = np.array([len(x) for x in prefix])
-            key = np.concatenate(prefix)
-            who = np.repeat(np.arange(len(nodes)), size)
-            frag = ((key >> np.uint64(40)) % np.uint64(fragments)).astype(np.int64)
+        split = Split(shared.value)
+        for cs, _, lows in _lots(it):
+            plain = [split(s)[0] for s in lows]
+            key, who = np.concatenate(plain), np.repeat(np.arange(len(cs)), [len(s) for s in plain])
+            frag = ((key >> np.uint64(20)) % np.uint64(fragments)).astype(np.int64)
             order = np.argsort(frag, kind="stable")
             at = np.searchsorted(frag[order], np.arange(fragments + 1))
-            all_nodes, all_sizes = np.array(nodes, np.int64), np.array(sizes, np.int32)
+            classes = np.array(cs, np.int64)
             for f in np.flatnonzero(np.diff(at)):
                 own = order[at[f] : at[f + 1]]
                 few, many = np.unique(who[own], return_counts=True)
-                cells = [key[own].astype("<u4").tobytes(), many.astype("<u4").tobytes(), all_nodes[few].tobytes(), all_sizes[few].astype("<i4").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32())] + [pa.array([x], pa.binary()) for x in cells], names=["frag", "keys", "many", "nodes", "sizes"])
-
-    return parts.select("node", "n", "low").mapInArrow(packets, PACKET).groupBy("frag").applyInArrow(_lists, LISTS)
-
-
-def _stars(lists: DataFrame, turn: int) -> DataFrame:
-    """Distinct pairs (a pivot, b) of each list (with comps: across components), of sizes that can be similar."""
-    has = "comps" in lists.columns
-
-    def pair(it):
-        for batch in it:
-            cols = [batch.column(x).to_pylist() for x in ("nodes", "sizes", *(["comps"] if has else []))]
-            out = []
-            for nodes, sizes, *comps in zip(*cols, strict=True):
-                d, n = np.array(nodes, np.int64), np.array(sizes, np.int64)
-                c = np.array(comps[0], np.int64) if comps else d
-                k = 0 if turn == 0 else int(np.argsort(mix(d.view(np.uint64) + np.uint64(turn)), kind="stable")[0])
-                ok = (c != c[k]) & (100 * np.minimum(n, n[k]) >= PERCENT * np.maximum(n, n[k]))
-                out.append(np.stack([np.full(int(ok.sum()), d[k]), d[ok]]))
-            both = np.unique(np.concatenate(out, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
-    return lists.mapInArrow(pair, "a bigint, b bigint").distinct()
-
-
-def _rest(lists: DataFrame) -> DataFrame:
-    """All pairs of the lists that lie across components and share enough of their prefixes.
-
-    The lists hold every shared prefix shingle of such a pair (those of two documents were a star). What lies
-    behind the prefix that ends first can add its document's other shingles at most, whichever it is.
-    """
-
-    def pair(it):
-        for batch in it:
-            out, size = [], 0
-            for nodes, sizes, comps, w in zip(*(batch.column(x).to_pylist() for x in ("nodes", "sizes", "comps", "weight")), strict=True):
-                d, n, c = np.array(nodes, np.int64), np.array(sizes, np.int64), np.array(comps, np.int64)
-                for k in range(len(d) - 1):
-                    j = k + 1 + np.flatnonzero((c[k + 1 :] != c[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= PERCENT * np.maximum(n[k + 1 :], n[k])))
-                    if len(j):
-                        out.append(np.stack([np.full(len(j), d[k]), d[j], np.full(len(j), n[k]), n[j], np.full(len(j), w)]))
-                        size += len(j)
-                if size > 500_000:
-                    yield _summed(out)
-                    out, size = [], 0
-            if out:
-                yield _summed(out)
-
-    rows = lists.mapInArrow(pair, "a bigint, b bigint, n0 bigint, n1 bigint, w bigint").groupBy("a", "b", "n0", "n1").agg(F.sum("w").alias("w"))
-    n0, n1 = F.col("n0"), F.col("n1")
-    behind = F.greatest(*(F.ceil(PERCENT * n / 100) - 1 for n in (n0, n1)))
-    return rows.where(similar(n0, n1, F.least(n0, n1, F.col("w") + behind))).select("a", "b").distinct()
-
-
-def _summed(out: list[np.ndarray]) -> pa.RecordBatch:
-    x = np.concatenate(out, 1)
-    order = np.lexsort((x[1], x[0]))
-    x = x[:, order]
-    cut = np.flatnonzero(np.concatenate([[True], (x[:4, 1:] != x[:4, :-1]).any(0)]))
-    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(v[cut])) for v in x[:4]), pa.array(np.add.reduceat(x[4], cut))], names=["a", "b", "n0", "n1", "w"])
+                cells = [key[own].tobytes(), many.astype("<u4").tobytes(), classes[few].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32())] + [pa.array([x], pa.binary()) for x in cells], names=["frag", "keys", "many", "classes"])
+
+    def sizes(it):
+        split = Split(shared.value)
+        for b in slices(it):
+            plain, extra = [], []
+            for n, low in zip(b.column("n").to_pylist(), b.column("low"), strict=True):
+                own, behind = split(np.frombuffer(low.as_py(), np.uint64))
+                plain.append(len(own))
+                extra.append(behind[: max(0, prefix_size(n) - len(own))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("n"), pa.array(plain, pa.int32()), pa.array(extra, pa.list_(pa.int64()))], names=["c", "n", "plain", "extra"])
+
+    low = reps.select("c", "n", "low")
+    counted = low.mapInArrow(task(packets), "frag int, keys binary, many binary, classes binary").groupBy("frag").applyInArrow(_counted, "c bigint, key bigint, df int")
+    several = counted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))  # of one document
+    facts = low.mapInArrow(task(sizes), "c bigint, n int, plain int, extra array<bigint>").join(several, "c", "left")
+    s = F.coalesce("s", F.array().cast("array<struct<df:int,key:bigint>>"))
+    # those that one class holds come first
+    left = F.expr(f"n - ({PERCENT} * n + 99) div 100 + 1").cast("int") - (F.col("plain") - F.size(s))
+    keys = F.concat(F.transform(F.slice(s, F.lit(1), F.greatest(left, F.lit(0))), lambda x: x["key"]), F.col("extra"))
+    out = staged(facts.select(F.explode(keys).alias("key"), "c", "n"), "postings")
+    shared.unpersist()
+    return out
+
+
+# ---------------------------------------------------------------- pairs
+
+
+def stars(lists: DataFrame) -> DataFrame:
+    """(a, b): each shingle's classes with the least of them, if their sizes can be similar."""
+    least = lists.groupBy("key").agg(F.min(F.struct("c", "n")).alias("p"), F.max("c").alias("z")).where("p.c < z").select("key", "p")
+    n0, n1 = F.col("p.n"), F.col("n")
+    fits = (F.col("c") != F.col("p.c")) & (100 * F.least(n0, n1) >= PERCENT * F.greatest(n0, n1))
+    return lists.join(least, "key").where(fits).select(F.col("p.c").alias("a"), F.col("c").alias("b")).distinct()
+
+
+def most_apart(n0, n1):
+    """The largest symmetric difference of similar sets."""
+    return n0 + n1 - 2 * -(-PERCENT * (n0 + n1) // (100 + PERCENT))
+
+
+def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs whose parity bits let them be similar."""
+
+    def run(it):
+        for b in slices(it, 2000):
+            ok = []
+            for x, y, n0, n1 in zip(b.column("bits0"), b.column("bits1"), b.column("n0").to_pylist(), b.column("n1").to_pylist(), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                k = min(len(x), len(y))
+                ok.append(int(np.bitwise_count(folded(x, k) ^ folded(y, k)).sum()) <= most_apart(n0, n1))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = lambda k, end: reps.select(F.col("c").alias(end), F.col("bits").alias(f"bits{k}"), F.col("n").alias(f"n{k}"))
+    return pairs.join(side(0, "a"), "a").join(side(1, "b"), "b").select("a", "b", "bits0", "bits1", "n0", "n1").mapInArrow(task(run), "a bigint, b bigint")
+
+
+class Group:
+    """The classes of a block: likely pairs between their components."""
+
+    def __init__(self, rows: list[tuple]):
+        c, n, comp, part, bits = zip(*rows, strict=True)
+        self.c, self.n, self.part = np.array(c, np.int64), np.array(n, np.int64), np.array(part, np.int64)
+        self.label = np.unique(np.array(comp, np.int64), return_inverse=True)[1]
+        self.bits = [np.frombuffer(x, np.uint8) for x in bits]
+
+    def pairs(self, forest: bool, two_parts: bool) -> np.ndarray:
+        """(2, n) of classes; with ``forest``, pairs that join what earlier ones have not joined."""
+        size = np.array([len(x) for x in self.bits])
+        label, out = self.label.copy(), []
+        for k in np.unique(size):
+            longer = np.flatnonzero(size >= k)
+            matrix = np.stack([folded(self.bits[i], k) for i in longer]).view(np.uint64)
+            for row, i in enumerate(longer):
+                if size[i] != k:
+                    continue
+                n0, n1 = self.n[i], self.n[longer]
+                ok = (label[longer] != label[i]) & ((size[longer] > k) | (longer > i)) & (100 * np.minimum(n0, n1) >= PERCENT * np.maximum(n0, n1))
+                if two_parts:
+                    ok &= self.part[longer] != self.part[i]
+                at = np.flatnonzero(ok)
+                at = at[np.bitwise_count(matrix[at] ^ matrix[row]).sum(1) <= most_apart(n0, n1[at])]
+                if forest and len(at):
+                    theirs, first = np.unique(label[longer[at]], return_index=True)
+                    at = at[first]
+                    label[np.isin(label, theirs)] = label[i]
+                out.append(np.stack([np.full(len(at), self.c[i]), self.c[longer[at]]]))
+        return np.sort(np.concatenate(out, 1), axis=0)
+
+
+def between(lists: DataFrame, comps: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
+    """(a, b): likely pairs of classes of one shingle that lie in different components."""
+    each = lists.join(comps.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("comp"))
+    several = each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
+    open_ = each.join(several, "key").join(reps.select("c", "bits"), "c")
+    part = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+    dealt = open_.select("key", "c", "n", "comp", "bits", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "c", "n", "comp", "part", "bits")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "c")
+
+    def run(it):
+        at, rows, seen, out, found = None, [], set(), [], 0
+
+        def block():
+            if len(rows) > 1:
+                own = xxhash.xxh3_128_digest(np.array([r[0] for r in rows], np.int64).tobytes() + b"%d" % (at[1] != at[2]))
+                if own not in seen and len({r[2] for r in rows}) > 1:
+                    if len(seen) < 100_000:
+                        seen.add(own)
+                    out.append(Group(rows).pairs(forest, at[1] != at[2]))
+                    return out[-1].shape[1]
+            return 0
+
+        def batch():
+            x = np.unique(np.concatenate(out, 1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+
+        for b in slices(it, 5000):
+            cols = (b.column(x).to_pylist() for x in ("key", "x", "y", "c", "n", "comp", "part", "bits"))
+            for key, x, y, *row in zip(*cols, strict=True):
+                if at != (key, x, y):
+                    found += block()
+                    at, rows = (key, x, y), []
+                    if found > 200_000:
+                        yield batch()
+                        out, found = [], 0
+                rows.append(row)
+        block()
+        if out:
+            yield batch()
+
+    return dealt.mapInArrow(task(run), "a bigint, b bigint").distinct()
+
+
+# ---------------------------------------------------------------- verification
 
 
 def _asked(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -289,131 +376,122 @@ def _asked(source: DataFrame, wanted: DataFrame) -> DataFrame:
             if some.num_rows:
                 yield some.drop_columns(["bit"])
 
-    return source.withColumn("bit", bit).mapInArrow(keep, source.schema)
+    return source.withColumn("bit", bit).mapInArrow(task(keep), source.schema)
 
 
-def _overlaps(source: DataFrame, pairs: DataFrame, column: str, vertical: int) -> DataFrame:
-    """(a, b, n0, n1, l0, l1, both): sizes, sizes of the parts looked at, and their overlap, for each pair and fragment.
+DEALT = {"a": pa.int64(), "v": pa.int32(), "salt": pa.int32(), "member": pa.bool_(), "c": pa.int64(), "n": pa.int32(), "part": pa.binary()}
 
-    ``column`` of source is the text, or the low part; of the latter, only the lowest FIRST is looked at,
-    and the upper half of its hashes: both is an upper bound then.
-    """
+
+def _overlaps(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, n0, n1, both): sizes and overlap, for each pair and fragment of the hash space."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select(F.col("b").alias("node"), F.struct("a", "salts", F.lit(True).alias("member")).alias("to"))
-    pivots = salts.select(F.col("a").alias("node"), F.struct("a", "salts", F.lit(False).alias("member")).alias("to"))
-    wanted = members.union(pivots).groupBy("node").agg(F.collect_list("to").alias("to"))
-
-    def cells(value, n):
-        if column == "low":
-            s = np.frombuffer(value, np.uint64)
-            return n, [(s[: _below(s, FIRST)] >> np.uint64(32)).astype("<u4").tobytes()]
-        s = shingles(value)
-        cut = [0, *(_below(s, 64 * v // vertical) for v in range(1, vertical)), len(s)]
-        return len(s), [s[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
+    members = pairs.join(salts, "a").select(F.col("b").alias("c"), F.struct("a", "salts", F.lit(True).alias("member")).alias("to"))
+    pivots = salts.select(F.col("a").alias("c"), F.struct("a", "salts", F.lit(False).alias("member")).alias("to"))
+    wanted = members.union(pivots).groupBy("c").agg(F.collect_list("to").alias("to")).join(classes, "c").select("node", "c", "to")
 
     def deal(it):
-        for batch in it:
-            rows = {x: [] for x in ("a", "v", "salt", "member", "node", "n", "part")}
-            for node, value, n, to in zip(*(batch.column(x).to_pylist() for x in ("node", column, "n", "to")), strict=True):
-                n, parts = cells(value, n)
+        for batch in slices(it):
+            rows = {x: [] for x in DEALT}
+            for own, text, c, to in zip(*(batch.column(x).to_pylist() for x in ("node", "text", "c", "to")), strict=True):
+                s = shingles(text)
+                if class_of(s, own) != c:
+                    continue  # another text of the same doc_id
+                cut = [0, *(_below(s, 64 * v // VERTICAL) for v in range(1, VERTICAL)), len(s)]
+                parts = [s[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)]
                 for x in to:
-                    for salt in [hash(node) % x["salts"]] if x["member"] else range(x["salts"]):
+                    for salt in [c % x["salts"]] if x["member"] else range(x["salts"]):
                         for v, part in enumerate(parts):
-                            for k, y in zip(rows, (x["a"], v, salt, x["member"], node, n, part), strict=True):
+                            for k, y in zip(rows, (x["a"], v, salt, x["member"], c, len(s), part), strict=True):
                                 rows[k].append(y)
-                if len(rows["a"]) > 5000:
-                    yield _batch(rows)
-                    rows = {x: [] for x in rows}
+                if len(rows["a"]) > 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[x], k) for x, k in DEALT.items()], names=list(rows))
+                    rows = {x: [] for x in DEALT}
             if rows["a"]:
-                yield _batch(rows)
-
-    spread = _asked(source.select("node", column, "n"), wanted.select("node")).join(wanted.hint("shuffle_hash"), "node").mapInArrow(deal, "a bigint, v int, salt int, member boolean, node bigint, n int, part binary")
-    dealt = spread.repartition("a", "v", "salt").sortWithinPartitions("a", "v", "salt", "member")
+                yield pa.RecordBatch.from_arrays([pa.array(rows[x], k) for x, k in DEALT.items()], names=list(rows))
 
-    kind = "<u4" if column == "low" else "<u8"
+    base = docs.select(node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    spread = _asked(base, wanted).join(wanted.hint("shuffle_hash"), "node").mapInArrow(task(deal), "a bigint, v int, salt int, member boolean, c bigint, n int, part binary")
+    dealt = spread.repartition("a", "v", "salt").sortWithinPartitions("a", "v", "salt", "member", "c")
 
     def overlap(it):
-        at, pivot = None, []
-        for batch in it:
-            rows = {x: [] for x in ("a", "b", "n0", "n1", "l0", "l1", "both")}
-            for a, v, salt, member, node, n, part in zip(*(batch.column(x).to_pylist() for x in ("a", "v", "salt", "member", "node", "n", "part")), strict=True):
-                own = np.frombuffer(part, kind)
+        at, pivot, last = None, None, None
+        for batch in slices(it, 2000):
+            rows = {x: [] for x in ("a", "b", "n0", "n1", "both")}
+            for a, v, salt, member, c, n, part in zip(*(batch.column(x).to_pylist() for x in DEALT), strict=True):
                 if at != (a, v, salt):
-                    at, pivot = (a, v, salt), []
+                    at, pivot, last = (a, v, salt), None, None
+                own = np.frombuffer(part, np.uint64)
                 if not member:
-                    pivot.append((n, own))  # more than one, if rows share a doc_id
-                    continue
-                for n0, p in pivot:
-                    both = 0
-                    if len(p) and len(own):
-                        both = int((p[np.minimum(np.searchsorted(p, own), len(p) - 1)] == own).sum())
-                    for k, x in zip(rows, (a, node, n0, n, len(p), len(own), both), strict=True):
+                    pivot = n, own
+                elif c != last:  # equal rows of one document are one
+                    n0, p = pivot
+                    both = int((p[np.minimum(np.searchsorted(p, own), len(p) - 1)] == own).sum()) if len(p) and len(own) else 0
+                    for k, x in zip(rows, (a, c, n0, n, both), strict=True):
                         rows[k].append(x)
+                    last = c
             if rows["a"]:
                 yield pa.RecordBatch.from_arrays([pa.array(rows[x], pa.int64()) for x in rows], names=list(rows))
 
-    return dealt.mapInArrow(overlap, ", ".join(f"{x} bigint" for x in ("a", "b", "n0", "n1", "l0", "l1", "both")))
-
-
-def verified(base: DataFrame, parts: DataFrame, pairs: DataFrame) -> DataFrame | None:
-    """(a, b) of the pairs that are similar; None if none can be."""
-    n0, n1 = F.col("n0"), F.col("n1")
-    most = F.col("both") + F.least(n0 - F.col("l0"), n1 - F.col("l1"))
-    likely = staged(_overlaps(parts, pairs, "low", 1).where(similar(n0, n1, most)).select("a", "b").distinct(), "likely")
-    if likely.isEmpty():
-        discard(likely)
-        return None
-    partial = _overlaps(base.withColumn("n", F.lit(0)), likely, "text", VERTICAL)
-    # rows that share a doc_id are told apart by their sizes; equal ones count once
-    whole = partial.groupBy("a", "b", "n0", "n1").agg((F.sum("both") / (F.count("*") / VERTICAL)).cast("bigint").alias("both"))
-    links = staged(whole.where(similar(n0, n1, F.col("both"))).select("a", "b").distinct(), "links")
-    discard(likely)
-    return links
+    return dealt.mapInArrow(task(overlap), ", ".join(f"{x} bigint" for x in ("a", "b", "n0", "n1", "both")))
 
 
-def _batch(rows: dict) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that are similar."""
+    whole = _overlaps(docs, classes, pairs).groupBy("a", "b", "n0", "n1").agg(F.sum("both").alias("both"))
+    return staged(whole.where(similar(F.col("n0"), F.col("n1"), F.col("both"))).select("a", "b"), "links")
 
 
-def _groups(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, root) of every document that has a link; root is the smallest node of its component."""
+def _links(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, root): the component of every class that is similar to another."""
     spark = docs.sparkSession
-    base = _base(docs)
-    lists = staged(posting_lists(parts, hot_shingles(parts)), "lists")
-    tried = staged(_stars(lists, 0), "pairs")
-    none = spark.createDataFrame([], "a bigint, b bigint")
-    links = verified(base, parts, tried) or none
-    comps = components(spark, links, "components")
-    first, lists = lists, staged(lists.where("size(nodes) > 2").withColumn("id", F.xxhash64("nodes")).groupBy("id").agg(F.first("nodes").alias("nodes"), F.first("sizes").alias("sizes"), F.sum("weight").alias("weight")), "lists")
-    discard(first)
-    for turn in [*range(1, STARS + 1), None]:
-        each = lists.select("id", F.posexplode("nodes").alias("i", "node")).join(comps, "node", "left").select("id", "i", F.coalesce("root", "node").alias("comp"))
-        spread = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "comp"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        last, lists = lists, staged(lists.drop("comps").join(spread.select("id", F.col("c.comp").alias("comps")), "id"), "open")
-        discard(last)
-        pairs = staged((_rest(lists) if turn is None else _stars(lists, turn)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
+    lists = postings(reps)
+    comps = spark.createDataFrame([], "node bigint, root bigint")
+    links = tried = spark.createDataFrame([], "a bigint, b bigint")
+    for turn in ("stars", "forest", "rest"):
+        found = likely(stars(lists), reps) if turn == "stars" else between(lists, comps, reps, turn == "forest")
+        pairs = staged(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            new = verified(docs, classes, pairs)
+            if not new.isEmpty():
+                links, last = links.union(new), comps
+                comps = components(spark, links, "components")
+                discard(last)
         tried = tried.union(pairs)
-        new = verified(base, parts, pairs)
-        if new is not None:
-            links = links.union(new)
-            comps = components(spark, links, "components")
+    discard(lists, tried, links)
     return comps
 
 
+def groups(docs: DataFrame) -> DataFrame:
+    """node, doc_id, n and label, a row per row of ``docs``: the smallest node that links reach."""
+    parts = staged(low_parts(docs), "low")
+    ids = staged(parts.select("node", "doc_id", "c", "n"), "ids")
+    classes = staged(ids.groupBy("c").agg(F.min("node").alias("node")), "classes")
+    reps = staged(parts.where("n > 0").groupBy("c").agg(*(F.first(x).alias(x) for x in ("n", "low", "bits"))), "reps")  # equal in a class
+    discard(parts)
+    comps = _links(docs, reps, classes)
+    # rows that share a doc_id hold their classes' components together
+    root = ids.join(comps.withColumnRenamed("node", "c"), "c", "left").select("node", "doc_id", "n", F.coalesce("root", "c").alias("root"))
+    rooted = staged(root, "rooted")
+    discard(reps, classes, ids, comps)
+    twice = rooted.groupBy("node").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("node")
+    joins = rooted.join(twice, "node").groupBy("node").agg(F.min("root").alias("a"), F.array_distinct(F.collect_list("root")).alias("bs")).select("a", F.explode("bs").alias("b")).where("a < b")
+    joins = staged(joins, "joins")
+    if not joins.isEmpty():
+        over = components(docs.sparkSession, joins, "over").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        rooted = rooted.join(over, "root", "left").select("node", "doc_id", "n", F.coalesce("top", "root").alias("root"))
+    discard(joins)
+    return rooted.join(rooted.groupBy("root").agg(F.min("node").alias("label")), "root").drop("root")
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of ``docs``."""
-    parts = staged(low_parts(docs), "low")
-    root = F.coalesce("root", "node")
-    out = parts.select("node", "doc_id", "n").join(_groups(docs, parts), "node", "left")
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(root <= NO_ID - SYNTHETIC, root).alias("component_id"))
+    label = F.col("label")
+    return groups(docs).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(label <= NO_ID - SYNTHETIC, label).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that a smaller one of their component stands for."""
-    others = _groups(docs, staged(low_parts(docs), "low")).where("root < node").select(F.col("node").alias("_node"))
+    others = groups(docs).where("label < node").select(F.col("node").alias("_node"))
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("row"), node().alias("_node"))
     return rows.join(others.hint("shuffle_hash"), "_node", "left_anti").select(*(F.col("row")[x].alias(x) for x in names))

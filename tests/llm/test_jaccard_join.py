@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from skeinlake.llm import jaccard_join as j
 
@@ -29,7 +30,9 @@ def brute(rows):
     return {i: find(i) for i in ids}
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block", [3, 2000])
+def test_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(j, "BLOCK", block)
     monkeypatch.setattr(j, "LEAST_HOT", 3)
     monkeypatch.setattr(j, "SALT", 2)
     monkeypatch.setattr(j, "BATCH_SHINGLES", 150)
@@ -42,7 +45,8 @@ def test_against_brute_force(spark, monkeypatch):
             if w:
                 w[r.randrange(len(w))] = r.choice("qrst")
         texts.append(" ".join(w))
-    rows = list(enumerate(texts)) + [(200, texts[20]), (200, texts[21]), (200, texts[21])]
+    texts += [texts[-1]] * 5 + [" ".join(f"w{k % 3001}" for k in range(9000))] * 2  # exact copies, a very long text
+    rows = list(enumerate(texts)) + [(200, texts[20]), (200, texts[21]), (200, texts[21]), (201, "tie one two three four five"), (201, texts[30]), (202, "tie one two three four five")]
     got = j.linked(docs(spark, rows).repartition(3))
     want = brute(rows)
     assert {r.doc_id: r.component_id for r in got.collect()} == want
@@ -64,3 +68,27 @@ def test_prefix_size_is_enough():
             least = -(-75 * (n + m) // 175)
             assert j.prefix_size(n) >= n - least + 1 and j.prefix_size(m) >= m - least + 1
     assert np.all([1 <= j.prefix_size(n) <= n for n in range(1, 50)])
+
+
+def test_parity_bits_never_exceed_the_difference():
+    r = np.random.default_rng(3)
+    for n in (3, 40, 300, 700):
+        x = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        for drop in (0, 1, n // 5, n // 2):
+            y = np.unique(np.concatenate([x[drop:], r.integers(0, 2**63, drop // 2).astype(np.uint64)]))
+            a, b = j.parity(x), j.parity(y)
+            k = min(len(a), len(b))
+            apart = int(np.bitwise_count(j.folded(a, k) ^ j.folded(b, k)).sum())
+            both = len(np.intersect1d(x, y))
+            assert apart <= len(x) + len(y) - 2 * both
+            assert not j.similar(len(x), len(y), both) or len(x) + len(y) - 2 * both <= j.most_apart(len(x), len(y))
+
+
+def test_forest_joins_what_is_likely():
+    r = np.random.default_rng(4)
+    base = np.unique(r.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [np.delete(base, r.integers(0, len(base), 3)) for _ in range(30)] + [np.unique(r.integers(0, 2**63, 190).astype(np.uint64)) for _ in range(5)]
+    rows = [(k, len(s), k, k % 2, j.parity(s).tobytes()) for k, s in enumerate(sets)]
+    every, few = j.Group(rows).pairs(False, False), j.Group(rows).pairs(True, False)
+    assert every.shape[1] == 30 * 29 // 2 and few.shape[1] == 29 and few.max() < 30
+    assert j.Group(rows).pairs(False, True).shape[1] == 15 * 15
