@@ -18,7 +18,8 @@ lead nowhere, so what is left are few postings (shingle, class). Rounds:
 1. stars: each shingle's classes are paired with the least of them;
 2. shingles whose classes still lie in several components: a forest over the
    likely pairs between components;
-3. all likely pairs that still lie between components.
+3. of the shingles where that forest left a likely pair out: all likely pairs
+   that still lie between components.
 
 Every pair of a shingle's classes that could be similar is so either verified or
 inside one component. Rounds 2 and 3 compare classes in numpy, in blocks of
@@ -96,9 +97,9 @@ def class_of(s: np.ndarray, own: int) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """A bit for each residue of the hashes: whether an odd number of them has it. As many bits as shingles, about."""
-    n = 1 << min(20, max(8, int(len(s)).bit_length()))
+def parity(s: np.ndarray, times: int = 1) -> np.ndarray:
+    """A bit for each residue of the hashes: whether an odd number of them has it. As many bits as shingles, about, or that many times."""
+    n = times << min(20, max(8, int(len(s)).bit_length()))
     return np.packbits((np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(np.uint8), bitorder="little")
 
 
@@ -111,7 +112,9 @@ def _below(s: np.ndarray, part: int) -> int:
     return int(np.searchsorted(s, np.uint64(part << 58)))
 
 
-PARTS = "node bigint, doc_id bigint, c bigint, n int, low binary, bits binary"
+#: Bits of ``fine`` for each of ``bits``.
+FINE = 8
+PARTS = "node bigint, doc_id bigint, c bigint, n int, low binary, bits binary, fine binary"
 
 
 def low_parts(docs: DataFrame) -> DataFrame:
@@ -119,14 +122,16 @@ def low_parts(docs: DataFrame) -> DataFrame:
 
     def run(it):
         for b in slices(it):
-            cells = {x: [] for x in ("c", "n", "low", "bits")}
+            cells = {x: [] for x in ("c", "n", "low", "bits", "fine")}
             for own, t in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = shingles(t)
                 cells["c"].append(class_of(s, own))
                 cells["n"].append(len(s))
                 cells["low"].append(s[: max(_below(s, LOW), prefix_size(len(s)) if len(s) else 0)].tobytes())
-                cells["bits"].append(parity(s).tobytes())
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                fine = parity(s, FINE)
+                cells["bits"].append(folded(fine, len(fine) // FINE).tobytes())
+                cells["fine"].append(fine.tobytes())
+            kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 3)
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("doc_id"), *(pa.array(v, k) for v, k in zip(cells.values(), kinds, strict=True))], names=["node", "doc_id", *cells])
 
     rows = docs.select(node().alias("node"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -281,78 +286,96 @@ def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 class Group:
     """The classes of a block: likely pairs between their components."""
 
-    def __init__(self, rows: list[tuple]):
-        c, n, comp, part, bits = zip(*rows, strict=True)
-        self.c, self.n, self.part = np.array(c, np.int64), np.array(n, np.int64), np.array(part, np.int64)
-        self.label = np.unique(np.array(comp, np.int64), return_inverse=True)[1]
+    def __init__(self, c: np.ndarray, n: np.ndarray, comp: np.ndarray, part: np.ndarray, bits: list[bytes]):
+        self.c, self.n, self.part = c, n.astype(np.int64), part
+        self.label = np.unique(comp, return_inverse=True)[1]
         self.bits = [np.frombuffer(x, np.uint8) for x in bits]
 
-    def pairs(self, forest: bool, two_parts: bool) -> np.ndarray:
-        """(2, n) of classes; with ``forest``, pairs that join what earlier ones have not joined."""
+    def pairs(self, forest: bool, two_parts: bool) -> tuple[np.ndarray, bool]:
+        """(2, n) of classes, and whether a likely pair was left out: a ``forest`` joins only what earlier pairs have not joined."""
         size = np.array([len(x) for x in self.bits])
-        label, out = self.label.copy(), []
+        label, out, less = self.label.copy(), [], False
         for k in np.unique(size):
             longer = np.flatnonzero(size >= k)
             matrix = np.stack([folded(self.bits[i], k) for i in longer]).view(np.uint64)
+            first_label, theirs_label = self.label, self.label[longer]
+            n1, part = self.n[longer], self.part[longer]
             for row, i in enumerate(longer):
                 if size[i] != k:
                     continue
-                n0, n1 = self.n[i], self.n[longer]
-                ok = (label[longer] != label[i]) & ((size[longer] > k) | (longer > i)) & (100 * np.minimum(n0, n1) >= PERCENT * np.maximum(n0, n1))
+                n0 = self.n[i]
+                ok = (theirs_label != first_label[i]) & ((size[longer] > k) | (longer > i)) & (100 * np.minimum(n0, n1) >= PERCENT * np.maximum(n0, n1))
                 if two_parts:
-                    ok &= self.part[longer] != self.part[i]
+                    ok &= part != self.part[i]
                 at = np.flatnonzero(ok)
                 at = at[np.bitwise_count(matrix[at] ^ matrix[row]).sum(1) <= most_apart(n0, n1[at])]
                 if forest and len(at):
                     theirs, first = np.unique(label[longer[at]], return_index=True)
-                    at = at[first]
+                    new = theirs != label[i]
+                    less |= int(new.sum()) < len(at)
+                    at = at[first[new]]
                     label[np.isin(label, theirs)] = label[i]
                 out.append(np.stack([np.full(len(at), self.c[i]), self.c[longer[at]]]))
-        return np.sort(np.concatenate(out, 1), axis=0)
+        return np.sort(np.concatenate(out, 1), axis=0), less
 
 
-def between(lists: DataFrame, comps: DataFrame, reps: DataFrame, forest: bool) -> DataFrame:
-    """(a, b): likely pairs of classes of one shingle that lie in different components."""
+def between(lists: DataFrame, comps: DataFrame, bits: DataFrame, forest: bool) -> DataFrame:
+    """(a, b, key): likely pairs of classes of one shingle that lie in different components; a null pair marks a key whose forest left one out.
+
+    bits: (c, bits). Pairs may be repeated, as several shingles lead to them.
+    """
     each = lists.join(comps.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("comp"))
     several = each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
-    open_ = each.join(several, "key").join(reps.select("c", "bits"), "c")
+    open_ = each.join(several, "key").join(bits, "c")
     part = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
     dealt = open_.select("key", "c", "n", "comp", "bits", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "c", "n", "comp", "part", "bits")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "c")
 
+    def blocks(it):
+        """The rows of one block after the other, as Arrow tables."""
+        kept: list[pa.RecordBatch] = []
+        for b in it:
+            k = [b.column(x).to_numpy() for x in ("key", "x", "y")]
+            cut = [0, *(np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in k])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                if kept and any(kept[0].column(x)[0].as_py() != v[lo] for x, v in zip(("key", "x", "y"), k, strict=True)):
+                    yield pa.Table.from_batches(kept)
+                    kept = []
+                kept.append(b.slice(lo, hi - lo))
+        if kept:
+            yield pa.Table.from_batches(kept)
+
     def run(it):
-        at, rows, seen, out, found = None, [], set(), [], 0
-
-        def block():
-            if len(rows) > 1:
-                own = xxhash.xxh3_128_digest(np.array([r[0] for r in rows], np.int64).tobytes() + b"%d" % (at[1] != at[2]))
-                if own not in seen and len({r[2] for r in rows}) > 1:
-                    if len(seen) < 100_000:
-                        seen.add(own)
-                    out.append(Group(rows).pairs(forest, at[1] != at[2]))
-                    return out[-1].shape[1]
-            return 0
+        seen, out, marks, found = set(), [], [], 0
 
         def batch():
-            x = np.unique(np.concatenate(out, 1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
-
-        for b in slices(it, 5000):
-            cols = (b.column(x).to_pylist() for x in ("key", "x", "y", "c", "n", "comp", "part", "bits"))
-            for key, x, y, *row in zip(*cols, strict=True):
-                if at != (key, x, y):
-                    found += block()
-                    at, rows = (key, x, y), []
-                    if found > 200_000:
-                        yield batch()
-                        out, found = [], 0
-                rows.append(row)
-        block()
-        if out:
+            x = np.unique(np.concatenate([*out, np.zeros((2, 0), np.int64)], 1), axis=1)
+            none = [None] * len(marks)
+            return pa.RecordBatch.from_arrays([pa.array(x[0].tolist() + none, pa.int64()), pa.array(x[1].tolist() + none, pa.int64()), pa.array([None] * x.shape[1] + marks, pa.int64())], names=["a", "b", "key"])
+
+        for t in blocks(it):
+            c, comp = t.column("c").to_numpy(), t.column("comp").to_numpy()
+            if len(c) < 2 or (comp == comp[0]).all():
+                continue
+            two = t.column("x")[0].as_py() != t.column("y")[0].as_py()
+            own = xxhash.xxh3_64_intdigest(c.tobytes() + b"%d" % two)
+            less = False
+            if own not in seen:  # else one of the same classes stands for it
+                pairs, less = Group(c, t.column("n").to_numpy(), comp, t.column("part").to_numpy(), t.column("bits").to_pylist()).pairs(forest, two)
+                if len(seen) < 500_000:
+                    seen.add(own)
+                out.append(pairs)
+                found += pairs.shape[1]
+            if less:
+                marks.append(t.column("key")[0].as_py())
+            if found > 200_000:
+                yield batch()
+                out, marks, found = [], [], 0
+        if out or marks:
             yield batch()
 
-    return dealt.mapInArrow(task(run), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(task(run), "a bigint, b bigint, key bigint")
 
 
 # ---------------------------------------------------------------- verification
@@ -448,8 +471,17 @@ def _links(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
     comps = spark.createDataFrame([], "node bigint, root bigint")
     links = tried = spark.createDataFrame([], "a bigint, b bigint")
     for turn in ("stars", "forest", "rest"):
-        found = likely(stars(lists), reps) if turn == "stars" else between(lists, comps, reps, turn == "forest")
+        if turn == "stars":
+            found = likely(stars(lists), reps)
+        else:
+            made = staged(between(lists, comps, reps.select("c", "bits" if turn == "forest" else F.col("fine").alias("bits")), turn == "forest"), "between")
+            found = made.where("a is not null").select("a", "b").distinct()
         pairs = staged(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if turn == "forest":
+            last, lists = lists, staged(lists.join(made.where("key is not null").select("key").distinct(), "key", "left_semi"), "postings")
+            discard(last)
+        if turn != "stars":
+            discard(made)
         if not pairs.isEmpty():
             new = verified(docs, classes, pairs)
             if not new.isEmpty():
@@ -466,7 +498,7 @@ def groups(docs: DataFrame) -> DataFrame:
     parts = staged(low_parts(docs), "low")
     ids = staged(parts.select("node", "doc_id", "c", "n"), "ids")
     classes = staged(ids.groupBy("c").agg(F.min("node").alias("node")), "classes")
-    reps = staged(parts.where("n > 0").groupBy("c").agg(*(F.first(x).alias(x) for x in ("n", "low", "bits"))), "reps")  # equal in a class
+    reps = staged(parts.where("n > 0").groupBy("c").agg(*(F.first(x).alias(x) for x in ("n", "low", "bits", "fine"))), "reps")  # equal in a class
     discard(parts)
     comps = _links(docs, reps, classes)
     # rows that share a doc_id hold their classes' components together

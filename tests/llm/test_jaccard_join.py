@@ -88,7 +88,10 @@ def test_forest_joins_what_is_likely():
     r = np.random.default_rng(4)
     base = np.unique(r.integers(0, 2**63, 200).astype(np.uint64))
     sets = [np.delete(base, r.integers(0, len(base), 3)) for _ in range(30)] + [np.unique(r.integers(0, 2**63, 190).astype(np.uint64)) for _ in range(5)]
-    rows = [(k, len(s), k, k % 2, j.parity(s).tobytes()) for k, s in enumerate(sets)]
-    every, few = j.Group(rows).pairs(False, False), j.Group(rows).pairs(True, False)
-    assert every.shape[1] == 30 * 29 // 2 and few.shape[1] == 29 and few.max() < 30
-    assert j.Group(rows).pairs(False, True).shape[1] == 15 * 15
+    n, k = np.array([len(s) for s in sets]), np.arange(len(sets))
+    group = j.Group(k, n, k, k % 2, [j.parity(s, 1 + 7 * (i % 2)).tobytes() for i, s in enumerate(sets)])
+    (every, whole), (few, less) = group.pairs(False, False), group.pairs(True, False)
+    assert every.shape[1] == 30 * 29 // 2 and few.shape[1] == 29 and few.max() < 30 and less and not whole
+    assert group.pairs(False, True)[0].shape[1] == 15 * 15
+    two = j.Group(k[:2], n[:2], k[:2], k[:2], [j.parity(s).tobytes() for s in sets[:2]]).pairs(True, False)
+    assert two[0].tolist() == [[0], [1]] and not two[1]
