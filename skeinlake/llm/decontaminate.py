@@ -227,18 +227,22 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 SPANS = "n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[object, str]]]:
-    """The items in blocks of at most BLOCK_WORDS words (a longer item is a block of its own)."""
-    blocks: list[list[tuple[object, str]]] = [[]]
-    size = 0
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of at most BLOCK_WORDS words (a longer item is a block of its own).
+
+    The driver holds one block and one partition of the benchmark at a time.
+    """
+    block: list[tuple[object, str]] = []
+    size, some = 0, False
     for item, text in benchmark.select("item_id", F.coalesce("text", F.lit(""))).toLocalIterator(prefetchPartitions=False):
         n = len(words_of(text))
-        if blocks[-1] and size + n > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, text))
+        if block and size + n > BLOCK_WORDS:
+            yield block
+            block, size, some = [], 0, True
+        block.append((item, text))
         size += n
-    return blocks
+    if block or not some:
+        yield block
 
 
 def leak_spans(docs: DataFrame, items: list[tuple[object, str]], window: int = WINDOW) -> DataFrame:
@@ -268,24 +272,18 @@ def leak_spans(docs: DataFrame, items: list[tuple[object, str]], window: int = W
 
 
 def _all_spans(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """``leak_spans`` over all blocks, by (doc, h). With several blocks their spans are gathered per document."""
-    base = keyed(docs)
-    blocks = _blocks(benchmark)
-    if len(blocks) == 1:
-        return leak_spans(base, blocks[0], window)
-    parts = [leak_spans(base, x, window) for x in blocks]
-    all_ = parts[0]
-    for x in parts[1:]:
-        all_ = all_.union(x.where("size(starts) > 0").distinct())
-    # equal rows of the first block stay apart by their number
-    first = parts[0].groupBy("doc", "h").agg(F.count("*").alias("n"))
-    return (
-        all_.groupBy("doc", "h")
-        .agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"), F.flatten(F.collect_set("items")).alias("items"))
-        .join(first, ["doc", "h"])
-        .withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-        .drop("n")
-    )
+    """(doc, n_words, starts, ends, items) of each row, spans and items of all blocks in a row.
+
+    Every block is one more step over the same rows, whose text stays as it is
+    and whose lists grow, so no block needs a shuffle and repeated items of
+    several blocks stay apart as those of one do.
+    """
+    none = F.array().cast("array<bigint>")
+    out = keyed(docs).select("doc", F.col("text").alias("old"), none.alias("left"), none.alias("right"), none.cast("array<string>").alias("found"), F.lit(0).cast("bigint").alias("n"))
+    for block in _blocks(benchmark):
+        spans = leak_spans(out.withColumn("text", F.col("old")), block, window)
+        out = spans.select("doc", "old", F.concat("left", "starts").alias("left"), F.concat("right", "ends").alias("right"), F.concat("found", "items").alias("found"), F.col("n_words").alias("n"))
+    return out.select("doc", F.col("n").alias("n_words"), F.col("left").alias("starts"), F.col("right").alias("ends"), F.col("found").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

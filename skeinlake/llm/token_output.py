@@ -18,8 +18,8 @@ broadcast; of the blocks, only a sum per written partition reaches the driver.
 
 Defined results: null texts are empty (their only id is the end id); rows
 with a null doc_id come after all others; rows that repeat a doc_id follow each
-other by text hash; strings of special tokens in a text are ordinary text;
-empty tables give empty files.
+other by text hash; strings of special tokens in a text get the special ids, as in the library's
+plain call; empty tables give empty files.
 """
 
 from __future__ import annotations
@@ -67,24 +67,26 @@ def _sound(part: str) -> bool:
 
 
 class ChunkEncoder:
-    """Encodes whole texts by remembered chunks. Forgets all chunks at ``limit``, so memory is bounded.
+    """Encodes whole texts by remembered chunks. Forgets all chunks at ``limit`` bytes, so memory is bounded.
 
     Plain chunks go to the library's BPE model as the pre-tokens they are;
-    whatever else is in a text goes through the library's whole pipeline.
+    whatever else is in a text goes through the library's whole pipeline, as
+    does a text that holds the string of a special token.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 96 << 20):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.special = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.limit = limit
         self.code = "H" if self.t.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = "<u2" if self.code == "H" else "<u4"
         self.after: dict[str, bytes] = {}  # what follows a space, which is part of it
+        self.size = 0
         self.marks: dict[str, bytes] = {}  # punctuation behind letters
         self.letters = _byte_letters()
         self.newline = self.raw(["\n"])[0]
@@ -123,16 +125,22 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         heads, tails = [], []
         known = self.after
-        if len(known) > self.limit:
+        if self.size > self.limit:
             known.clear()
+            self.size = 0
         for text in texts:
+            if any(x in text for x in self.special):  # an id of its own, which cuts differ from
+                heads.append(text)
+                tails.append(b"")
+                continue
             parts = text.split(" ")
             new = set(parts[1:]).difference(known)
             if text[:1].isspace() or not all(map(_sound, new)) or parts[0][-1:].isspace() or not parts[0]:
                 parts = _CUT.split(text)
                 new = set(parts[1:]).difference(known)
             for x in new:
-                known[x] = self.part(x)
+                known[x] = ids = self.part(x)
+                self.size += len(x) + len(ids) + 190  # with what Python adds to each
             heads.append(parts[0])
             tails.append(b"".join(map(known.__getitem__, parts[1:])))
         return [head + tail for head, tail in zip(self.raw(heads), tails, strict=True)]

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from skeinlake.llm import decontaminate as d
 
@@ -23,7 +24,7 @@ def brute(rows, items, window=10):
                     if tuple(w[p : p + len(x)]) == x:
                         hit.update(range(p, p + len(x)))
                         found = True
-            if found:
+            if found and item is not None:
                 owners.append(str(item))
         out.append((i, len(w), len(hit), len(owners), hashlib.sha256(",".join(sorted(owners)).encode()).hexdigest(), bool(hit)))
     return out
@@ -46,10 +47,12 @@ def test_against_brute_force(spark):
     assert key(map(tuple, got)) == key(brute(rows, bench))
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("size", [40, 200_000])
+def test_blocks_of_items_give_the_same(spark, monkeypatch, size):
     bench = [(k, t) for k, t in enumerate(noise(3, 10, size=25))]
-    rows = list(enumerate(noise(4, 30) + noise(4, 30)))
-    monkeypatch.setattr(d, "BLOCK_WORDS", 40)
+    bench += bench[:4] + [(7, "ab"), (7, "cd"), (None, "ef gh")]  # repeated items and ids, over blocks and in one
+    rows = list(enumerate(noise(4, 30) + noise(4, 30))) + [(3, "ab"), (3, "ab")]
+    monkeypatch.setattr(d, "BLOCK_WORDS", size)
     got = d.contamination(docs(spark, rows), items(spark, bench)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert key(map(tuple, got)) == key(brute(rows, bench))
 
@@ -80,6 +83,12 @@ def test_removed_is_the_same_in_blocks(spark, monkeypatch):
     assert blocks == once == ["Before:  after.", "v0 v1 v2 v3 v4  v5 v6 v7 v8 v9", None]
 
 
+def test_equal_rows_keep_their_other_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "y"), (1, None, "z")], "doc_id bigint, text string, starts string")
+    got = d.removed(rows, items(spark, [(1, "b")])).collect()
+    assert {tuple(r) for r in got} == {(1, "a  c", "x"), (1, "a  c", "y"), (1, None, "z")} and len(got) == 3
+
+
 def test_fm_index_finds_every_occurrence():
     r = np.random.default_rng(5)
     for n in (1, 2, 30, 500):

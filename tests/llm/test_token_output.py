@@ -13,11 +13,10 @@ def whole(texts):
     from tokenizers import Tokenizer
 
     k = Tokenizer.from_file(t.tokenizer_path())
-    k.encode_special_tokens = True
     return [e.ids for e in k.encode_batch(texts, add_special_tokens=False)]
 
 
-CODER = t.ChunkEncoder(t.tokenizer_path(), limit=50)
+CODER = t.ChunkEncoder(t.tokenizer_path(), limit=9000)
 
 
 @settings(max_examples=300, deadline=None)
@@ -59,6 +58,12 @@ def test_files_hold_all_documents_in_order(spark, tmp_path, monkeypatch):
     assert not any(ids.values())
 
 
+def test_special_tokens_are_those_of_the_plain_call():
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> b <|endoftext", " <|endoftext|>\n"]
+    assert [np.frombuffer(x, CODER.dtype).tolist() for x in CODER.encode(texts)] == whole(texts)
+    assert len(whole(texts)[0]) == 4 and whole(["<|endoftext|>"]) == [[50256]]
+
+
 def test_empty_table(spark, tmp_path):
     t.write_tokens(docs(spark, []), f"file://{tmp_path}/none")
     assert t.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
