@@ -319,17 +319,26 @@ class Group:
         return np.sort(np.concatenate(out, 1), axis=0), less
 
 
+def _first_common(a: pa.Scalar, b: pa.Scalar) -> int:
+    return int(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True)[0])
+
+
 def between(lists: DataFrame, comps: DataFrame, bits: DataFrame, forest: bool) -> DataFrame:
     """(a, b, key): likely pairs of classes of one shingle that lie in different components; a null pair marks a key whose forest left one out.
 
-    bits: (c, bits). Pairs may be repeated, as several shingles lead to them.
+    bits: (c, bits). A forest's pairs may be repeated, as several shingles lead to them; others are made at the least shingle of both only.
     """
     each = lists.join(comps.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("root", "c").alias("comp"))
     several = each.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("lo < hi").select("key", "parts")
     open_ = each.join(several, "key").join(bits, "c")
+    mine = F.array().cast("array<bigint>")
+    if not forest:
+        open_ = open_.join(lists.groupBy("c").agg(F.sort_array(F.collect_set("key")).alias("mine")), "c")  # of one document
+        mine = F.col("mine")
+    open_ = open_.withColumn("mine", mine)
     part = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
-    dealt = open_.select("key", "c", "n", "comp", "bits", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "c", "n", "comp", "part", "bits")
+    dealt = open_.select("key", "c", "n", "comp", "bits", "mine", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "c", "n", "comp", "part", "bits", "mine")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "c")
 
     def blocks(it):
@@ -363,7 +372,12 @@ def between(lists: DataFrame, comps: DataFrame, bits: DataFrame, forest: bool) -
             less = False
             if own not in seen:  # else one of the same classes stands for it
                 pairs, less = Group(c, t.column("n").to_numpy(), comp, t.column("part").to_numpy(), t.column("bits").to_pylist()).pairs(forest, two)
-                if len(seen) < 500_000:
+                if not forest:
+                    keys = dict(zip(c.tolist(), t.column("mine"), strict=True))
+                    here = t.column("key")[0].as_py()
+                    first = [_first_common(keys[a], keys[b]) == here for a, b in pairs.T.tolist()]
+                    pairs = pairs[:, np.array(first, bool)]
+                elif len(seen) < 500_000:
                     seen.add(own)
                 out.append(pairs)
                 found += pairs.shape[1]
