@@ -15,13 +15,20 @@ Each rare line leads to the first document that holds it (rarely more than one
 or two for a document), so a group of n copies gives n - 1 pairs, not n squared.
 Each pair is aligned: rare lines of both, longest increasing run of them, and
 again between those; where none is unique, a longest common subsequence of those
-that both hold decides, as in an ordinary diff. Matches grow over equal neighbours of any kind. Aligned
-lines are deleted from the later document. A line is only ever deleted for an
-equal one in an earlier document, so the first copy of each stays.
+that both hold decides, as in an ordinary diff. Matches grow over equal neighbours
+of any kind. What stands in another order is aligned again, without what is
+matched, until no rare line of both is left (after ``PASSES`` alignments each for
+itself). Aligned lines are deleted from the later document. So every rare line that
+an earlier document holds goes, and a line is only ever deleted for an equal one in
+an earlier document: the first copy of each stays.
+
+Equal documents are not aligned: of all but the first, every line is matched.
+A line that very many documents hold meets its first document by broadcast (there
+are ``HOT`` such lines at most); the lines of a first document that many others lead
+to are sent once for each ``SALT`` of them.
 
 Texts are shuffled once, for the deletion; before that, only hashes of lines
-travel. Pairs meet the first document's lines in a plain sort-merge join, which
-adaptive execution splits where that document is the first of a large group.
+travel.
 
 Defined results: null texts stay null and have no line; a text without newline
 is one line; a document all of whose words are deleted has an empty text;
@@ -40,9 +47,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, combine, doc_column, keyed, mix, staged
+from .common import ODD, combine, discard, doc_column, keyed, mix, slices, staged, task
 
 MIN_WORDS = 5
+#: Alignments of one pair, before the lines that are left are matched one by one.
+PASSES = 6
+#: Lines that are broadcast with their first documents at most, and least holders of one.
+HOT, LEAST_HOT = 1 << 14, 2_000
+#: Documents that meet one copy of their first document's lines, about.
+SALT = 1_000
 #: Bits of alignment state that one gap takes at most (64 MB).
 BITS = 1 << 29
 
@@ -120,6 +133,32 @@ def aligned(a: list[int], b: list[int], keys_a: list[int | None], keys_b: list[i
     return hit
 
 
+def matched(a: list[int], b: list[int], keys_a: list[int | None], keys_b: list[int | None]) -> set[int]:
+    """Places in ``b`` of all that alignments with ``a`` match: every place whose key ``a`` has, and what grows from them."""
+    there = {k for k in keys_a if k is not None}
+    b, keys_b = [*b], [*keys_b]
+    hit: set[int] = set()
+    for _ in range(PASSES):
+        if there.isdisjoint(keys_b):
+            return hit
+        for k in aligned(a, b, keys_a, keys_b):
+            hit.add(k)
+            b[k] = keys_b[k] = None  # equal to no line
+    first = {}
+    for x, k in enumerate(keys_a):
+        first.setdefault(k, x)
+    for y, k in enumerate(keys_b):
+        if k is None or k not in there or y in hit:
+            continue
+        x = first[k]
+        for step, end in ((-1, -1), (1, len(b))):
+            i, j = (x, y) if step > 0 else (x - 1, y - 1)
+            while 0 <= i < len(a) and j != end and b[j] is not None and a[i] == b[j]:
+                hit.add(j)
+                i, j = i + step, j + step
+    return hit
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, sorted by their first places, whose second places increase."""
     tops: list[int] = []
@@ -199,45 +238,59 @@ def _once(x: list[int | None], begin: int, end: int) -> dict[int, int]:
 
 
 def _align(it):
-    for b in it:
+    for b in slices(it, 200):
         cut = []
         cols = (b.column(x) for x in ("lines", "kind", "lines0", "kind0"))
         for row in zip(*cols, strict=True):
             own, kind, first, kind0 = (x.values.to_numpy() for x in row)
-            if np.array_equal(own, first):
-                hit = range(len(own))
-            else:
-                keys, keys0 = (anchor_keys(x, k, np.zeros(len(x), np.int8)) for x, k in ((own, kind), (first, kind0)))
-                hit = aligned(first.tolist(), own.tolist(), [k or None for k in keys0.tolist()], [k or None for k in keys.tolist()])
-            cut.append(np.unique(np.array(hit, np.int32)))
+            keys, keys0 = (anchor_keys(x, k, np.zeros(len(x), np.int8)) for x, k in ((own, kind), (first, kind0)))
+            hit = matched(first.tolist(), own.tolist(), [k or None for k in keys0.tolist()], [k or None for k in keys.tolist()])
+            cut.append(np.array(sorted(hit), np.int32))
         yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("h"), pa.array(cut, pa.list_(pa.int32()))], names=["doc", "h", "cut"])
 
 
-def copied_lines(docs: DataFrame) -> DataFrame:
-    """doc, h, cut: the places of the lines to delete, for documents that have some."""
+def copied_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, h, cut): the places of the lines to delete, for documents that have some; and (h, first) of texts that several documents hold."""
     table = staged(line_table(docs), "lines")
-    one = table.mapInArrow(_anchors, "doc bigint, h bigint, line bigint")
+    texts = table.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max(F.size("lines") > 1).alias("several"), F.max(F.exists("kind", lambda k: k == 2)).alias("rare"))
+    copies = staged(texts.where("first < last and (several or rare)").select("h", "first"), "copies")
+    # copies of an earlier text are deleted whole, and no line of theirs comes first
+    own = table.join(copies, "h", "left").where("first is null or doc = first").drop("first").dropDuplicates(["doc", "h"])
+    lines = staged(own, "firsts")
+    discard(table)
+    one = lines.select("doc", "h", "lines", "kind").mapInArrow(task(_anchors), "doc bigint, h bigint, line bigint")
     at = F.struct("doc", "h")
-    first = one.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("line", "first")
-    pairs = one.join(first, "line").where(at > F.col("first")).select("doc", "h", F.col("first.doc").alias("doc0"), F.col("first.h").alias("h0")).distinct()
-    lines = table.dropDuplicates(["doc", "h"])
-    theirs = lines.select(F.col("doc").alias("doc0"), F.col("h").alias("h0"), F.col("lines").alias("lines0"), F.col("kind").alias("kind0"))
-    both = pairs.join(lines, ["doc", "h"]).join(theirs, ["doc0", "h0"])
-    cut = both.select("doc", "h", "lines", "kind", "lines0", "kind0").mapInArrow(_align, "doc bigint, h bigint, cut array<int>")
-    return cut.where("size(cut) > 0").groupBy("doc", "h").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    first = staged(one.groupBy("line").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first <> last").select("line", "first", "n"), "leads")
+    least = max(LEAST_HOT, -(-(first.agg(F.sum("n")).first()[0] or 0) // HOT))
+    hot = F.broadcast(first.where(F.col("n") >= least).drop("n"))  # HOT lines at most, as their holders add up to the total at most
+    found = one.join(hot, "line").unionByName(one.join(hot, "line", "left_anti").join(first.where(F.col("n") < least).drop("n"), "line"))
+    pairs = staged(found.where(at > F.col("first")).select("doc", "h", F.col("first.doc").alias("doc0"), F.col("first.h").alias("h0")).distinct(), "pairs")
+    salts = pairs.groupBy("doc0", "h0").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    theirs = lines.select(F.col("doc").alias("doc0"), F.col("h").alias("h0"), F.col("lines").alias("lines0"), F.col("kind").alias("kind0")).join(salts, ["doc0", "h0"])
+    theirs = theirs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    both = pairs.join(salts, ["doc0", "h0"]).withColumn("salt", F.pmod(F.xxhash64("doc", "h"), F.col("salts")).cast("int")).drop("salts")
+    both = both.join(lines, ["doc", "h"]).join(theirs, ["doc0", "h0", "salt"])
+    cut = both.select("doc", "h", "lines", "kind", "lines0", "kind0").mapInArrow(task(_align), "doc bigint, h bigint, cut array<int>")
+    out = staged(cut.where("size(cut) > 0").groupBy("doc", "h").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut")), "cuts")
+    discard(lines, first, pairs)
+    return out, copies
 
 
 def _shortened(docs: DataFrame, names: list[str]) -> DataFrame:
     """``names`` of docs, n_lines, n_deleted and the kept text (null if the text is)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*names).alias("row"), F.col("text"), doc_column().alias("doc"), F.xxhash64(text).alias("h"))
-    out = rows.join(copied_lines(docs).hint("shuffle_hash"), ["doc", "h"], "left")
+    cuts, copies = copied_lines(docs)
+    out = rows.join(cuts.hint("shuffle_hash"), ["doc", "h"], "left")
+    # few texts are held by several documents, but some of them by very many
+    out = out.join(copies, "h", "left").withColumn("copy", F.coalesce(F.col("doc") > F.col("first"), F.lit(False)))
 
     def delete(it):
-        for b in it:
+        for b in slices(it):
             n, gone, kept = [], [], []
-            for text, cut in zip(b.column("text").to_pylist(), b.column("cut").to_pylist(), strict=True):
+            for text, cut, copy in zip(b.column("text").to_pylist(), b.column("cut").to_pylist(), b.column("copy").to_pylist(), strict=True):
                 lines = text.split("\n") if text else []
+                cut = range(len(lines)) if copy else cut
                 n.append(len(lines))
                 gone.append(len(cut or ()))
                 if cut:
@@ -250,7 +303,7 @@ def _shortened(docs: DataFrame, names: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["row", "n_lines", "n_deleted", "kept"])
 
     own = rows.schema["row"].dataType.simpleString()
-    return out.select("row", "text", "cut").mapInArrow(delete, f"row {own}, n_lines bigint, n_deleted bigint, kept string")
+    return out.select("row", "text", "cut", "copy").mapInArrow(task(delete), f"row {own}, n_lines bigint, n_deleted bigint, kept string")
 
 
 def without_copied_lines(docs: DataFrame) -> DataFrame:
