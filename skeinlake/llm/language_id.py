@@ -1,20 +1,25 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Characters of letters fall into 31 buckets (a-z, and five for all others by
+Characters of letters fall into 63 buckets (a-z, and 37 for all others by
 hash), 0 stands for the edge of a word; a word is predicted letter by letter
 and at its end, from the three characters before. An n-gram's hash is its
-bucket codes packed into five bits each, so a language has 2**20 four-grams at
+bucket codes packed into six bits each, so a language has 2**24 four-grams at
 most: the bound of what is gathered and broadcast, whatever the corpus.
 
 Four-gram counts are summed over all training documents (each batch adds up its
-own first); lower orders use continuation counts. Probabilities lie in arrays
-sorted by hash. A document gets the language of lowest cross-entropy per
-character, ties to the smaller name. ``score`` is the normalised likelihood of
-that choice over ``SHARPNESS`` characters.
-
-Rejection is calibrated: one training document in ten (by hash of its id) is
-left out of the counts, and a document is rejected if its cross-entropy is
-``MARGIN`` nats above the 99.9 % quantile of those of its language.
+own first); lower orders use continuation counts. Each language's probabilities
+lie in arrays of its own, sorted by hash. A document gets the language of lowest
+cross-entropy per character, ties to the smaller name. ``score`` is the normalised
+likelihood of that choice over ``SHARPNESS`` characters.
+
+Rejection is calibrated by cross-fitting: training documents fall into ``FOLDS``
+by hash of their id, counts are kept by fold, and the documents of fold 0 are scored
+by the models of all other counts. Of two measures, the cross-entropy above the
+median of those of its language (which tells for long texts) and the same times the
+root of the number of predictions (which tells for short ones, whose entropies
+scatter), a document is rejected if both are over ``SPREAD`` times their 99.9 % quantile. The
+model itself is of all folds. A language that fold 0 has no documents of, or that
+only it has, has no limit.
 
 Defined results: null texts and texts without letters are ``und``, score 0, and
 rejected; without any training document so is everything; rows are scored on
@@ -24,27 +29,30 @@ doc_id is not trained on and not held out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import slices, task
+
 ORDER = 4
-BITS = 5
+BITS = 6
+OTHERS = 37
 SHARPNESS = 20.0
-MARGIN = 0.75
+FOLDS = 3
+#: How many times as far above its language's median as 99.9 % of the calibrating documents a rejected one lies, at least.
+SPREAD = 4
 UNKNOWN = "und"
 
 
 def _letter_table() -> np.ndarray:
-    """Code of each code point below 2**18: 1-26, 27-31, or -1 for what is no letter."""
+    """Code of each code point below 2**18: 1-26, 27-63, or -1 for what is no letter."""
     out = np.full(1 << 18, -1, np.int64)
     for c in range(1 << 18):
         if chr(c).isalpha():
             low = chr(c).lower()[0]
-            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low) * 2654435761 >> 7) % 5
+            out[c] = ord(low) - 96 if "a" <= low <= "z" else 27 + ord(low) % OTHERS
     return out
 
 
@@ -115,29 +123,19 @@ class KneserNey:
 
 
 class Model:
-    """All languages: log probabilities of every four-gram that any of them holds, sorted by hash."""
+    """All languages, each with sorted arrays of its own."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
         self.each = [KneserNey(*counts[x]) for x in self.langs]
-        self.keys = np.unique(np.concatenate([counts[x][0] for x in self.langs])) if counts else np.zeros(0, np.int64)
-        self.logs = self._logs(self.keys)
-
-    def _logs(self, keys: np.ndarray) -> np.ndarray:
-        return np.stack([np.log(m.probability(keys)) for m in self.each], 1) if self.each else np.zeros((len(keys), 0))
 
     def word_sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word in each language, and its number of predictions."""
         keys, size = grams(words)
-        logs = np.zeros((len(keys), len(self.langs)))
-        if len(keys):
-            i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            seen = self.keys[i] == keys
-            logs[seen] = self.logs[i[seen]]
-            logs[~seen] = self._logs(keys[~seen])
-        sums = np.zeros((len(words), len(self.langs)))
-        np.add.at(sums, np.repeat(np.arange(len(words)), size), logs)
-        return sums, size
+        found, at = np.unique(keys, return_inverse=True)
+        word = np.repeat(np.arange(len(words)), size)
+        sums = [np.bincount(word, np.log(m.probability(found))[at], minlength=len(words)) for m in self.each]
+        return np.stack(sums, 1) if sums else np.zeros((len(words), 0)), size
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per prediction in each language, and the number of predictions, of each text."""
@@ -155,66 +153,81 @@ def _remainders(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang", crc.alias("crc"))
 
 
-def _slices(it: Iterator[pa.RecordBatch], n: int = 1000) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for at in range(0, b.num_rows, n):
-            yield b.slice(at, n)
-
-
-def fit(training: DataFrame) -> Model:
-    """Count four-grams by language over all rows of (text, lang)."""
+def counted(training: DataFrame) -> pa.Table:
+    """(lang, gram, n, n_fold): four-grams over all rows of (text, lang, fold), n_fold those of fold 0."""
 
     def count(it):
-        for b in _slices(it, 4000):
-            texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
+        for b in slices(it, 4000):
+            texts, langs, folds = (b.column(x).to_pylist() for x in ("text", "lang", "fold"))
             for lang in sorted(set(langs)):
-                words, _ = flat_words([t for t, x in zip(texts, langs, strict=True) if x == lang])
-                often = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                keys, size = grams(words.dictionary.to_pylist())
+                parts = []
+                for zero in (True, False):
+                    words, _ = flat_words([t for t, x, k in zip(texts, langs, folds, strict=True) if x == lang and (k == 0) == zero])
+                    often = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                    keys, size = grams(words.dictionary.to_pylist())
+                    parts.append((keys, np.repeat(often, size), np.full(len(keys), zero)))
+                keys, n, zero = (np.concatenate(x) for x in zip(*parts, strict=True))
                 found, at = np.unique(keys, return_inverse=True)
-                n = np.bincount(at, np.repeat(often, size), minlength=len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], names=["lang", "gram", "n"])
-
-    rows = training.select("text", "lang").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    got = rows.orderBy("lang", "gram").toArrow()  # 2**20 rows a language at most
-    lang = np.array(got.column("lang").to_pylist(), object)
-    gram, n = got.column("gram").to_numpy(), got.column("n").to_numpy().astype(np.float64)
-    return Model({x: (gram[lang == x], n[lang == x]) for x in sorted(set(lang))})
-
-
-def scored(docs: DataFrame, model: Model, limits: dict[str, float] | None = None, also: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """The columns ``also`` of each row with lang_pred, score, entropy (null for und) and rejected."""
+                both = [pa.array(np.bincount(at, x, minlength=len(found)).astype(np.int64)) for x in (n, n * zero)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), *both], names=["lang", "gram", "n", "n_fold"])
+
+    rows = training.select("text", "lang", "fold").mapInArrow(task(count), "lang string, gram bigint, n bigint, n_fold bigint")
+    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_fold").alias("n_fold")).toArrow()  # 2**24 rows a language at most
+
+
+def fit(counts: pa.Table) -> tuple[Model, Model]:
+    """The model of all counts, and that of all but fold 0."""
+    names = counts.column("lang").combine_chunks().dictionary_encode()
+    lang, names = names.indices.to_numpy(), names.dictionary.to_pylist()
+    gram, n, fold = (counts.column(x).to_numpy() for x in ("gram", "n", "n_fold"))
+    models = []
+    for total in (n, n - fold):
+        own = {}
+        for k, name in enumerate(names):
+            at = np.flatnonzero((lang == k) & (total > 0))
+            if len(at):
+                at = at[np.argsort(gram[at])]
+                own[name] = gram[at], total[at].astype(np.float64)
+        models.append(Model(own))
+    return models[0], models[1]
+
+
+def scored(docs: DataFrame, model: Model, limits: dict[str, tuple[float, float, float]] | None = None, also: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
+    """The columns ``also`` of each row with lang_pred, score, entropy (null for und), number of predictions and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast((model, limits or {}))
 
     def run(it):
         m, most = shared.value
         langs = np.array([*m.langs, UNKNOWN], object)
-        top = np.array([most.get(x, np.inf) for x in m.langs] + [-1.0])
-        for b in _slices(it):
+        median, far, scaled = np.array([most.get(x, (0.0, np.inf, np.inf)) for x in m.langs] + [(0.0, np.inf, np.inf)]).T
+        for b in slices(it, 1000):
             h, n = m.entropies(b.column("text").to_pylist())
             known = (n > 0) & (len(m.langs) > 0)
             best = np.where(known, h.argmin(1) if m.langs else 0, len(m.langs))
             low = h.min(1) if m.langs else np.zeros(len(h))
             score = np.where(known, 1 / np.exp(-SHARPNESS * (h - low[:, None])).sum(1) if m.langs else 0.0, 0.0)
-            rejected = ~known | (low > top[best])
+            above = low - median[best]
+            rejected = ~known | (above > far[best]) & (above * np.sqrt(n) > scaled[best])
             yield pa.RecordBatch.from_arrays(
-                [b.column(x) for x in also] + [pa.array(langs[best], pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.float64(), mask=~known), pa.array(rejected)],
-                names=[*also, "lang_pred", "score", "entropy", "rejected"],
+                [b.column(x) for x in also] + [pa.array(langs[best], pa.string()), pa.array(score, pa.float64()), pa.array(low, pa.float64(), mask=~known), pa.array(n.astype(np.int64)), pa.array(rejected)],
+                names=[*also, "lang_pred", "score", "entropy", "predictions", "rejected"],
             )
 
     own = "".join(f"`{x}` {docs.schema[x].dataType.simpleString()}, " for x in also)
-    return docs.mapInArrow(run, f"{own}lang_pred string, score double, entropy double, rejected boolean")
+    return docs.mapInArrow(task(run), f"{own}lang_pred string, score double, entropy double, predictions bigint, rejected boolean")
 
 
-def train(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> tuple[Model, dict[str, float]]:
+def train(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> tuple[Model, dict[str, tuple[float, float, float]]]:
     """Model and rejection limits from the documents with a language whose id's crc32 leaves another remainder."""
     own = _remainders(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("crc") % modulus != held_out))
-    tenth = F.floor(F.col("crc") / modulus) % 10 == 0
-    model = fit(own.where(~tenth))
-    if not model.langs:
-        model = fit(own)
-    limits = scored(own.where(tenth).select("text"), model, also=[]).where("entropy is not null").groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.999, 10_000).alias("q")).collect()  # a row for each language
-    return model, {r.lang_pred: r.q + MARGIN for r in limits}
+    own = own.select("text", "lang", (F.floor(F.col("crc") / modulus) % FOLDS).alias("fold"))
+    model, other = fit(counted(own))
+    seen = scored(own.where("fold = 0").select("text"), other, also=[]).where("entropy is not null").select("lang_pred", "entropy", F.sqrt("predictions").alias("root"))
+    median = seen.groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.5, 10_000).alias("median"))
+    above = F.col("entropy") - F.col("median")
+    top = lambda x: SPREAD * F.percentile_approx(x, 0.999, 10_000)
+    limits = seen.join(F.broadcast(median), "lang_pred").groupBy("lang_pred", "median").agg(top(above).alias("far"), top(above * F.col("root")).alias("scaled")).collect()  # a row for each language
+    return model, {r.lang_pred: (r.median, r.far, r.scaled) for r in limits}
 
 
 def identify(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> DataFrame:

@@ -3,18 +3,21 @@
 1. A bounded sample of labelled training rows (``SAMPLE`` of least hash) gives
    the lexicon: words whose presence goes with the toxic label. Equal texts of
    equal label count once there.
-2. Voters look at the same rows: one for each lexicon word (toxic or abstain),
-   and patterns over the whole text (several hits, dense hits, no hit at all,
-   shouting). A generative model of class-conditional votes is fitted by EM,
-   started from the labels; from the fitted posteriors, the correlation of
-   each pair of voters within the classes is estimated, and a voter that goes
-   with others counts for less (one part in the number of voters it doubles).
-3. A logistic regression over the voters' evidence is trained on the posterior
-   labels, and scores every whole text in one pass.
+2. Voters look at those rows and at as many rows without a label: one for each
+   lexicon word (toxic or abstain), and patterns over the whole text (several
+   hits, dense hits, shouting). A generative model of class-conditional votes is
+   fitted to the votes by EM. Labels say once which class is which: they give the
+   rates that EM starts from. From the posteriors, the correlation of each pair of
+   voters within the classes is estimated, and a voter that goes with others counts
+   for less (one part in the number of voters it doubles). EM stops early, after
+   ``ROUNDS``: votes that go together pull it away from toxicity later on.
+3. A logistic regression over the voters' evidence, and whether there was any, is
+   trained on the posterior labels of all these rows, brought to the labelled rows'
+   scale by two numbers, and scores every whole text in one pass.
 
 The bounds of what reaches the driver and is broadcast are ``SAMPLE`` rows of
-voter numbers and ``LEXICON`` words. Labels of other rows are never read into
-the model, nor are lang, source or doc_id.
+voter numbers, twice, and ``LEXICON`` words. Labels of held-out rows are never
+read into the model, nor are lang, source or doc_id of any row, nor held-out texts.
 
 Defined results: null texts are empty; an empty text has no hits and gets the
 score of such texts; without a label of both classes every score is the
@@ -41,7 +44,10 @@ LEXICON, LEAST_Z, LEAST_DOCS = 400, 3.5, 4
 #: Least ratio of a lexicon word's shares in toxic and in other documents, which holds at any rate of toxic labels.
 RATIO = 4
 THRESHOLD = 0.3
-PATTERNS = ("any hit", "two hits", "four hits", "dense", "very dense", "no hit", "shouting")
+ROUNDS = 1
+#: The first are evidence for the classifier only: they repeat what the lexicon's voters say.
+PATTERNS = ("any hit", "no hit", "two hits", "four hits", "dense", "very dense", "shouting")
+EVIDENCE = 2
 
 
 def _crc(column: str):
@@ -49,10 +55,20 @@ def _crc(column: str):
 
 
 def sample(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, bound: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``bound`` labelled rows outside the held-out remainder, those of least hash."""
+    """(id, text, toxic): at most ``bound`` labelled rows and ``bound`` others, toxic null, outside the held-out remainder; those of least hash.
+
+    Ids are chosen before texts are read, so a text is only read for them; of rows that share an id, the first texts by hash.
+    """
     own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and id is not null").where(_crc("id") % modulus != held_out)
-    few = own.withColumn("k", F.xxhash64("id", F.lit(7))).orderBy("k", "id", "toxic").limit(bound)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
+    hash_ = F.xxhash64("id", F.lit(7))
+    few = own.withColumn("k", hash_).orderBy("k", "id", "toxic").limit(bound)
+    ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").where(_crc("id") % modulus != held_out)
+    others = ids.join(own.select("id").distinct(), "id", "left_anti").withColumn("k", hash_).orderBy("k", "id").limit(bound).withColumn("toxic", F.lit(None).cast("int"))
+    chosen = few.unionByName(others.distinct())
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
+    # rows that repeat an id count within the bounds too
+    numbered = rows.withColumn("h", F.xxhash64("id", F.lit(7))).orderBy(F.col("toxic").isNull(), "h", F.xxhash64("text"))
+    return numbered.where("toxic is not null").limit(bound).unionByName(numbered.where("toxic is null").limit(bound)).select("id", "text", "toxic")
 
 
 def lexicon(rows: DataFrame) -> dict[bytes, int]:
@@ -70,7 +86,7 @@ def lexicon(rows: DataFrame) -> dict[bytes, int]:
                     toxic.update(own)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([toxic[w] for w in n], pa.int64())], names=["word", "n", "a"])
 
-    once = rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates()  # copies prove nothing more
+    once = rows.where("toxic is not null").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates()  # copies prove nothing more
     by_word = once.mapInArrow(count, "word binary, n bigint, a bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(f"a >= {LEAST_DOCS}")
     whole = by_word.where("word = binary('')").first()
     if whole is None or whole.a == whole.n:
@@ -91,22 +107,28 @@ def voters(text: str, words: dict[bytes, int]) -> tuple[list[int], list[int]]:
     n, m = len(hits), max(1, len(all_words))
     letters = sum(map(text.count, "aeiounrst")) + 1
     loud = sum(map(text.count, "AEIOUNRST"))
-    said = [n > 0, n > 1, n > 3, n / m > 0.01, n / m > 0.05, n == 0, loud > letters]
+    said = [n > 0, n == 0, n > 1, n > 3, n / m > 0.01, n / m > 0.05, loud > letters]
     return hits, [k for k, x in enumerate(said) if x]
 
 
 class LabelModel:
-    """Class-conditional rates of each voter, by EM; weights for correlated voters."""
+    """Class-conditional rates of each voter, fitted to the votes by EM; weights for correlated voters.
+
+    ``start``: labels of the rows where known, else nan. They are used for the first rates only.
+    """
 
-    def __init__(self, votes: np.ndarray, labels: np.ndarray, rounds: int = 10):
-        post = np.where(labels == 1, 0.9, 0.1)
+    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS):
+        known = ~np.isnan(start)
+        self._fit(votes[known], np.where(start[known] == 1, 0.95, 0.05))
         for _ in range(rounds):
-            self.prior = post.mean()
-            self.on = (post @ votes + 0.5) / (post.sum() + 1)
-            self.off = ((1 - post) @ votes + 0.5) / ((1 - post).sum() + 1)
-            self.weight = self._weights(votes, post)
-            post = 0.5 * self.posterior(votes) + 0.5 * labels  # labels keep the classes' meaning
-        self.post = post
+            self._fit(votes, self.posterior(votes))
+        self.post = self.posterior(votes)
+
+    def _fit(self, votes: np.ndarray, post: np.ndarray) -> None:
+        self.prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
+        self.on = (post @ votes + 0.5) / (post.sum() + 1)
+        self.off = ((1 - post) @ votes + 0.5) / ((1 - post).sum() + 1)
+        self.weight = self._weights(votes, post)
 
     def _weights(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
         total = np.zeros((votes.shape[1],) * 2)
@@ -158,17 +180,24 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2)
             ids = [sorted(set(h)) + [len(words) + k for k in s] for h, s in both]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "toxic", "votes"])
 
-    got = rows.mapInArrow(vote, "id bigint, toxic int, votes array<int>").orderBy("id", "toxic", "votes").collect()
-    y = np.array([r.toxic > 0 for r in got], float)
+    got = rows.mapInArrow(vote, "id bigint, toxic int, votes array<int>").orderBy("id", "toxic", "votes").collect()  # SAMPLE rows, twice, at most
+    y = np.array([np.nan if r.toxic is None else r.toxic > 0 for r in got], float)
     size = len(words) + len(PATTERNS)
-    if not len(y) or y.min() == y.max():
+    known = y[~np.isnan(y)]
+    if not len(known) or known.min() == known.max():
         w = np.zeros(size + 1)
-        w[-1] = 30.0 if len(y) and y[0] else -30.0
+        w[-1] = 30.0 if len(known) and known[0] else -30.0
         return Classifier(words, w)
     votes = np.zeros((len(y), size), np.float32)
     for k, r in enumerate(got):
         votes[k, r.votes] = 1
-    return Classifier(words, regression(votes, LabelModel(votes, y).post))
+    voting = np.r_[: len(words), len(words) + EVIDENCE : size]
+    w = regression(votes, LabelModel(votes[:, voting], y).post)
+    own = ~np.isnan(y)
+    scale, shift = regression((votes[own] @ w[:-1] + w[-1])[:, None], y[own], ridge=1e-3)
+    w *= scale
+    w[-1] += shift
+    return Classifier(words, w)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:

@@ -50,6 +50,20 @@ def test_languages(spark):
     assert language_id.identify(docs(spark, [])).count() == 0
 
 
+def test_every_language_can_be_predicted(spark):
+    """Also one whose few documents all fall into the fold that calibrates; ties go to the smaller name."""
+    fold = lambda k: zlib.crc32(str(k).encode()) // 3 % language_id.FOLDS
+    few = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 3 != 1 and fold(k) == 0][:3]
+    a = _speech(1, ("the", "ing", "on", "er"), 60)
+    rows = [(5000 + k, t) for k, t in enumerate(a)] + [(k, "szczyt dąb żółw " * 5) for k in few] + [(9001, "żółw dąb szczyt"), (9002, "слово")]
+    table = docs(spark, rows, dict.fromkeys(few, "pl") | {9001: None, 9002: None})
+    got = {r.doc_id: r for r in language_id.identify(table).collect()}
+    assert got[9001].lang_pred == "pl" and not got[9001].rejected and got[5000].lang_pred == "en"
+    same = docs(spark, [(k, "ab cd ef") for k in range(20)], {k: "xx" if k % 2 else "yy" for k in range(20)})
+    langs = {r.lang_pred for r in language_id.identify(same).collect()}
+    assert len(langs) == 1
+
+
 def test_kneser_ney_sums_to_one():
     import numpy as np
 
@@ -60,8 +74,8 @@ def test_kneser_ney_sums_to_one():
     for context in ("ann", "zzz", "nan"):
         c = 0
         for x in context:
-            c = c << 5 | ord(x) - 96
-        assert abs(m.probability(np.array([c << 5 | w for w in range(32)])).sum() - 1) < 1e-9
+            c = c << 6 | ord(x) - 96
+        assert abs(m.probability(np.array([c << 6 | w for w in range(64)])).sum() - 1) < 1e-9
 
 
 def test_toxicity(spark):
@@ -83,6 +97,23 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs(spark, []), labels).count() == 0
 
 
+def test_label_model_is_fitted_to_votes():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    truth = r.random(4000) < 0.2
+    rates = [(0.7, 0.02), (0.5, 0.01), (0.6, 0.05), (0.1, 0.8)]
+    votes = np.stack([r.random(4000) < np.where(truth, a, b) for a, b in rates], 1).astype(float)
+    start = np.full(4000, np.nan)
+    start[:300] = truth[:300]
+    start[:60] = 1 - start[:60]  # wrong labels say which class is which all the same
+    m = toxicity.LabelModel(votes, start, 100)
+    assert abs(m.prior - 0.2) < 0.05 and ((m.post > 0.5) == truth).mean() > 0.95
+    assert np.abs(m.on - [a for a, _ in rates]).max() < 0.1 and np.abs(m.off - [b for _, b in rates]).max() < 0.1
+    other = toxicity.LabelModel(votes, np.where(np.arange(4000) < 300, truth, np.nan).astype(float), 100)
+    assert np.abs(m.post - other.post).max() < 0.05  # the labels' own values are gone
+
+
 def test_toxicity_at_any_share_of_toxic_labels(spark):
     r = random.Random(5)
     clean = _speech(3, ("the", "ing", "on", "er"), 600)
