@@ -14,6 +14,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,12 +124,12 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Remembered(dict):
     """A cache of a Python worker, bounded by bytes: it forgets all at ``limit``, and when a task ends (see ``task``)."""
 
-    every: list[Remembered] = []
+    every: weakref.WeakSet[Remembered] = weakref.WeakSet()
 
     def __init__(self, limit: int = 24 << 20):
         super().__init__()
         self.limit, self.size = limit, 0
-        Remembered.every.append(self)
+        Remembered.every.add(self)
 
     def keep(self, key, value, size: int):
         """``size``: bytes of key and value; the dictionary's own are added."""
@@ -142,6 +143,8 @@ class Remembered(dict):
         self.clear()
         self.size = 0
 
+    __hash__ = object.__hash__
+
 
 def task(run):
     """A mapInArrow function that leaves its worker, which later stages use too, with empty caches and without spare memory."""
@@ -156,7 +159,7 @@ def task(run):
 
 
 def tidy() -> None:
-    for x in Remembered.every:
+    for x in [*Remembered.every]:
         x.forget()
     pa.default_memory_pool().release_unused()
     try:

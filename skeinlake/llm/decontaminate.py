@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed
+from .common import keyed, slices, task
 
 WINDOW = 10
 #: Words of the phrases that one pass searches for at most (bound of the broadcast: about 100 bytes a word).
@@ -246,29 +246,29 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
 
 
 def leak_spans(docs: DataFrame, items: list[tuple[object, str]], window: int = WINDOW) -> DataFrame:
-    """For one block of items, a row per row of ``docs``: its columns but text, merged word spans hit, and the items that occur."""
+    """For one block of items, a row per row of ``docs``: its columns, merged word spans hit, and the items that occur."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(items)
 
     def scan(it):
         phrases = None
-        for batch in it:
+        for batch in slices(it, 1000):
             phrases = phrases or Phrases(shared.value, window)
             rows = {"n_words": [], "starts": [], "ends": [], "items": []}
-            for n, a, b, owners in phrases.hits(batch.column("text").to_pylist()):
+            for n, a, b, owners in phrases.hits([t or "" for t in batch.column("text").to_pylist()]):
                 a, b = merged(a, b)
                 rows["n_words"].append(n)
                 rows["starts"].append(a)
                 rows["ends"].append(b)
                 rows["items"].append([str(phrases.ids[k]) for k in owners.tolist() if phrases.ids[k] is not None])
             kinds = {"n_words": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "items": pa.list_(pa.string())}
-            rest = [x for x in batch.schema.names if x != "text"]
+            rest = batch.schema.names
             yield pa.RecordBatch.from_arrays(
                 [batch.column(x) for x in rest] + [pa.array(v, kinds[k]) for k, v in rows.items()], names=rest + list(rows)
             )
 
-    own = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.drop("text").schema)
-    return docs.mapInArrow(scan, f"{own}, {SPANS}")
+    own = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema)
+    return docs.mapInArrow(task(scan), f"{own}, {SPANS}")
 
 
 def _all_spans(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
@@ -279,10 +279,10 @@ def _all_spans(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     several blocks stay apart as those of one do.
     """
     none = F.array().cast("array<bigint>")
-    out = keyed(docs).select("doc", F.col("text").alias("old"), none.alias("left"), none.alias("right"), none.cast("array<string>").alias("found"), F.lit(0).cast("bigint").alias("n"))
+    out = keyed(docs).select("doc", "text", none.alias("left"), none.alias("right"), none.cast("array<string>").alias("found"), F.lit(0).cast("bigint").alias("n"))
     for block in _blocks(benchmark):
-        spans = leak_spans(out.withColumn("text", F.col("old")), block, window)
-        out = spans.select("doc", "old", F.concat("left", "starts").alias("left"), F.concat("right", "ends").alias("right"), F.concat("found", "items").alias("found"), F.col("n_words").alias("n"))
+        spans = leak_spans(out, block, window)
+        out = spans.select("doc", "text", F.concat("left", "starts").alias("left"), F.concat("right", "ends").alias("right"), F.concat("found", "items").alias("found"), F.col("n_words").alias("n"))
     return out.select("doc", F.col("n").alias("n_words"), F.col("left").alias("starts"), F.col("right").alias("ends"), F.col("found").alias("items"))
 
 
@@ -306,7 +306,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 [b.column("doc"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(many, pa.int64()), pa.array(sha, pa.string()), pa.array(left, longs), pa.array(right, longs)], names=names
             )
 
-    out = spans.mapInArrow(digest, "doc bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, span_starts array<bigint>, span_ends array<bigint>")
+    out = spans.mapInArrow(task(digest), "doc bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, span_starts array<bigint>, span_ends array<bigint>")
     return out.select(
         F.expr(f"if(doc = {2**63 - 1}L, null, doc)").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "span_starts", "span_ends"
     )
@@ -334,21 +334,22 @@ def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """``docs`` with the benchmark's windows cut out of the texts; ``n_chars``, if there, follows. Null texts stay null."""
     names = docs.columns
     none = F.array().cast("array<bigint>")
-    out = docs.select(F.struct(*names).alias("row"), F.col("text").alias("old"), none.alias("left"), none.alias("right"))
+    rest = [x for x in names if x != "text"]
+    out = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text", none.alias("left"), none.alias("right"))
     own = f"row {out.schema['row'].dataType.simpleString()}"
     for block in _blocks(benchmark):  # all on the text as it was, so that blocks make no difference
-        spans = leak_spans(out.withColumn("text", F.coalesce("old", F.lit(""))), block, window)
-        out = spans.select("row", "old", F.concat("left", "starts").alias("left"), F.concat("right", "ends").alias("right"))
+        spans = leak_spans(out, block, window)
+        out = spans.select("row", "text", F.concat("left", "starts").alias("left"), F.concat("right", "ends").alias("right"))
 
     def cut(it):
-        for b in it:
+        for b in slices(it):
             texts = []
-            for t, s, e in zip(b.column("old").to_pylist(), b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
+            for t, s, e in zip(b.column("text").to_pylist(), b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True):
                 s, e = merged(np.array(s, np.int64), np.array(e, np.int64))
                 texts.append(cut_words(t, list(zip(s.tolist(), e.tolist(), strict=True))) if len(s) else t)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    out = out.mapInArrow(cut, f"{own}, text string")
+    out = out.mapInArrow(task(cut), f"{own}, text string")
     out = out.select(*(F.col("text") if x == "text" else F.col("row")[x].alias(x) for x in names))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

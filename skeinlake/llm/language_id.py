@@ -241,8 +241,9 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
     model, limits = train(docs)
     names = docs.columns
-    base = docs.select(F.struct(*names).alias("row"), "text")
-    return scored(base, model, limits, ["row"]).where("not rejected").select(*(F.col("row")[x].alias(x) for x in names))
+    base = docs.select(F.struct(*(x for x in names if x != "text"), F.lit(0).alias("_")).alias("row"), "text")
+    out = scored(base, model, limits, ["row", "text"]).where("not rejected")
+    return out.select(*(F.col("text") if x == "text" else F.col("row")[x].alias(x) for x in names))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

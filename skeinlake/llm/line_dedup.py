@@ -279,7 +279,8 @@ def copied_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _shortened(docs: DataFrame, names: list[str]) -> DataFrame:
     """``names`` of docs, n_lines, n_deleted and the kept text (null if the text is)."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct(*names).alias("row"), F.col("text"), doc_column().alias("doc"), F.xxhash64(text).alias("h"))
+    rest = [x for x in names if x != "text"]
+    rows = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), F.col("text"), doc_column().alias("doc"), F.xxhash64(text).alias("h"))
     cuts, copies = copied_lines(docs)
     out = rows.join(cuts.hint("shuffle_hash"), ["doc", "h"], "left")
     # few texts are held by several documents, but some of them by very many

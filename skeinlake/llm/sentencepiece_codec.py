@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, keyed
+from .common import NO_ID, Remembered, keyed, slices, task
 
 MODEL = "piece_bpe_32k.model"
 UNKNOWN = 10.0
@@ -46,15 +46,14 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-class Codec(dict):
-    """chunk -> bytes of its ids; forgets all chunks at ``limit``."""
+class Codec(Remembered):
+    """chunk -> bytes of its ids; forgets all chunks at ``limit`` bytes."""
 
-    def __init__(self, path: str, limit: int = 600_000):
-        super().__init__()
+    def __init__(self, path: str, limit: int = 48 << 20):
+        super().__init__(limit)
         import ahocorasick
         import sentencepiece
 
-        self.limit = limit
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.automaton = ahocorasick.Automaton()
         self.byte = [0] * 256
@@ -107,10 +106,8 @@ class Codec(dict):
         return out
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = ids = np.array(self.viterbi(chunk), "<u4").tobytes()
-        return ids
+        ids = np.array(self.viterbi(chunk), "<u4").tobytes()
+        return self.keep(chunk, ids, len(chunk) + len(ids) + 90)
 
     def encode(self, text: str) -> bytes:
         """ids as little-endian uint32."""
@@ -142,13 +139,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(it):
         c = codec(path)
-        for b in it:
-            for at in range(0, b.num_rows, 500):
-                s = b.slice(at, 500)
-                ids = [np.frombuffer(c.encode(t), "<i4") for t in s.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([s.column("doc"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
+        for b in slices(it):
+            ids = [np.frombuffer(c.encode(t), "<i4") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
-    out = keyed(docs).select("doc", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>")
+    out = keyed(docs).select("doc", "text").mapInArrow(task(run), "doc_id bigint, n_tokens bigint, ids array<int>")
     return out.withColumn("doc_id", F.expr(f"if(doc_id = {NO_ID}L, null, doc_id)"))
 
 
@@ -158,11 +153,11 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(it):
         c = codec(path)
-        for b in it:
+        for b in slices(it):
             texts = [c.decode(np.array(x.values, "<u4").tobytes() if x.is_valid else b"") for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(task(run), "doc_id bigint, text string")
 
 
 def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -171,7 +166,7 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(it):
         c = codec(path)
-        for b in it:
+        for b in slices(it):
             n, crc, sha, same = [], [], [], []
             for t in b.column("text").to_pylist():
                 ids = c.encode(t)
@@ -184,7 +179,7 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [b.column("doc"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"]
             )
 
-    out = keyed(docs).select("doc", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
+    out = keyed(docs).select("doc", "text").mapInArrow(task(run), "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
     return out.withColumn("doc_id", F.expr(f"if(doc_id = {NO_ID}L, null, doc_id)"))
 
 
