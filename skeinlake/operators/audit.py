@@ -99,11 +99,15 @@ def missing_primary(debriefs: DataFrame, assets: DataFrame) -> DataFrame:
     return _found(debriefs.join(assets.select(F.col("path").alias("primary_asset")), "primary_asset", "left_anti"), "missing-primary", "record_id", "primary_asset")
 
 
-def audit(nodes: DataFrame, assets: DataFrame, archives: DataFrame, frontier: DataFrame, intakes: DataFrame, inventory: DataFrame) -> DataFrame:
+def audit(nodes: DataFrame, assets: DataFrame, archives: DataFrame, frontier: DataFrame, intakes: DataFrame, inventory: DataFrame, charters: DataFrame | None = None, debriefs: DataFrame | None = None) -> DataFrame:
     """All rules; every violation a row. Every rule is a join or filter of its own, so they run side by side."""
     e = graph.edges(nodes)
     parts = [
         unresolved_intake(frontier, intakes), inventory_mismatch(frontier, intakes), hash_not_in_inventory(frontier, intakes, inventory), incomplete_contract(frontier), source_pointer(frontier),
         frontier_edges(frontier), broken_lineage(nodes, assets, archives), unknown_predicate(e), unknown_exposure(nodes), dangling_edge(e, nodes), exposure_boundary(e, nodes), identifiers(nodes), malformed(nodes),
     ]
+    if charters is not None:
+        parts.append(charter_shape(charters))
+    if debriefs is not None:
+        parts.append(missing_primary(debriefs, assets))
     return reduce(DataFrame.union, parts)

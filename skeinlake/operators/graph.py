@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
+from ..session import checkpointed
 
 
 def edges(nodes: DataFrame) -> DataFrame:
@@ -40,22 +41,38 @@ def retrieve(nodes: DataFrame, query: str) -> DataFrame:
     return top.select("id", "title", "match", "score", ties.alias("ties")).withColumn("decisive", (F.col("ties") == 1) & F.col("match").isin(*MATCHES[:3]))
 
 
+#: Ids that are broadcast to the edges at most; more are joined by a shuffle.
+FEW_IDS = 100_000
+
+
 def one_hop(edge_table: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, direction, predicate, neighbour, rationale of all edges at the given ids."""
-    out = edge_table.join(ids.select(F.col("id").alias("src")).distinct(), "src").select(F.col("src").alias("id"), F.lit("out").alias("direction"), "predicate", F.col("dst").alias("neighbour"), "rationale")
-    into = edge_table.join(ids.select(F.col("id").alias("dst")).distinct(), "dst").select(F.col("dst").alias("id"), F.lit("in").alias("direction"), "predicate", F.col("src").alias("neighbour"), "rationale")
+    """id, direction, predicate, neighbour, rationale of all edges at the given ids.
+
+    Semi joins of few ids sink below the unions and distincts that edges are made of, to the scans.
+    """
+    ids = ids.select("id").distinct()
+    few = F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+    out = edge_table.join(few.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("id"), F.lit("out").alias("direction"), "predicate", F.col("dst").alias("neighbour"), "rationale")
+    into = edge_table.join(few.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), F.lit("in").alias("direction"), "predicate", F.col("src").alias("neighbour"), "rationale")
     return out.unionByName(into)
 
 
-def ancestors(nodes: DataFrame, view: str = "skeinlake_parents", depth: int = 99) -> DataFrame:
-    """id, ancestor, level along ``parent``; cycles end where they would repeat a node."""
-    nodes.where("parent is not null").select("id", "parent").distinct().createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
-        WITH RECURSIVE up(id, ancestor, level, seen) MAX RECURSION LEVEL {depth + 1} AS (
-            SELECT id, parent, 1, array(id, parent) FROM {view}
-            UNION ALL SELECT u.id, p.parent, u.level + 1, array_append(u.seen, p.parent) FROM up u JOIN {view} p ON p.id = u.ancestor
-            WHERE NOT array_contains(u.seen, p.parent) AND u.level < {depth})
-        SELECT id, ancestor, level FROM up""")
+def ancestors(nodes: DataFrame, most: int = 100_000) -> DataFrame:
+    """id, ancestor, level along ``parent``, each ancestor at its least level; cycles end where they would repeat a node.
+
+    One join a level over what the level before found, checkpointed. A chain of more than ``most`` levels is an error.
+    """
+    parents = checkpointed(nodes.where("parent is not null").select("id", "parent").distinct())
+    front = parents.where("id <> parent").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("level"))
+    found = front
+    for level in range(2, most + 2):
+        up = parents.select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
+        new = front.join(up, "ancestor").where("id <> next").select("id", F.col("next").alias("ancestor")).distinct()
+        front = checkpointed(new.join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti").withColumn("level", F.lit(level)))
+        if front.isEmpty():
+            return found
+        found = found.union(front)
+    raise ValueError(f"a chain of parents is longer than {most} levels")
 
 
 def trace(nodes: DataFrame, assets: DataFrame, archives: DataFrame, node_id: str | None = None) -> DataFrame:

@@ -51,10 +51,21 @@ def publish(violations: DataFrame, pages: DataFrame, vaults: list[str], only_vau
     if not violations.isEmpty():
         raise ValueError("the audit found violations; nothing was published")
     names = [r.vault_name for r in pages.select("vault_name").distinct().collect()] if vaults else []  # a row for each domain
-    for vault in vaults:
-        for name in names:
-            pages.where(F.col("vault_name") == name).select("path", "text").write.mode("overwrite").json(f"{vault}/{name}")
-    return names
+    if vaults:
+        for r in pages.select("vault_name", "path", "text").toLocalIterator():  # one pass for all vaults, which are folders of this machine
+            for vault in vaults:
+                to = Path(vault, r.vault_name, r.path)
+                to.parent.mkdir(parents=True, exist_ok=True)
+                to.write_text(r.text, encoding="utf-8")
+    return sorted(names)
+
+
+def synced(violations: DataFrame, pages: DataFrame, instance: str, config: dict, only_vaults: bool = False, quick: bool = False) -> dict[str, list[str]]:
+    """Validate, compile the configured vaults, and mirror the instance. ``quick`` leaves out what the audit would find and the mirrors."""
+    if quick:
+        violations = violations.limit(0)
+    vaults = publish(violations, pages, config.get("vaults", []), only_vaults)
+    return {"vaults": vaults, "mirrors": [] if quick or only_vaults else [mirror(instance, x) for x in config.get("mirrors", [])]}
 
 
 def mirror(instance: str, target: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from ..model import analogs
-from ..operators import graph, ingest, sensors, sync
+from ..operators import audit, graph, ingest, sensors, sync
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,10 +34,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _big(c: str):
-    return F.col(c).cast("bigint").alias(c)
-
-
 @query("SELECT lang AS detected_type, count(*) AS captures, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang")
 def ingest_plan_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.plan_by_type(analogs.captures(spark, sf_dir))
@@ -294,3 +290,87 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS subject, 'many-blank-lines' AS rule FROM documents WHERE contains(text, chr(10) || chr(10) || chr(10) || chr(10)) UNION ALL SELECT doc_id, 'no-final-newline' FROM documents WHERE text <> '' AND right(text, 1) <> chr(10) UNION ALL SELECT doc_id, 'tab' FROM documents WHERE contains(text, chr(9)) UNION ALL SELECT doc_id, 'trailing-space' FROM documents WHERE regexp_matches(text, '(?m)[ \\t]+$')")
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.lint(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")).select("subject", "rule")
+
+
+# ---------------------------------------------------------------- retrieval by the operator itself
+
+_NOTES = """p AS (SELECT 'part:' || p_partkey AS id, p_name AS title, p_type AS description, p_brand AS body, 'parts/' || p_partkey || '.md' AS path, ['public', 'restricted', 'private', 'secret'][p_size % 4 + 1] AS exposure,
+CASE WHEN p_size % 7 = 0 THEN 'LIKES' ELSE 'IMPLEMENTS' END AS predicate, 'part:' || min(p_partkey) OVER (PARTITION BY p_type) AS target, p_size FROM part)"""
+
+
+def _retrieved(phrase: str, where: str, match: str) -> None:
+    """A query for one kind of match; all notes take part. ``where`` is its condition in SQL."""
+    sql = f"WITH {_NOTES} SELECT id, '{match}' AS match, count(*) OVER () AS ties, count(*) OVER () = 1 AND '{match}' IN ('id', 'path', 'title') AS decisive FROM p WHERE {where}"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return graph.retrieve(analogs.notes(spark, sf_dir), phrase).select("id", "match", "ties", "decisive")
+
+    run.__name__ = f"retrieve_by_{match}"
+    query(sql)(run)
+
+
+_retrieved("part:7", "id = 'part:7'", "id")
+_retrieved("parts/7.md", "path = 'parts/7.md'", "path")
+_retrieved("Brand#1", "contains(lower(concat_ws(chr(10), title, description, body)), 'brand#1') AND NOT starts_with(lower(title), 'brand#1')", "contains")
+
+
+@query(f"WITH {_NOTES} SELECT id, 'out' AS relation, target AS other FROM p WHERE id = 'part:7' UNION ALL SELECT target, 'in', id FROM p WHERE target = 'part:7'")
+def deep_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = analogs.notes(spark, sf_dir)
+    hit = graph.retrieve(n, "part:7").select("id")
+    return graph.one_hop(graph.edges(n), hit).select("id", F.col("direction").alias("relation"), F.col("neighbour").alias("other"))
+
+
+_EVIDENCE = """n AS (SELECT 'order:' || o_orderkey AS id, l.l_linenumber, CAST(o_orderkey AS VARCHAR) || '-' || l.l_linenumber AS asset, l.part, p_size
+FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2) l ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l.part),
+t AS (SELECT id, asset, CASE WHEN l_linenumber IS NULL THEN 'no source' WHEN p_size % 2 = 1 THEN 'whole' ELSE 'no archive' END AS state FROM n)"""
+
+
+@query(f"WITH {_EVIDENCE} SELECT id, asset, state FROM t")
+def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.trace(*analogs.evidence(spark, sf_dir)).select("id", "asset", "state")
+
+
+@query(f"WITH {_EVIDENCE} SELECT id AS subject, state || ': ' || asset AS detail FROM t WHERE state = 'no archive'")
+def audit_broken_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.broken_lineage(*analogs.evidence(spark, sf_dir)).select("subject", "detail")
+
+
+# ---------------------------------------------------------------- the audit's rules, each by its own function
+
+
+def _rule(name: str, sql: str, found: Callable[[SparkSession, str], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return found(spark, sf_dir).select("rule", "subject", "detail")
+
+    run.__name__ = f"audit_{name}"
+    query(sql)(run)
+
+
+_ON_NOTES = lambda f: lambda spark, at: f(analogs.notes(spark, at))
+_ON_EDGES = lambda f: lambda spark, at: f(graph.edges(n := analogs.notes(spark, at)), n)
+_LEVEL = "CASE exposure WHEN 'public' THEN 0 WHEN 'restricted' THEN 1 WHEN 'private' THEN 2 END"
+_rule("predicate", f"WITH {_NOTES} SELECT 'unknown-predicate' AS rule, id AS subject, predicate AS detail FROM p WHERE predicate = 'LIKES'", _ON_EDGES(lambda e, n: audit.unknown_predicate(e)))
+_rule("exposure", f"WITH {_NOTES} SELECT 'unknown-exposure' AS rule, id AS subject, exposure AS detail FROM p WHERE exposure = 'secret'", _ON_NOTES(audit.unknown_exposure))
+_rule("dangling", f"WITH {_NOTES} SELECT 'dangling-edge' AS rule, p.id AS subject, p.target AS detail FROM p ANTI JOIN p q ON q.id = p.target AND q.exposure <> 'secret'", _ON_EDGES(lambda e, n: audit.dangling_edge(e, n.where("exposure <> 'secret'"))))
+_rule("boundary", f"WITH {_NOTES}, v AS (SELECT id, predicate, target, {_LEVEL} AS level FROM p) SELECT 'exposure-boundary' AS rule, a.id AS subject, a.predicate || ' ' || a.target AS detail FROM v a JOIN v b ON b.id = a.target WHERE a.level < b.level", _ON_EDGES(audit.exposure_boundary))
+_rule("malformed", f"WITH {_NOTES} SELECT 'malformed-note' AS rule, path AS subject, '' AS detail FROM p WHERE p_size = 50", _ON_NOTES(audit.malformed))
+_rule("identifiers", "SELECT 'id-repeated' AS rule, 'doc:' || quality AS subject, CAST(count(*) AS VARCHAR) AS detail FROM labels GROUP BY quality HAVING count(*) > 1", lambda spark, at: audit.identifiers(table(spark, at, "labels").select(F.concat(F.lit("doc:"), F.col("quality").cast("string")).alias("id"), F.lit("").alias("path"))))
+
+_FRONTIER = """f AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS a, doc_id AS k, quality, toxic, CASE WHEN doc_id % 3 <> 0 THEN sha256(CAST(doc_id AS VARCHAR)) END AS sha, CASE WHEN doc_id % 3 <> 1 THEN 'inv-' || (doc_id % 5) END AS inv FROM labels),
+i AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS intake, 'inv-' || (doc_id % 4) AS path FROM documents WHERE lang <> 'fr'),
+v AS (SELECT 'inv-' || (doc_id % 4) AS path, sha256(CAST(doc_id AS VARCHAR)) AS sha FROM documents WHERE lang = 'en')"""
+_OF = lambda f, n: lambda spark, at: f(*analogs.frontier(spark, at)[:n])
+_rule("intake", f"WITH {_FRONTIER} SELECT 'unresolved-intake' AS rule, a AS subject, a AS detail FROM f ANTI JOIN i ON intake = a", _OF(audit.unresolved_intake, 2))
+_rule("inventory", f"WITH {_FRONTIER} SELECT 'inventory-mismatch' AS rule, a AS subject, inv AS detail FROM f JOIN i ON intake = a WHERE inv IS NOT NULL AND inv <> path", _OF(audit.inventory_mismatch, 2))
+_rule("source_hash", f"WITH {_FRONTIER} SELECT 'hash-not-in-inventory' AS rule, a AS subject, f.sha AS detail FROM f JOIN i ON intake = a ANTI JOIN v ON v.path = i.path AND v.sha = f.sha WHERE f.sha IS NOT NULL", _OF(audit.hash_not_in_inventory, 3))
+_rule("contract", f"WITH {_FRONTIER} SELECT 'incomplete-contract' AS rule, a AS subject, 'provenance' AS detail FROM f WHERE toxic = 1 UNION ALL SELECT 'incomplete-contract', a, 'frontier_request' FROM f WHERE quality IS DISTINCT FROM 1", _OF(audit.incomplete_contract, 1))
+_rule("pointer", f"WITH {_FRONTIER} SELECT CASE WHEN sha IS NULL THEN 'no-source-pointer' ELSE 'two-source-pointers' END AS rule, a AS subject, '' AS detail FROM f WHERE (sha IS NULL) = (inv IS NULL)", _OF(audit.source_pointer, 1))
+_rule("frontier_edges", f"WITH {_FRONTIER} SELECT 'edges-on-frontier' AS rule, a AS subject, '1' AS detail FROM f WHERE toxic = 1", _OF(audit.frontier_edges, 1))
+
+
+@query("SELECT 'pending captures' AS measure, count(*) AS value FROM documents UNION ALL SELECT 'pending batches', count(DISTINCT source) FROM documents UNION ALL SELECT 'pending debriefs', count(*) FROM conversations WHERE role = 'user' UNION ALL SELECT 'notes', count(*) FROM part UNION ALL SELECT 'edges', count(*) FROM part")
+def status_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "user", "pending").otherwise("archived").alias("state"))
+    n = analogs.notes(spark, sf_dir)
+    return sync.status(analogs.captures(spark, sf_dir), records, n, graph.edges(n))

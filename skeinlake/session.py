@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,18 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     )
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the folder that the cluster shares, ``spark.checkpoint.dir``; local sessions get one of their own where it is unset."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="skeinlake-")
+        atexit.register(shutil.rmtree, at, True)
+        spark.sparkContext.setCheckpointDir("file://" + at)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. Read through Spark only, so any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

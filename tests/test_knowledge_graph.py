@@ -171,7 +171,7 @@ def test_publish_and_upgrade(spark, tmp_path):
     with pytest.raises(ValueError):
         sync.publish(spark.createDataFrame([("r", "s", "")], s.VIOLATION), pages, [str(tmp_path)])
     assert sync.publish(none, pages, [str(tmp_path)]) == ["Personal"]
-    assert spark.read.json(f"{tmp_path}/Personal").first().text == "obsidian://open?vault=Personal"
+    assert (tmp_path / "Personal/a.md").read_text() == "obsidian://open?vault=Personal"
     tools = spark.createDataFrame([("speech", "no-such-tool", "get it")], "job string, tool string, hint string")
     assert sync.doctor(tools, files.read_tools(spark, ["no-such-tool"])).first().state == "missing"
     texts = spark.createDataFrame([("a", "x \ty\r\n\n\n\n\n z  ")], "path string, text string")
