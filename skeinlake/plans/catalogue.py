@@ -81,22 +81,6 @@ def batch_all_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analogs.captures(spark, sf_dir).join(analogs.reviews(spark, sf_dir), "capture", "left").groupBy("batch").agg(F.bool_and("approved").alias("approved"))
 
 
-@query("""
-WITH q AS (SELECT item_id, lower(substr(text, 1, 12)) AS phrase FROM benchmark WHERE item_id < 20),
-m AS (SELECT item_id, doc_id, CASE WHEN starts_with(lower(text), phrase) THEN 0 WHEN contains(lower(text), phrase) THEN 1 END AS place FROM q, documents),
-r AS (SELECT *, rank() OVER (PARTITION BY item_id ORDER BY place) AS k, count(*) OVER (PARTITION BY item_id, place) AS ties FROM m WHERE place IS NOT NULL)
-SELECT item_id, doc_id, CAST(place AS INT) AS place, ties, ties = 1 AS lone FROM r WHERE k = 1
-""")
-def retrieve_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").where("item_id < 20").select("item_id", F.lower(F.substring("text", 1, 12)).alias("phrase"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    place = F.when(F.startswith("t", "phrase"), 0).when(F.contains("t", "phrase"), 1)
-    m = d.join(F.broadcast(b), F.contains("t", "phrase")).select("item_id", "doc_id", place.alias("place"))  # twenty phrases
-    by = Window.partitionBy("item_id")
-    r = m.withColumn("k", F.rank().over(by.orderBy("place"))).withColumn("ties", F.count("*").over(Window.partitionBy("item_id", "place")))
-    return r.where("k = 1").select("item_id", "doc_id", "place", "ties", (F.col("ties") == 1).alias("lone"))
-
-
 @query("""
 WITH q AS (SELECT item_id, lower(text) AS phrase FROM benchmark),
 m AS (SELECT item_id, doc_id, CASE WHEN starts_with(lower(text), phrase) THEN 0 WHEN contains(lower(text), phrase) THEN 1 END AS place FROM q, documents),
@@ -113,12 +97,6 @@ def retrieve_ties_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("k = 1").select("item_id", "doc_id", "place", "ties", (F.col("ties") == 1).alias("lone"))
 
 
-@query("SELECT item_id, doc_id FROM documents d JOIN (SELECT item_id, substr(text, 1, 40) AS phrase FROM benchmark WHERE item_id < 100) ON contains(d.text, phrase)")
-def topic_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").where("item_id < 100").select("item_id", F.substring("text", 1, 40).alias("phrase"))
-    return table(spark, sf_dir, "documents").join(F.broadcast(b), F.contains("text", "phrase")).select("item_id", "doc_id")  # a hundred phrases
-
-
 @query("SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def topic_containment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
@@ -163,15 +141,6 @@ def dangling_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("""
-SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN b.doc_id IS NULL THEN 'keep' WHEN a.doc_id IS NULL THEN 'add' ELSE 'replace' END AS action
-FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 5 <> 0) b ON a.doc_id = b.doc_id
-""")
-def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
-    return sync.overlay(d.where("path % 2 = 0"), d.where("path % 3 = 0"), d.where("path % 5 = 0"))
-
-
 @query("""
 SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN b.doc_id IS NULL THEN 'keep' WHEN a.doc_id IS NULL THEN 'add' ELSE 'replace' END AS action
 FROM documents a FULL JOIN (SELECT DISTINCT doc_id FROM labels ANTI JOIN pages ON page_id = doc_id) b ON a.doc_id = b.doc_id
@@ -223,16 +192,6 @@ def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.one_hop(e, spark.createDataFrame([("part:0",), ("order:5",)], "id string")).drop("rationale")
 
 
-@query("""
-SELECT o_orderkey, l_linenumber, p_name, s_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey
-WHERE o_custkey = 899
-""")
-def evidence_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, l, p, s = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "part", "supplier"))  # noqa: E741
-    own = o.where("o_custkey = 899").join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return own.join(p, F.col("p_partkey") == F.col("l_partkey"), "left").join(s, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("o_orderkey", "l_linenumber", "p_name", "s_name")
-
-
 @query("""
 SELECT o_orderkey, l_linenumber, p_name, s_name FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey
 """)
