@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_column
+from .common import doc_column, staged
 
 #: Owners from which on a secret is a widely copied example.
 COPIED = 3
@@ -95,7 +95,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "source") -> DataFrame:
     """A row per row of ``docs``: counts of the base kinds, digest of base spans, all spans, and counts by ownership."""
-    found = candidates(docs, owner, repository)
+    found = staged(candidates(docs, owner, repository), "secrets")  # few rows; two joins read them, and the patterns run once
     judged = found.join(ownership(found), "secret_hash")
     owned, copied = F.col("n_owners") == 1, F.col("n_owners") >= COPIED
     token = list(KINDS).index("token")
