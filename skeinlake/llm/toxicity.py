@@ -111,6 +111,25 @@ def voters(text: str, words: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return hits, [k for k, x in enumerate(said) if x]
 
 
+def _parts(x: np.ndarray, n: int = 2048):
+    """Row ranges and their rows in double precision, so that the whole matrix never is."""
+    for at in range(0, len(x), n):
+        yield slice(at, at + n), x[at : at + n].astype(float)
+
+
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(rows @ w for _, rows in _parts(x))])
+
+
+def _gram(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The sum of p times the outer square of each row."""
+    return sum(((rows * p[at, None]).T @ rows for at, rows in _parts(x)), np.zeros((x.shape[1],) * 2))
+
+
+def _sums(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sum((p[at] @ rows for at, rows in _parts(x)), np.zeros(x.shape[1]))
+
+
 class LabelModel:
     """Class-conditional rates of each voter, fitted to the votes by EM; weights for correlated voters.
 
@@ -126,14 +145,14 @@ class LabelModel:
 
     def _fit(self, votes: np.ndarray, post: np.ndarray) -> None:
         self.prior = float(np.clip(post.mean(), 1e-4, 1 - 1e-4))
-        self.on = (post @ votes + 0.5) / (post.sum() + 1)
-        self.off = ((1 - post) @ votes + 0.5) / ((1 - post).sum() + 1)
+        self.on = (_sums(post, votes) + 0.5) / (post.sum() + 1)
+        self.off = (_sums(1 - post, votes) + 0.5) / ((1 - post).sum() + 1)
         self.weight = self._weights(votes, post)
 
     def _weights(self, votes: np.ndarray, post: np.ndarray) -> np.ndarray:
         total = np.zeros((votes.shape[1],) * 2)
         for p, rate in ((post, self.on), (1 - post, self.off)):
-            joint = (votes * p[:, None]).T @ votes / max(p.sum(), 1e-9)
+            joint = _gram(votes, p) / max(p.sum(), 1e-9)
             sd = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
             total += p.mean() * np.clip((joint - np.outer(rate, rate)) / np.outer(sd, sd), 0, 1)
         np.fill_diagonal(total, 1)
@@ -141,19 +160,19 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         on, off = np.log(self.on / self.off), np.log((1 - self.on) / (1 - self.off))
-        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * on) + (1 - votes) @ (self.weight * off)
+        z = np.log(self.prior / (1 - self.prior)) + _times(votes, self.weight * (on - off)) + (self.weight * off).sum()
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> np.ndarray:
     """Logistic regression on soft labels by Newton's method; the last weight is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(_times(x, w), -30, 30)))
+        step = np.linalg.solve(_gram(x, p * (1 - p) + 1e-6) + np.diag(penalty), _sums(y - p, x) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
