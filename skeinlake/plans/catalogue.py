@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from ..model import analogs
-from ..operators import audit, graph, ingest, sensors, sync
+from ..operators import audit, graph, ingest, phrases, sensors, sync
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,8 +90,7 @@ SELECT item_id, doc_id, CAST(place AS INT) AS place, ties, ties = 1 AS lone FROM
 def retrieve_ties_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("phrase"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    place = F.when(F.startswith("t", "phrase"), 0).when(F.contains("t", "phrase"), 1)
-    m = d.join(b, F.contains("t", "phrase")).select("item_id", "doc_id", place.alias("place"))
+    m = phrases.containing(d, b).select("item_id", "doc_id", F.when(F.col("first"), 0).otherwise(1).alias("place"))
     by = Window.partitionBy("item_id")
     r = m.withColumn("k", F.rank().over(by.orderBy("place"))).withColumn("ties", F.count("*").over(Window.partitionBy("item_id", "place")))
     return r.where("k = 1").select("item_id", "doc_id", "place", "ties", (F.col("ties") == 1).alias("lone"))
@@ -100,7 +99,7 @@ def retrieve_ties_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT item_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def topic_containment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    return table(spark, sf_dir, "documents").join(b, F.contains("text", "phrase")).select("item_id", "doc_id")
+    return phrases.containing(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")), b).select("item_id", "doc_id")
 
 
 _PARENTS = """p AS (SELECT 'customer:' || c_custkey AS id, 'nation:' || c_nationkey AS parent FROM customer

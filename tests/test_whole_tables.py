@@ -1,5 +1,9 @@
 """The catalogue's queries over whole tables, by brute force on fixtures."""
 
+import random
+from collections import Counter
+
+from skeinlake.operators import phrases
 from skeinlake.plans import catalogue
 
 
@@ -33,3 +37,18 @@ def test_overlay_and_evidence_of_whole_tables(spark, tmp_path):
     q = catalogue.queries()
     assert {tuple(r) for r in q["overlay_merge_whole"](spark, at).collect()} == {(1, "replace"), (2, "keep"), (5, "keep"), (7, "add")}
     assert {tuple(r) for r in q["evidence_trace_whole"](spark, at).collect()} == {(1, 1, "p", "s"), (2, None, None, None)}
+
+
+def test_phrases_by_anchors_equal_plain_search(spark, monkeypatch):
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("ab  .") for _ in range(rng.randint(0, n)))
+    texts = [(k, make(30)) for k in range(60)] + [(0, "a b a b"), (0, "a b a b"), (None, "a  b"), (7, None)]
+    items = [(k, make(7)) for k in range(40)] + [(1, ""), (2, None), (3, "a b a"), (3, "a b a"), (4, " a "), (5, "zz zz zz")]
+    want = Counter((k, i, t.startswith(p)) for k, t in texts for i, p in items if t is not None and p is not None and p in t)
+    for block, few in ((8_000_000, 100_000), (20, 1)):
+        monkeypatch.setattr(phrases, "BLOCK_CHARS", block)
+        monkeypatch.setattr(phrases, "FEW_WORDS", few)
+        got = phrases.containing(spark.createDataFrame(texts, "doc bigint, t string"), spark.createDataFrame(items, "item bigint, phrase string"))
+        assert Counter(tuple(r) for r in got.select("doc", "item", "first").collect()) == want
+    none = phrases.containing(spark.createDataFrame(texts, "doc bigint, t string"), spark.createDataFrame([], "item bigint, phrase string"))
+    assert none.count() == 0
