@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import discard, staged
 from .decontaminate import words_of
 
 #: Labelled rows that the models are fitted on at most.
@@ -55,9 +56,10 @@ def _crc(column: str):
 
 
 def sample(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, bound: int = SAMPLE) -> DataFrame:
-    """(id, text, toxic): at most ``bound`` labelled rows and ``bound`` others, toxic null, outside the held-out remainder; those of least hash.
+    """(id, toxic, h, x, text): the rows of the first ``bound`` labelled ids by hash, and of as many others, toxic null, outside the held-out remainder.
 
-    Ids are chosen before texts are read, so a text is only read for them; of rows that share an id, the first texts by hash.
+    Ids are chosen before texts are read, so a text is only read for them. h and x are the hashes of id and text; rows that
+    repeat an id are all here, ``first_rows`` bounds them.
     """
     own = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and id is not null").where(_crc("id") % modulus != held_out)
     hash_ = F.xxhash64("id", F.lit(7))
@@ -65,10 +67,15 @@ def sample(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int =
     ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").where(_crc("id") % modulus != held_out)
     others = ids.join(own.select("id").distinct(), "id", "left_anti").withColumn("k", hash_).orderBy("k", "id").limit(bound).withColumn("toxic", F.lit(None).cast("int"))
     chosen = few.unionByName(others.distinct())
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "toxic")
-    # rows that repeat an id count within the bounds too
-    numbered = rows.withColumn("h", F.xxhash64("id", F.lit(7))).orderBy(F.col("toxic").isNull(), "h", F.xxhash64("text"))
-    return numbered.where("toxic is not null").limit(bound).unionByName(numbered.where("toxic is null").limit(bound)).select("id", "text", "toxic")
+    text = F.coalesce("text", F.lit(""))
+    own_text = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    return own_text.select("id", "toxic", F.xxhash64("id", F.lit(7)).alias("h"), F.xxhash64("text").alias("x"), "text")
+
+
+def first_rows(rows: DataFrame, bound: int = SAMPLE) -> DataFrame:
+    """At most ``bound`` labelled rows and ``bound`` others, those of least hashes."""
+    few = lambda which: rows.where(which).orderBy("h", "x", "toxic").limit(bound)
+    return few("toxic is not null").unionByName(few("toxic is null"))
 
 
 def lexicon(rows: DataFrame) -> dict[bytes, int]:
@@ -88,8 +95,10 @@ def lexicon(rows: DataFrame) -> dict[bytes, int]:
 
     once = rows.where("toxic is not null").select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).dropDuplicates()  # copies prove nothing more
     by_word = once.mapInArrow(count, "word binary, n bigint, a bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(f"a >= {LEAST_DOCS}")
+    by_word = staged(by_word, "lexicon")
     whole = by_word.where("word = binary('')").first()
     if whole is None or whole.a == whole.n:
+        discard(by_word)
         return {}
     b, rest, a = F.col("n") - F.col("a"), whole.n - whole.a, F.col("a")
     odds = F.log((a + 0.5) / (whole.a - a + 0.5)) - F.log((b + 0.5) / (rest - b + 0.5))
@@ -97,7 +106,9 @@ def lexicon(rows: DataFrame) -> dict[bytes, int]:
     # a word of the lexicon is said far more often by toxic documents, else it is common speech of long ones
     often = (a + 0.5) / (whole.a + 1) >= RATIO * (b + 0.5) / (rest + 1)
     top = by_word.where("word <> binary('')").withColumn("z", z).where(F.col("z") >= LEAST_Z).where(often)
-    return {bytes(r.word): k for k, r in enumerate(top.orderBy(F.desc("z"), "word").limit(LEXICON).collect())}
+    words = {bytes(r.word): k for k, r in enumerate(top.orderBy(F.desc("z"), "word").limit(LEXICON).collect())}
+    discard(by_word)
+    return words
 
 
 def voters(text: str, words: dict[bytes, int]) -> tuple[list[int], list[int]]:
@@ -197,10 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2)
         for b in it:
             both = [voters(t, words) for t in b.column("text").to_pylist()]
             ids = [sorted(set(h)) + [len(words) + k for k in s] for h, s in both]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "toxic", "votes"])
-
-    got = rows.mapInArrow(vote, "id bigint, toxic int, votes array<int>").orderBy("id", "toxic", "votes").collect()  # SAMPLE rows, twice, at most
-    y = np.array([np.nan if r.toxic is None else r.toxic > 0 for r in got], float)
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("x"), b.column("toxic"), pa.array(ids, pa.list_(pa.int32()))], names=["h", "x", "toxic", "votes"])
+
+    # the votes are chosen from, not the texts, so that no task sees more of these than its share
+    voted = staged(rows.mapInArrow(vote, "h bigint, x bigint, toxic int, votes array<int>"), "votes")
+    got = first_rows(voted).select("toxic", "votes").toArrow()  # SAMPLE rows, twice, at most
+    discard(voted)
+    y = (got.column("toxic").to_numpy().astype(float) > 0).astype(float)
+    y[got.column("toxic").is_null().to_numpy()] = np.nan
     size = len(words) + len(PATTERNS)
     known = y[~np.isnan(y)]
     if not len(known) or known.min() == known.max():
@@ -208,8 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2)
         w[-1] = 30.0 if len(known) and known[0] else -30.0
         return Classifier(words, w)
     votes = np.zeros((len(y), size), np.float32)
-    for k, r in enumerate(got):
-        votes[k, r.votes] = 1
+    said = got.column("votes").combine_chunks()
+    votes[np.repeat(np.arange(len(y)), said.value_lengths().to_numpy()), said.flatten().to_numpy()] = 1
     voting = np.r_[: len(words), len(words) + EVIDENCE : size]
     w = regression(votes, LabelModel(votes[:, voting], y).post)
     own = ~np.isnan(y)
