@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by collision counting on query-centred windows.
 
-Vectors are dealt out to blocks of about ``BLOCK`` rows by a hash of their id;
+Equal rows become one, and rows are dealt out to blocks of about ``BLOCK`` by a
+hash of id and vector, so neither a hot vector nor a hot id fills a block;
 queries go to every block, in lots of ``LOT`` (a stated query set against all
 rows). In a block each of ``PROJECTIONS`` random projections keeps its own
 sorted array. A query opens a window around its own projection in every array;
@@ -11,8 +12,7 @@ vec_id, is within the radius: with a window of ``WIDTH`` radii, a vector within
 in 83 % of the projections, so one is missed about once in a thousand.
 
 Blocks give k neighbours each, merged per query. Every row is indexed, nothing
-is fitted on a sample; memory is bounded by a block and a lot. Copies of a
-vector are spread over all blocks.
+is fitted on a sample; memory is bounded by a block and a lot.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do rows without vec_id; vectors of other lengths
@@ -83,7 +83,7 @@ def _search(k: int):
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         rows = {"query_id": [], "vec_id": [], "score": []}
         if vectors.num_rows and queries.num_rows:
-            matrix = lambda t: np.array(t.column("v").to_pylist(), np.float64)
+            matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             block = Block(vectors.column("id").to_numpy(), matrix(vectors))
             for own, q in zip(queries.column("id").to_pylist(), matrix(queries), strict=True):
                 found, dist = block.nearest(own, q, k)
@@ -105,7 +105,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     x, q = sound(vectors), sound(queries)
     blocks, lots = max(1, -(-x.count() // BLOCK)), max(1, -(-q.count() // LOT))
-    deal = lambda df, own, n, every, m: df.select("dim", "id", "v", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(every))
+    deal = lambda df, own, n, every, m: df.select("dim", "id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(every))
+    x, q = x.dropDuplicates(["id", "v"]), q.dropDuplicates(["id", "v"])  # copies of a row would all lie in one block
     a, b = deal(x, "block", blocks, "lot", lots), deal(q, "lot", lots, "block", blocks)
     key = ["dim", "block", "lot"]
     found = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInArrow(_search(k), "query_id bigint, vec_id bigint, score double")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from skeinlake.llm import ann
 
@@ -42,7 +43,9 @@ def test_recall_and_order(spark, monkeypatch):
     assert ann.neighbours(table.limit(0), table.limit(0)).count() == 0
 
 
-def test_repeated_rows_push_no_neighbour_out(spark):
+@pytest.mark.parametrize("block", [50_000, 100])
+def test_repeated_rows_push_no_neighbour_out(spark, monkeypatch, block):
+    monkeypatch.setattr(ann, "BLOCK", block)
     r = np.random.default_rng(2)
     rows = [(k, r.standard_normal(16).tolist()) for k in range(200)]
     near = (np.array(rows[0][1]) + 0.001).tolist()
