@@ -127,6 +127,20 @@ def test_toxicity_at_any_share_of_toxic_labels(spark):
         assert all(got[k].predicted == toxic[k] for k in held)
 
 
+def test_toxicity_sample_is_bounded_where_ids_repeat(spark):
+    rows = [(k % 7, f"text {k}") for k in range(300)] + [(20 + k, None) for k in range(40)]
+    table = docs(spark, rows)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7)] + [(0, 1), (0, 1)], "doc_id bigint, toxic int")
+    got = toxicity.sample(table, labels, bound=4)
+    few = [(r.h, r.x, r.toxic) for r in toxicity.first_rows(got, 4).collect()]
+    every = [(r.h, r.x, r.toxic) for r in got.collect()]
+    for known in (True, False):
+        own = sorted((x for x in every if (x[2] is not None) == known), key=lambda x: (x[0], x[1], x[2] or 0))
+        assert [x for x in few if (x[2] is not None) == known] == own[:4] and len(own) >= 4
+    assert {r.id for r in got.collect() if zlib.crc32(str(r.id).encode()) % 4 == 2} == set()
+    assert toxicity.toxicity(table, labels).count() == 340
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as p
 
