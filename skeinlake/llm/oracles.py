@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fill_in_middle, periodic_runs
+from . import fill_in_middle, periodic_runs, suffix_dedup
 from .secret_scan import COPIED, KINDS
 
 
@@ -58,5 +58,5 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(far) FROM r WHERE r
 ORACLES: dict[str, str] = {
     "op8_jaccard_join": _LINKS,
     "op1_secret_scan": _secrets(), "op3_substring_dedup": _REPEATS,
-    "op11_fill_in_middle": fill_in_middle.ORACLE, "op12_periodic_runs": periodic_runs.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE, "op12_periodic_runs": periodic_runs.ORACLE, "op13_suffix_dedup": suffix_dedup.ORACLE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, fill_in_middle, jaccard_join, language_id, line_dedup, periodic_runs, secret_scan, sentencepiece_codec, substring_dedup, token_output, toxicity
+from . import ann, decontaminate, fill_in_middle, jaccard_join, language_id, line_dedup, periodic_runs, secret_scan, sentencepiece_codec, substring_dedup, suffix_dedup, token_output, toxicity
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 
