@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, discard, mix, slices, staged, task
+from .common import ODD, discard, mix, slices, staged, task, tidy
 
 WINDOW, GRAM = 50, 20
 #: Grams of a window, and the widest item with its kind and its two places.
@@ -56,7 +56,7 @@ WIDTH = 1 + WINDOW + GRAMS - 1 + 2
 #: Bytes of texts in a lot (a document is never split), and for a part of the key space.
 LOT_BYTES, PART_BYTES = 2_000_000, 32_000_000
 #: Windows whose hashes are in memory at once, items of a run, and rows that are made at once.
-CHUNK, RUN_ITEMS, ROWS = 1 << 21, 400_000, 1 << 14
+CHUNK, RUN_ITEMS, ROWS = 1 << 18, 150_000, 1 << 13
 #: Different items of one anchor that may meet in one group.
 HOT = 2_000
 SAMPLE = 32
@@ -209,6 +209,8 @@ def _shared(table: pa.Table) -> pa.Table:
     code = np.empty(len(key), np.uint8)
     code[order] = np.repeat(np.where(shared, np.where(different > HOT, MANY, SHARED), 0), many)
     cut = np.split(code, np.cumsum([len(x) for x in flags])[:-1])
+    del key, flag, order, shared, different, many, head
+    tidy()
     keep = [k for k, x in enumerate(cut) if x.any()]
     return pa.Table.from_arrays([pa.array([rows[k]["lot"] for k in keep], pa.int64()), pa.array([rows[k]["part"] for k in keep], pa.int32()), pa.array([_small(cut[k].tobytes()) for k in keep], pa.binary())], names=["lot", "part", "codes"])
 
@@ -507,6 +509,8 @@ def _merge(table: pa.Table) -> pa.Table:
                 block = [(text, [member])]
         _settle(block, found)
         out += [found.places(p) for p in pieces]
+    del rows, pieces, found
+    tidy()
     if not out:
         out = [(np.zeros(0, np.int64),) * 3]
     lot, start, count = (np.concatenate(x) for x in zip(*out, strict=True))
