@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
-from ..model import analogs
-from ..operators import audit, graph, ingest, phrases, sensors, sync
-from ..session import table
+from ..model import analogs, schemas
+from ..operators import audit, graph, ingest, instance, phrases, sensors, sync
+from ..session import checkpointed, shared_folder, table
+from ..sources import file_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -61,6 +63,23 @@ def restored_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.restored(c, ~F.coalesce("failed", F.lit(False))).select("capture")
 
 
+@query("SELECT doc_id AS capture, source AS batch, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, sha256(coalesce(text, '')) AS sha256, sha256(coalesce(text, '')) AS record_sha256, 1 AS version FROM documents")
+def ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as captures of an instance folder, ingested batch by batch and read back from archive and records. doc_id is unique."""
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", F.lit("corpus/inbox"), "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), F.lit("").alias("seq"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    root = f"{shared_folder(spark)}/instance-{uuid.uuid4().hex}"
+    try:
+        file_sink.write_files(d, root)
+        instance.run_ingest(spark, root, spark.createDataFrame([("txt", None, "reader", 1)], schemas.ROUTES), "linux")
+        manifest = instance.archive_manifest(spark, root)
+        records = spark.read.text(f"{root}/corpus/assets", wholetext=True, pathGlobFilter="record-*.md")
+        said = records.select(F.regexp_extract("value", '(?m)^archive_path: "([^"]*)"', 1).alias("path"), core.content_hash(F.substr(core.body(F.col("value")), F.lit(2))).alias("record_sha256"))
+        place = lambda k: F.regexp_extract("path", r"^corpus/inbox/archive/([^/]+)/(.*)\.txt$", k)
+        return checkpointed(manifest.join(said, "path").select(place(2).cast("bigint").alias("capture"), place(1).alias("batch"), "bytes", "sha256", "record_sha256", "version"))
+    finally:
+        file_sink.remove(root)
+
+
 @query("SELECT source AS batch, count(*) AS pending FROM documents d ANTI JOIN labels l USING (doc_id) GROUP BY source")
 def pending_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.pending(analogs.captures(spark, sf_dir), analogs.reviews(spark, sf_dir)).groupBy("batch").agg(F.count("*").alias("pending"))
@@ -216,6 +235,16 @@ def handoff_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.handoffs(analogs.captures(spark, sf_dir)).select("batch", "name")
 
 
+@query("""
+WITH h AS (SELECT source AS batch, sha256(text) AS x FROM documents),
+a AS (SELECT batch, substr(x, 1, 4) AS p, sha256(string_agg(x, '' ORDER BY x)) AS d FROM h GROUP BY batch, substr(x, 1, 4)),
+b AS (SELECT batch, substr(p, 1, 2) AS q, sha256(string_agg(d, '' ORDER BY p)) AS d FROM a GROUP BY batch, substr(p, 1, 2))
+SELECT batch, sha256(string_agg(d, '' ORDER BY q)) AS digest FROM b GROUP BY batch
+""")
+def batch_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.digests(analogs.captures(spark, sf_dir), ["batch"])
+
+
 @query("SELECT doc_id AS capture, CASE lang WHEN 'en' THEN 'reader-a' WHEN 'de' THEN 'reader-b' END AS tool FROM documents")
 def sensor_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = spark.createDataFrame([("en", "linux", "reader-a", 1), ("en", None, "reader-c", 2), ("de", None, "reader-b", 1), ("fr", "macos", "reader-d", 1)], "detected_type string, platform string, tool string, priority int")

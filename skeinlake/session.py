@@ -31,15 +31,25 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares, ``spark.checkpoint.dir``; local sessions get one of their own where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, ``spark.checkpoint.dir``; local sessions get one of their own where it is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not set_.isDefined():
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="skeinlake-")
         atexit.register(shutil.rmtree, at, True)
         spark.sparkContext.setCheckpointDir("file://" + at)
+        set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return set_.get().rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
