@@ -27,6 +27,10 @@ def relative_path(path: Column, root: str) -> Column:
 MAGIC = {"89504E47": "png", "FFD8FF": "jpeg", "25504446": "pdf", "504B0304": "zip", "7B5C727466": "rtf", "52494646": "riff"}
 
 
+#: Formats that are zip files inside; their names tell which.
+ZIPPED = ("xlsx", "docx", "pptx", "epub", "odt", "ods")
+
+
 def detected_type(path: Column, content: Column | None = None) -> Column:
     """By leading bytes where content is given and known, else the lower-case suffix, else 'unknown'."""
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1))
@@ -36,7 +40,7 @@ def detected_type(path: Column, content: Column | None = None) -> Column:
         known = F.lit(None).cast("string")
         for magic, kind in MAGIC.items():
             known = F.when(F.startswith(head, F.lit(magic)), kind).otherwise(known)
-        out = F.coalesce(known, out)
+        out = F.when(known.isNull() | (known == "zip") & out.isin(*ZIPPED), out).otherwise(known)
     return out
 
 

@@ -60,19 +60,22 @@ def one_hop(edge_table: DataFrame, ids: DataFrame) -> DataFrame:
 def ancestors(nodes: DataFrame, most: int = 100_000) -> DataFrame:
     """id, ancestor, level along ``parent``, each ancestor at its least level; cycles end where they would repeat a node.
 
-    One join a level over what the level before found, checkpointed. A chain of more than ``most`` levels is an error.
+    By doubling: what is known up to level 2^k is joined to itself at those exactly 2^k up, so a chain takes a
+    round for each doubling of its length; every round is checkpointed. A chain of more than ``most`` levels is an error.
     """
-    parents = checkpointed(nodes.where("parent is not null").select("id", "parent").distinct())
-    front = parents.where("id <> parent").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("level"))
-    found = front
-    for level in range(2, most + 2):
-        up = parents.select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
-        new = front.join(up, "ancestor").where("id <> next").select("id", F.col("next").alias("ancestor")).distinct()
-        front = checkpointed(new.join(found.select("id", "ancestor"), ["id", "ancestor"], "left_anti").withColumn("level", F.lit(level)))
-        if front.isEmpty():
-            return found
-        found = found.union(front)
-    raise ValueError(f"a chain of parents is longer than {most} levels")
+    parents = nodes.where("parent is not null and id <> parent").select("id", F.col("parent").alias("ancestor")).distinct()
+    known, reach = checkpointed(parents.withColumn("level", F.lit(1))), 1
+    while True:
+        top = known.where(F.col("level") == reach).select("id", F.col("ancestor").alias("middle"))
+        rest = known.select(F.col("id").alias("middle"), "ancestor", (F.col("level") + reach).alias("level"))
+        further = top.join(rest, "middle").where("id <> ancestor").groupBy("id", "ancestor").agg(F.min("level").alias("level"))
+        new = checkpointed(further.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        longest = new.agg(F.max("level")).first()[0]
+        if longest is None:
+            return known
+        if longest > most:
+            raise ValueError(f"a chain of parents is longer than {most} levels")
+        known, reach = known.unionByName(new), 2 * reach
 
 
 def trace(nodes: DataFrame, assets: DataFrame, archives: DataFrame, node_id: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from ..model import analogs, schemas
-from ..operators import audit, graph, ingest, instance, phrases, sensors, sync
+from ..operators import audit, graph, ingest, instance, phrases, sensors, sync, units
 from ..session import checkpointed, shared_folder, table
 from ..sources import file_sink
 
@@ -318,6 +318,37 @@ def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.trace(*analogs.evidence(spark, sf_dir)).select("id", "asset", "state")
 
 
+@query("""
+WITH c AS (SELECT conv_id, 'conversation:' || conv_id AS id, turn, role, text, CASE WHEN EXISTS (SELECT 1 FROM documents WHERE doc_id % 2 = 0 AND doc_id = conv_id) THEN 'whole' ELSE 'no archive' END AS state FROM conversations)
+SELECT DISTINCT id, 'record' AS kind, 'conv-' || conv_id AS place, CAST(NULL AS BIGINT) AS turn, CAST(NULL AS VARCHAR) AS role, state FROM c
+UNION ALL SELECT id, 'turn', 'conv-' || conv_id, turn, role, state FROM c
+UNION ALL SELECT DISTINCT id, 'raw', 'raw-' || conv_id, NULL, NULL, state FROM c
+""")
+def trace_companions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as records whose turns are units; documents of an even id are their raw files."""
+    c = table(spark, sf_dir, "conversations")
+    one = c.select("conv_id").distinct()
+    name = lambda kind: F.concat(F.lit(kind), F.col("conv_id").cast("string"))
+    nodes = one.select(name("conversation:").alias("id"), F.array(name("conv-")).alias("source_links"))
+    assets = one.select(name("conv-").alias("path"), name("raw-").alias("archive_path"))
+    raw = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit("raw-"), F.col("doc_id").cast("string")).alias("path"))
+    turns = c.select(name("conv-").alias("path"), F.lit("turns").alias("detected_type"), F.encode(F.to_json(F.struct("turn", "role", "text")), "UTF-8").alias("content"))
+    out = units.companions(graph.trace(nodes, assets, raw), units.units(turns))
+    return out.select("id", "kind", "place", F.variant_get("locator", "$.turn", "bigint").alias("turn"), F.variant_get("locator", "$.role", "string").alias("role"), "state")
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents),
+p AS (SELECT doc_id, k, line, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS BIGINT) AS a FROM l)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit, a AS start, a + length(line) AS stop, sha256(line) AS sha256 FROM p WHERE regexp_matches(line, '[^ \\t\\r\\x0b\\x0c]')
+""")
+def text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents, by the table function."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit("txt").alias("detected_type"), F.encode("text", "UTF-8").alias("content"))
+    place = lambda name: F.variant_get("locator", f"$.{name}", "bigint")
+    return units.units(d).select(F.col("path").alias("doc_id"), "unit", place("start").alias("start"), place("end").alias("stop"), core.content_hash(F.col("text")).alias("sha256"))
+
+
 @query(f"WITH {_EVIDENCE} SELECT id AS subject, state || ': ' || asset AS detail FROM t WHERE state = 'no archive'")
 def audit_broken_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.broken_lineage(*analogs.evidence(spark, sf_dir)).select("subject", "detail")
