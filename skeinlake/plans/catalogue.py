@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from ..model import analogs, schemas
-from ..operators import audit, graph, ingest, instance, phrases, sensors, sync, units
+from ..operators import audit, graph, ingest, instance, links, phrases, sensors, sync, units
 from ..session import checkpointed, shared_folder, table
 from ..sources import file_sink
 
@@ -245,6 +245,32 @@ def batch_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.digests(analogs.captures(spark, sf_dir), ["batch"])
 
 
+@query("""
+WITH n AS (SELECT lower(replace(n_name, ' ', '-')) AS name, n_nationkey AS k FROM nation),
+v AS (SELECT name, k, array_to_string(list_transform(string_split(name, '-'), lambda x: upper(x[1]) || x[2:]), ' ') AS vault FROM n),
+c AS (SELECT c_custkey, c_nationkey, CASE c_custkey % 4 WHEN 0 THEN v.vault WHEN 1 THEN v.name ELSE 'nowhere' END AS named, c_custkey % 4 AS kind, v.name AS target, v.vault FROM customer JOIN v ON k = (c_nationkey + 1) % 25)
+SELECT c_custkey, CASE WHEN kind < 3 THEN vault END AS vault, CASE kind WHEN 3 THEN false ELSE true END AS found,
+    'see [it](obsidian://open?vault=' || CASE WHEN kind < 3 THEN replace(vault, ' ', '%20') ELSE replace((SELECT vault FROM v WHERE k = c_nationkey), ' ', '%20') END || '&file=' || CASE kind WHEN 3 THEN 'no-such' ELSE target || '/index' END || ') end' AS text
+FROM c
+""")
+def linked_vaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nations as domains with an index note, customers as notes that link to the next nation's: by vault, by domain, by file alone, or to nothing."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    name = F.lower(F.replace("n_name", F.lit(" "), F.lit("-")))
+    domains = n.select(name.alias("name"), F.lit("public").alias("exposure"), F.lit(None).cast("string").alias("vault_name"))
+    own, target = n.select(F.col("n_nationkey").alias("c_nationkey"), name.alias("domain")), n.select(((F.col("n_nationkey") + 24) % 25).alias("c_nationkey"), name.alias("target"))
+    kind = F.col("c_custkey") % 4
+    vault = F.when(kind == 0, F.replace(core.vault_name(F.col("target")), F.lit(" "), F.lit("%20"))).when(kind == 1, F.col("target")).otherwise("nowhere")
+    file = F.when(kind == 3, "no-such").otherwise(F.concat("target", F.lit("/index")))
+    notes = c.join(own, "c_nationkey").join(target, "c_nationkey").select("domain", F.concat("domain", F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("see [it](obsidian://open?vault="), vault, F.lit("&file="), file, F.lit(") end")).alias("text"))
+    index = domains.select(F.col("name").alias("domain"), F.concat("name", F.lit("/index.md")).alias("path"), F.lit("index").alias("text"))
+    whole = notes.unionByName(index)
+    to = links.resolved(links.extracted(whole), whole, domains)
+    pages = sync.compiled(whole, domains).select(F.split_part("path", F.lit("."), F.lit(1)).try_cast("bigint").alias("c_custkey"), "text")
+    said = to.select(F.regexp_extract("path", r"([0-9]+)\.md$", 1).cast("bigint").alias("c_custkey"), F.col("to").alias("vault"), "found")
+    return said.join(pages, "c_custkey").select("c_custkey", "vault", "found", "text")
+
+
 @query("SELECT doc_id AS capture, CASE lang WHEN 'en' THEN 'reader-a' WHEN 'de' THEN 'reader-b' END AS tool FROM documents")
 def sensor_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = spark.createDataFrame([("en", "linux", "reader-a", 1), ("en", None, "reader-c", 2), ("de", None, "reader-b", 1), ("fr", "macos", "reader-d", 1)], "detected_type string, platform string, tool string, priority int")
