@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import core
 from ..session import checkpointed
+from . import phrases
 
 
 def edges(nodes: DataFrame) -> DataFrame:
@@ -41,6 +44,37 @@ def retrieve(nodes: DataFrame, query: str) -> DataFrame:
     return top.select("id", "title", "match", "score", ties.alias("ties")).withColumn("decisive", (F.col("ties") == 1) & F.col("match").isin(*MATCHES[:3]))
 
 
+def retrieve_many(nodes: DataFrame, topics: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """``retrieve`` for a table of topics (topic) in one plan: topic, id, title, match, score, ties, decisive.
+
+    Exact matches are joins, phrases go through an index of the notes' words (``phrases.index`` of ``haystack``), and
+    single words are looked at for topics only that nothing better matches; score counts them and is 0 for other matches. Topics that match nothing give no row.
+    """
+    q = checkpointed(topics.where("topic is not null").select("topic").distinct().select("topic", F.trim("topic").alias("q"), F.lower(F.trim("topic")).alias("phrase")))
+    n = nodes.where("id is not null")
+    place = lambda kind: F.lit(MATCHES.index(kind)).alias("place")
+    exact = [n.join(q, F.col(c) == F.col(k)).select("topic", "id", "title", place(c)) for c, k in (("id", "q"), ("path", "q"))]
+    exact.append(n.join(q, F.lower("title") == F.col("phrase")).select("topic", "id", "title", place("title")))
+    held = phrases.containing(haystack(n), q.select("topic", "phrase"), index)
+    within = held.select("topic", "id", "title", F.when(F.startswith(F.lower("title"), "phrase"), MATCHES.index("prefix")).otherwise(MATCHES.index("contains")).alias("place"))
+    better = checkpointed(reduce(DataFrame.unionByName, [*exact, within]).withColumn("score", F.lit(0)))
+    left = q.join(better.select("topic").distinct(), "topic", "left_anti").select("topic", F.explode(F.array_distinct(F.split("phrase", r"\s+"))).alias("word")).where("word <> ''")
+    hay = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "description", F.array_join("tags", " "))), r"[^\p{L}\p{N}-]+"))
+    words = n.select("id", "title", "path", F.explode(hay).alias("word")).join(left, "word").groupBy("topic", "id", "title", "path").agg(F.count("*").cast("int").alias("score")).select("topic", "id", "title", place("words"), "score")
+    best = F.rank().over(Window.partitionBy("topic").orderBy("place", F.desc("score")))
+    # a note that matches in several ways counts once, in its best way
+    own = better.groupBy("topic", "id", "title").agg(F.min("place").alias("place"), F.lit(0).alias("score")).unionByName(words)
+    top = own.withColumn("best", best).where("best = 1")
+    match = F.element_at(F.array(*(F.lit(m) for m in MATCHES)), F.col("place") + 1)
+    out = top.select("topic", "id", "title", match.alias("match"), "score", F.count("*").over(Window.partitionBy("topic")).alias("ties"))
+    return out.withColumn("decisive", (F.col("ties") == 1) & F.col("match").isin(*MATCHES[:3]))
+
+
+def haystack(nodes: DataFrame) -> DataFrame:
+    """t, id, title: what phrases are looked for in."""
+    return nodes.select(F.lower(F.concat_ws("\n", "title", "description", "body")).alias("t"), "id", "title")
+
+
 #: Ids that are broadcast to the edges at most; more are joined by a shuffle.
 FEW_IDS = 100_000
 

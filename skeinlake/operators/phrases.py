@@ -1,48 +1,77 @@
-"""Which texts contain which phrases, without holding every phrase against every text."""
+"""Which texts contain which phrases: an inverted index of words, and phrases checked by positions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-#: Characters of phrases that are broadcast at once at most (one phrase may be longer), and words looked for by broadcast.
+#: Characters of phrases that are broadcast at once at most (one phrase may be longer), and words and texts looked for by broadcast.
 BLOCK_CHARS, FEW_WORDS = 8_000_000, 100_000
+#: Parts of a stored index; words are dealt by hash.
+INDEX_PARTS = 64
 
 
-def containing(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+def _words(c: Column | str) -> Column:
+    return F.split(c, " ", -1)
+
+
+def index(texts: DataFrame) -> DataFrame:
+    """word, text (hash of it), positions: every word between spaces of the texts (t), equal texts once. Texts themselves don't travel."""
+    one = texts.where("t is not null").select(F.xxhash64("t").alias("text"), F.posexplode(_words("t")).alias("position", "word"))
+    return one.groupBy("word", "text").agg(F.sort_array(F.collect_set("position")).alias("positions"))
+
+
+def store(index_: DataFrame, folder: str) -> None:
+    """Write an index in parts by word, sorted, so that a few words read a few row groups."""
+    part = F.pmod(F.xxhash64("word"), F.lit(INDEX_PARTS)).cast("int")
+    index_.withColumn("part", part).repartition("part").sortWithinPartitions("part", "word").write.partitionBy("part").mode("overwrite").parquet(folder)
+
+
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast what has been counted to be small."""
+    return F.broadcast(df) if df.limit(FEW_WORDS + 1).count() <= FEW_WORDS else df
+
+
+def candidates(index_: DataFrame, phrases: DataFrame) -> DataFrame:
+    """phrase, text (hash) of texts that may contain a phrase (three words or more): those with its two rarest inner words in their places."""
+    parts = phrases.select("phrase", F.posexplode(F.expr("slice(split(phrase, ' ', -1), 2, size(split(phrase, ' ', -1)) - 2)")).alias("offset", "word"))
+    sought = checkpointed(parts.groupBy("phrase", "word").agg(F.min("offset").alias("offset")))
+    words = sought.select("word").distinct()
+    if "part" in index_.columns:  # stored: parts without a sought word are not read
+        words = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(INDEX_PARTS)).cast("int"))
+        index_ = index_.where(F.col("part").isin([r.part for r in words.select("part").distinct().collect()]))  # INDEX_PARTS at most
+    held = checkpointed(index_.join(_few(words), words.columns, "left_semi").select("word", "text", "positions"))
+    counted = held.groupBy("word").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "word"))
+    ranked = sought.join(counted, "word", "left").withColumn("rank", rank)
+    starts = lambda rank: ranked.where(F.col("rank") == rank).join(held, "word").select("phrase", "text", F.transform("positions", lambda p: p - F.col("offset")).alias(f"s{rank}"))
+    first = starts(1).join(starts(2), ["phrase", "text"], "left").join(ranked.where("rank = 2").select("phrase", F.lit(True).alias("two")), "phrase", "left")
+    return first.where("two is null or arrays_overlap(s1, s2)").select("phrase", "text")
+
+
+def containing(texts: DataFrame, phrases: DataFrame, index_: DataFrame | None = None) -> DataFrame:
     """The rows of ``texts`` (t, ...) beside those of ``phrases`` (phrase, ...) where t contains phrase, and ``first``: t starts with it.
 
-    A word that stands between two spaces in a phrase stands alone in every text that contains it. So each
-    phrase is anchored at the rarest of its inner words, counted over all texts, and only texts with that word
-    are searched. Phrases of fewer than three words have none and are held against all texts. Both go in
-    blocks of bounded size, one pass over the texts for each; texts are not shuffled to find them.
+    A word that stands between two spaces in a phrase stands alone in every text that contains it. So an index of
+    words (``index``, or one that is stored) tells which texts have a phrase's two rarest inner words at the right
+    distance; only those texts are fetched, once, and searched. Phrases of fewer than three words have no inner
+    word and are held against all texts, in blocks of bounded size, one pass over the texts for each.
 
     Nulls contain nothing and are contained nowhere; the empty phrase is in every text; repeated rows count one by one.
     """
-    split = lambda c: F.split(c, " ", -1)
-    words = texts.select("t", F.explode(F.array_distinct(split("t"))).alias("word"))
-    parts = phrases.select("phrase").where("phrase is not null").distinct().withColumn("parts", split("phrase"))
-    inner = parts.where(F.size("parts") > 2).select("phrase", F.explode(F.array_distinct(F.expr("slice(parts, 2, size(parts) - 2)"))).alias("word"))
-    sought = inner.select("word").distinct()
-    few = F.broadcast(sought) if sought.limit(FEW_WORDS + 1).count() <= FEW_WORDS else sought
-    seen = words.select("word").join(few, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
-    rarest = inner.join(seen, "word", "left").groupBy("phrase").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    anchored = checkpointed(rarest.unionByName(parts.where(F.size("parts") <= 2).select("phrase", F.lit(None).cast("string").alias("word"))))
-
-    found = None
-    for anchor in (True, False):
-        own = anchored.where(F.col("word").isNotNull() if anchor else F.col("word").isNull())
-        chars = own.agg(F.sum(F.length("phrase") + 1)).first()[0] or 0
-        blocks = -(-chars // BLOCK_CHARS)
-        for k in range(blocks):
-            block = F.broadcast(own.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k))
-            if anchor:
-                held = texts.withColumn("word", F.explode(F.array_distinct(split("t")))).join(block, "word").where(F.contains("t", "phrase")).drop("word")
-            else:
-                held = texts.join(block.drop("word"), F.contains("t", "phrase"))
-            found = held if found is None else found.unionByName(held)
-    if found is None:
-        found = texts.withColumn("phrase", F.lit(None).cast("string")).where("false")
-    return found.withColumn("first", F.startswith("t", "phrase")).join(phrases, "phrase")
+    distinct = checkpointed(phrases.select("phrase").where("phrase is not null").distinct().withColumn("n", F.size(_words("phrase"))))
+    long, short = distinct.where("n > 2").drop("n"), distinct.where("n <= 2").drop("n")
+    found = checkpointed(candidates(index(texts) if index_ is None else index_, long)).withColumnRenamed("text", "_text")
+    few = _few(found)  # else texts and candidates meet by hash of text
+    held = texts.withColumn("_text", F.xxhash64("t")).join(few, "_text").where(F.contains("t", "phrase")).drop("_text")
+    chars = short.agg(F.sum(F.length("phrase") + 1)).first()[0] or 0
+    for k in range(blocks := -(-chars // BLOCK_CHARS)):
+        block = F.broadcast(short.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k))
+        held = held.unionByName(texts.join(block, F.contains("t", "phrase")))
+    return held.withColumn("first", F.startswith("t", "phrase")).join(phrases, "phrase")

@@ -327,6 +327,19 @@ _retrieved("parts/7.md", "path = 'parts/7.md'", "path")
 _retrieved("Brand#1", "contains(lower(concat_ws(chr(10), title, description, body)), 'brand#1') AND NOT starts_with(lower(title), 'brand#1')", "contains")
 
 
+@query(f"""
+WITH {_NOTES}, t AS (SELECT DISTINCT type AS topic FROM (SELECT p_type AS type FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT 'part:' || p_partkey FROM part UNION ALL SELECT upper(p_name) FROM part)),
+m AS (SELECT topic, id, CASE WHEN id = topic THEN 0 WHEN lower(title) = lower(topic) THEN 2 WHEN starts_with(lower(title), lower(topic)) THEN 3 WHEN contains(lower(concat_ws(chr(10), title, description, body)), lower(topic)) THEN 4 END AS place FROM t, p),
+r AS (SELECT *, rank() OVER (PARTITION BY topic ORDER BY place) AS k FROM m WHERE place IS NOT NULL),
+b AS (SELECT topic, id, place, count(*) OVER (PARTITION BY topic) AS ties FROM r WHERE k = 1)
+SELECT topic, id, ['id', 'path', 'title', 'prefix', 'contains'][place + 1] AS match, ties, ties = 1 AND place < 3 AS decisive FROM b""")
+def retrieve_many_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All types, brands, ids and names of parts as topics, in one plan."""
+    p = table(spark, sf_dir, "part")
+    topics = p.select(F.col("p_type").alias("topic")).union(p.select("p_brand")).union(p.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")))).union(p.select(F.upper("p_name")))
+    return graph.retrieve_many(analogs.notes(spark, sf_dir), topics).select("topic", "id", "match", "ties", "decisive")
+
+
 @query(f"WITH {_NOTES} SELECT id, 'out' AS relation, target AS other FROM p WHERE id = 'part:7' UNION ALL SELECT target, 'in', id FROM p WHERE target = 'part:7'")
 def deep_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = analogs.notes(spark, sf_dir)
