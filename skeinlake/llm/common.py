@@ -16,6 +16,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -197,6 +198,22 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Columns that stages of a pipeline know by name.
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plain_names(stage):
+    """A function from documents to the same columns of documents, whatever other columns are called: they get plain names on their way."""
+
+    @wraps(stage)
+    def inner(docs: DataFrame, *rest, **more) -> DataFrame:
+        names = docs.columns
+        out = stage(docs.toDF(*(x if x in KNOWN else f"extra{k}" for k, x in enumerate(names))), *rest, **more)
+        return out.toDF(*names)
+
+    return inner
+
+
 def components(spark: SparkSession, edges: DataFrame, label: str) -> DataFrame:
     """(node, root): the smallest node reachable from each node of ``edges`` (a, b bigint).
 

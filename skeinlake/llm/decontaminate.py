@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, slices, task
+from .common import keyed, plain_names, slices, task
 
 WINDOW = 10
 #: Words of the phrases that one pass searches for at most (bound of the broadcast: about 100 bytes a word).
@@ -330,6 +330,7 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
+@plain_names
 def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the benchmark's windows cut out of the texts; ``n_chars``, if there, follows. Null texts stay null."""
     names = docs.columns

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, components, discard, shingle_hashes, slices, staged, task
+from .common import NO_ID, WordHashes, components, discard, plain_names, shingle_hashes, slices, staged, task
 
 WIDTH, PERCENT = 5, 75
 #: Shingles that can be hot at most, and the least count of one.
@@ -535,6 +535,7 @@ def linked(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(label <= NO_ID - SYNTHETIC, label).alias("component_id"))
 
 
+@plain_names
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that a smaller one of their component stands for."""
     others = groups(docs).where("label < node").select(F.col("node").alias("_node"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, task
+from .common import plain_names, slices, task
 
 ORDER = 4
 BITS = 6
@@ -43,6 +43,9 @@ SHARPNESS = 20.0
 FOLDS = 3
 #: How many times as far above its language's median as 99.9 % of the calibrating documents a rejected one lies, at least.
 SPREAD = 4
+#: Calibrating documents from which limits are taken. A language with fewer gets those of all languages together where
+#: they are wider; where all have fewer, nothing with letters is rejected.
+CALIBRATING = 100
 UNKNOWN = "und"
 
 
@@ -223,11 +226,20 @@ def train(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> tuple[Model,
     own = own.select("text", "lang", (F.floor(F.col("crc") / modulus) % FOLDS).alias("fold"))
     model, other = fit(counted(own))
     seen = scored(own.where("fold = 0").select("text"), other, also=[]).where("entropy is not null").select("lang_pred", "entropy", F.sqrt("predictions").alias("root"))
-    median = seen.groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.5, 10_000).alias("median"))
     above = F.col("entropy") - F.col("median")
+    half = F.percentile_approx("entropy", 0.5, 10_000).alias("median")
     top = lambda x: SPREAD * F.percentile_approx(x, 0.999, 10_000)
-    limits = seen.join(F.broadcast(median), "lang_pred").groupBy("lang_pred", "median").agg(top(above).alias("far"), top(above * F.col("root")).alias("scaled")).collect()  # a row for each language
-    return model, {r.lang_pred: (r.median, r.far, r.scaled) for r in limits}
+    both = top(above).alias("far"), top(above * F.col("root")).alias("scaled")
+    whole = seen.agg(F.count("*").alias("n"), half).first()
+    if whole.n < CALIBRATING:
+        return model, {}
+    pooled = seen.withColumn("median", F.lit(whole.median)).agg(*both).first()
+    median = seen.groupBy("lang_pred").agg(half)
+    limits = {}
+    for r in seen.join(F.broadcast(median), "lang_pred").groupBy("lang_pred", "median").agg(F.count("*").alias("n"), *both).collect():  # a row for each language
+        own = (r.median, r.far, r.scaled)
+        limits[r.lang_pred] = own if r.n >= CALIBRATING else tuple(map(max, own, (whole.median, pooled.far, pooled.scaled)))
+    return model, limits
 
 
 def identify(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> DataFrame:
@@ -237,6 +249,7 @@ def identify(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> DataFrame:
     return scored(base, model, limits, ["doc_id", "held_out"])
 
 
+@plain_names
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
     model, limits = train(docs)

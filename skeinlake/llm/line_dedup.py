@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, combine, discard, doc_column, keyed, mix, slices, staged, task
+from .common import ODD, combine, discard, doc_column, keyed, mix, plain_names, slices, staged, task
 
 MIN_WORDS = 5
 #: Alignments of one pair, before the lines that are left are matched one by one.
@@ -307,6 +307,7 @@ def _shortened(docs: DataFrame, names: list[str]) -> DataFrame:
     return out.select("row", "text", "cut", "copy").mapInArrow(task(delete), f"row {own}, n_lines bigint, n_deleted bigint, kept string")
 
 
+@plain_names
 def without_copied_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with aligned lines deleted; documents of which no word is left go. ``n_chars``, if there, follows."""
     names = docs.columns
