@@ -49,6 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of what the stages leave of ``documents``, each stage on all that the one before kept.
+
+    Null texts and texts without letters go in the first stage; documents of which no line is left in the second; all
+    but the smallest doc_id of each group in the third, repeated rows of one doc_id and text stay together; passages
+    are cut in the fourth. An empty table gives none. Other columns, whatever their names, travel to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
