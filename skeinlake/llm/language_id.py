@@ -43,9 +43,9 @@ SHARPNESS = 20.0
 FOLDS = 3
 #: How many times as far above its language's median as 99.9 % of the calibrating documents a rejected one lies, at least.
 SPREAD = 4
-#: Calibrating documents from which limits are taken. A language with fewer gets those of all languages together where
-#: they are wider; where all have fewer, nothing with letters is rejected.
-CALIBRATING = 100
+#: Calibrating documents from which a language's limits are taken. With fewer, they are those of all languages together where
+#: these are wider. All languages need ``POOLED`` together, else nothing with letters is rejected.
+CALIBRATING, POOLED = 100, 20
 UNKNOWN = "und"
 
 
@@ -231,7 +231,7 @@ def train(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> tuple[Model,
     top = lambda x: SPREAD * F.percentile_approx(x, 0.999, 10_000)
     both = top(above).alias("far"), top(above * F.col("root")).alias("scaled")
     whole = seen.agg(F.count("*").alias("n"), half).first()
-    if whole.n < CALIBRATING:
+    if whole.n < POOLED:
         return model, {}
     pooled = seen.withColumn("median", F.lit(whole.median)).agg(*both).first()
     median = seen.groupBy("lang_pred").agg(half)
