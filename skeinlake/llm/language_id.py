@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import plain_names, slices, task
+from .common import discard, plain_names, slices, staged, task
 
 ORDER = 4
 BITS = 6
@@ -225,13 +225,14 @@ def train(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> tuple[Model,
     own = _remainders(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("crc") % modulus != held_out))
     own = own.select("text", "lang", (F.floor(F.col("crc") / modulus) % FOLDS).alias("fold"))
     model, other = fit(counted(own))
-    seen = scored(own.where("fold = 0").select("text"), other, also=[]).where("entropy is not null").select("lang_pred", "entropy", F.sqrt("predictions").alias("root"))
+    seen = staged(scored(own.where("fold = 0").select("text"), other, also=[]).where("entropy is not null").select("lang_pred", "entropy", F.sqrt("predictions").alias("root")), "entropies")
     above = F.col("entropy") - F.col("median")
     half = F.percentile_approx("entropy", 0.5, 10_000).alias("median")
     top = lambda x: SPREAD * F.percentile_approx(x, 0.999, 10_000)
     both = top(above).alias("far"), top(above * F.col("root")).alias("scaled")
     whole = seen.agg(F.count("*").alias("n"), half).first()
     if whole.n < POOLED:
+        discard(seen)
         return model, {}
     pooled = seen.withColumn("median", F.lit(whole.median)).agg(*both).first()
     median = seen.groupBy("lang_pred").agg(half)
@@ -239,6 +240,7 @@ def train(docs: DataFrame, modulus: int = 3, held_out: int = 1) -> tuple[Model,
     for r in seen.join(F.broadcast(median), "lang_pred").groupBy("lang_pred", "median").agg(F.count("*").alias("n"), *both).collect():  # a row for each language
         own = (r.median, r.far, r.scaled)
         limits[r.lang_pred] = own if r.n >= CALIBRATING else tuple(map(max, own, (whole.median, pooled.far, pooled.scaled)))
+    discard(seen)
     return model, limits
 
 
