@@ -3,7 +3,9 @@
 Row key
     Operators that relate documents to each other identify a row by
     ``(doc, h)``: ``doc`` is ``doc_id`` (a null id sorts after every other id)
-    and ``h`` is a 64-bit hash of the text. Rows that agree in both are one
+    and ``h`` is a 64-bit hash of the text. A null id shares its ``doc`` with
+    the greatest id; for these two ``h`` is a 63-bit hash, below zero for the
+    id and not for null. Rows that agree in both are one
     document and get the same result, once per row; rows that share a doc_id
     but differ in text are separate documents, ordered by ``h``.
 """
@@ -24,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NO_ID = 2**63 - 1  # stands for a null doc_id
+NO_ID = 2**63 - 1  # doc of a null doc_id, and of that id
+HALF = 2**62
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,10 +102,26 @@ def doc_column() -> Column:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
 
 
+def hash_column(text: Column) -> Column:
+    """h of the row key, for a text that is not null. The order of hashes stays."""
+    h, own = F.xxhash64(text), F.col("doc_id").cast("bigint")
+    return F.when(own < NO_ID, h).otherwise(F.shiftright(h, 1) + F.when(own.isNull(), HALF).otherwise(-HALF))
+
+
+def id_column() -> Column:
+    """doc_id of a row key."""
+    return F.when((F.col("doc") < NO_ID) | (F.col("h") < 0), F.col("doc"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc, h, text) with null texts as empty ones; all other columns are left behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(doc_column().alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return docs.select(doc_column().alias("doc"), hash_column(text).alias("h"), text.alias("text"))
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with null texts as empty ones, for operators that look at one row at a time."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

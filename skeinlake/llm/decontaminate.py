@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, plain_names, slices, task
+from .common import discard, plain_names, slices, staged, task, texts
 
 WINDOW = 10
 #: Words of the phrases that one pass searches for at most (bound of the broadcast: about 100 bytes a word).
 BLOCK_WORDS = 200_000
+#: Blocks that are searched one after another before the rows are written.
+CHAINED = 4
 #: Words of a shard's FM-index at most.
 SHARD_WORDS = 1_000_000
 SAMPLE = 8
@@ -271,19 +273,34 @@ def leak_spans(docs: DataFrame, items: list[tuple[object, str]], window: int = W
     return docs.mapInArrow(task(scan), f"{own}, {SPANS}")
 
 
+def _over_blocks(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """``rows`` with the spans of every block behind left, right and, where they have them, found and n.
+
+    Every CHAINED blocks the rows are written, so that no task feeds more Python workers than that in a row.
+    """
+    out, last = rows, None
+    more = {"left": F.concat("left", "starts"), "right": F.concat("right", "ends"), "found": F.concat("found", "items"), "n": F.col("n_words")}
+    for k, block in enumerate(_blocks(benchmark)):
+        if k and k % CHAINED == 0:
+            out = staged(out, "spans")
+            if last is not None:
+                discard(last)
+            last = out
+        out = leak_spans(out, block, window).select(*(more[x].alias(x) if x in more else x for x in rows.columns))
+    return out
+
+
 def _all_spans(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """(doc, n_words, starts, ends, items) of each row, spans and items of all blocks in a row.
+    """(doc_id, n_words, starts, ends, items) of each row, spans and items of all blocks in a row.
 
     Every block is one more step over the same rows, whose text stays as it is
     and whose lists grow, so no block needs a shuffle and repeated items of
     several blocks stay apart as those of one do.
     """
     none = F.array().cast("array<bigint>")
-    out = keyed(docs).select("doc", "text", none.alias("left"), none.alias("right"), none.cast("array<string>").alias("found"), F.lit(0).cast("bigint").alias("n"))
-    for block in _blocks(benchmark):
-        spans = leak_spans(out, block, window)
-        out = spans.select("doc", "text", F.concat("left", "starts").alias("left"), F.concat("right", "ends").alias("right"), F.concat("found", "items").alias("found"), F.col("n_words").alias("n"))
-    return out.select("doc", F.col("n").alias("n_words"), F.col("left").alias("starts"), F.col("right").alias("ends"), F.col("found").alias("items"))
+    out = texts(docs).select("doc_id", "text", none.alias("left"), none.alias("right"), none.cast("array<string>").alias("found"), F.lit(0).cast("bigint").alias("n"))
+    out = _over_blocks(out, benchmark, window)
+    return out.select("doc_id", F.col("n").alias("n_words"), F.col("left").alias("starts"), F.col("right").alias("ends"), F.col("found").alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -300,16 +317,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 sha.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
                 left.append(s)
                 right.append(e)
-            names = ["doc", "n_words", "n_hit", "n_items", "items_sha256", "span_starts", "span_ends"]
+            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "span_starts", "span_ends"]
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(many, pa.int64()), pa.array(sha, pa.string()), pa.array(left, longs), pa.array(right, longs)], names=names
+                [b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array(many, pa.int64()), pa.array(sha, pa.string()), pa.array(left, longs), pa.array(right, longs)], names=names
             )
 
-    out = spans.mapInArrow(task(digest), "doc bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, span_starts array<bigint>, span_ends array<bigint>")
-    return out.select(
-        F.expr(f"if(doc = {2**63 - 1}L, null, doc)").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "span_starts", "span_ends"
-    )
+    out = spans.mapInArrow(task(digest), "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, span_starts array<bigint>, span_ends array<bigint>")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "span_starts", "span_ends")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -338,9 +353,7 @@ def removed(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     rest = [x for x in names if x != "text"]
     out = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text", none.alias("left"), none.alias("right"))
     own = f"row {out.schema['row'].dataType.simpleString()}"
-    for block in _blocks(benchmark):  # all on the text as it was, so that blocks make no difference
-        spans = leak_spans(out, block, window)
-        out = spans.select("row", "text", F.concat("left", "starts").alias("left"), F.concat("right", "ends").alias("right"))
+    out = _over_blocks(out, benchmark, window)  # all on the text as it was, so that blocks make no difference
 
     def cut(it):
         for b in slices(it):

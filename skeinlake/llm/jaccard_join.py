@@ -43,13 +43,15 @@ link; empty tables give empty results; other columns travel along in
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WordHashes, components, discard, plain_names, shingle_hashes, slices, staged, task
+from .common import WordHashes, components, discard, plain_names, shingle_hashes, slices, staged, task
 
 WIDTH, PERCENT = 5, 75
 #: Shingles that can be hot at most, and the least count of one.
@@ -66,7 +68,8 @@ SALT = 2000
 BLOCK = 2000
 #: Bits of the filter that keeps texts no pair asks for out of a shuffle: 2 MB, whatever the number of pairs.
 BITS = 1 << 24
-SYNTHETIC = 1 << 61
+#: Nodes from here on stand for texts without an id.
+NO_ID, NODE = 1 << 63, "decimal(20,0)"
 
 _HASHES = WordHashes()
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -86,12 +89,12 @@ def prefix_size(n: int) -> int:
 
 
 def node() -> Column:
-    """doc_id, or a number above all of them that stands for a text without one."""
+    """doc_id, or a number above all of them that stands for a text without one. Wider than 64 bits, so that both have all of their range."""
     h = F.xxhash64(F.coalesce("text", F.lit("")))
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID) - F.pmod(h, F.lit(SYNTHETIC)))
+    return F.coalesce(F.col("doc_id").cast("bigint").cast(NODE), (h.cast(NODE) + F.expr(f"{2 * NO_ID}BD")).cast(NODE))
 
 
-def class_of(s: np.ndarray, own: int) -> int:
+def class_of(s: np.ndarray, own: Decimal) -> int:
     """The class of a shingle set; an empty one is a class of its document only."""
     raw = s.tobytes() if len(s) else b"-%d" % own
     return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64))
@@ -114,7 +117,7 @@ def _below(s: np.ndarray, part: int) -> int:
 
 #: Bits of ``fine`` for each of ``bits``.
 FINE = 8
-PARTS = "node bigint, doc_id bigint, c bigint, n int, low binary, bits binary, fine binary"
+PARTS = f"node {NODE}, doc_id bigint, c bigint, n int, low binary, bits binary, fine binary"
 
 
 def low_parts(docs: DataFrame) -> DataFrame:
@@ -532,7 +535,7 @@ def groups(docs: DataFrame) -> DataFrame:
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: a row per row of ``docs``."""
     label = F.col("label")
-    return groups(docs).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(label <= NO_ID - SYNTHETIC, label).alias("component_id"))
+    return groups(docs).select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(label < F.expr(f"{NO_ID}BD"), label.cast("bigint")).alias("component_id"))
 
 
 @plain_names

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ODD, combine, discard, doc_column, keyed, mix, plain_names, slices, staged, task
+from .common import ODD, combine, discard, doc_column, hash_column, keyed, mix, plain_names, slices, staged, task
 
 MIN_WORDS = 5
 #: Alignments of one pair, before the lines that are left are matched one by one.
@@ -280,7 +280,7 @@ def _shortened(docs: DataFrame, names: list[str]) -> DataFrame:
     """``names`` of docs, n_lines, n_deleted and the kept text (null if the text is)."""
     text = F.coalesce("text", F.lit(""))
     rest = [x for x in names if x != "text"]
-    rows = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), F.col("text"), doc_column().alias("doc"), F.xxhash64(text).alias("h"))
+    rows = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), F.col("text"), doc_column().alias("doc"), hash_column(text).alias("h"))
     cuts, copies = copied_lines(docs)
     out = rows.join(cuts.hint("shuffle_hash"), ["doc", "h"], "left")
     # few texts are held by several documents, but some of them by very many

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_column, staged
+from .common import doc_column, hash_column, staged
 
 #: Owners from which on a secret is a widely copied example.
 COPIED = 3
@@ -66,7 +66,7 @@ def candidates(docs: DataFrame, owner: str = "source", repository: str = "source
     """doc, h, kind, start, end, secret_hash, owner, repository of every match that is long enough."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(doc_column().alias("doc"), F.xxhash64(text).alias("h"), name(owner).alias("owner"), name(repository).alias("repository"), text.alias("text"))
+    base = docs.select(doc_column().alias("doc"), hash_column(text).alias("h"), name(owner).alias("owner"), name(repository).alias("repository"), text.alias("text"))
     none = F.array().cast("array<struct<kind:int,i:int,gap:int,size:int,secret:string>>")
     found = F.concat(*(F.coalesce(_cut(k), none) for k in KINDS))
     each = base.select("doc", "h", "owner", "repository", F.explode(found).alias("m")).select("doc", "h", "owner", "repository", "m.*")
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "source") ->
     spell = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,owned:boolean,copied:boolean>>")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", doc_column().alias("doc"), F.xxhash64(text).alias("h"))
+    rows = docs.select("doc_id", doc_column().alias("doc"), hash_column(text).alias("h"))
     out = rows.join(by_doc, ["doc", "h"], "left").withColumn("s", F.coalesce("s", empty))
     count = lambda test: F.size(F.filter("s", test)).cast("bigint")
     return out.select(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Remembered, keyed, slices, task
+from .common import Remembered, slices, task, texts
 
 MODEL = "piece_bpe_32k.model"
 UNKNOWN = 10.0
@@ -141,10 +141,9 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         for b in slices(it):
             ids = [np.frombuffer(c.encode(t), "<i4") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"])
 
-    out = keyed(docs).select("doc", "text").mapInArrow(task(run), "doc_id bigint, n_tokens bigint, ids array<int>")
-    return out.withColumn("doc_id", F.expr(f"if(doc_id = {NO_ID}L, null, doc_id)"))
+    return texts(docs).mapInArrow(task(run), "doc_id bigint, n_tokens bigint, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -176,11 +175,10 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
                 sha.append(hashlib.sha256(back.encode()).hexdigest())
                 same.append(back == t.replace(MARK, " "))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"]
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"]
             )
 
-    out = keyed(docs).select("doc", "text").mapInArrow(task(run), "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
-    return out.withColumn("doc_id", F.expr(f"if(doc_id = {NO_ID}L, null, doc_id)"))
+    return texts(docs).mapInArrow(task(run), "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ODD, WordHashes, combine, keyed, mix, staged
+from .common import ODD, WordHashes, combine, id_column, keyed, mix, staged
 
 WINDOW = 20
 ROUNDS = 2
@@ -342,11 +342,11 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 sha.append(hashlib.sha256(whole).hexdigest())
                 kept.append(whole.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept_sha256", "kept"]
+                [b.column("doc"), b.column("h"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc", "h", "n_words", "n_removed", "kept_sha256", "kept"]
             )
 
-    out = packed(base).join(verdicts.hint("shuffle_hash"), ["doc", "h"], "left").select("doc", "text", "spans").mapInArrow(cut, "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
-    return out.select(F.expr(f"if(doc = {NO_ID}L, null, doc)").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
+    out = packed(base).join(verdicts.hint("shuffle_hash"), ["doc", "h"], "left").select("doc", "h", "text", "spans").mapInArrow(cut, "doc bigint, h bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return out.select(id_column().alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

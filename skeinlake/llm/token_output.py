@@ -258,34 +258,35 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
         kind = encoder(path).dtype
         own: list[int] = []
         pieces: list[np.ndarray] = []
-        size = before = 0
+        size = before = nulls = 0
 
         def flush():
             ranks = shared.value[np.concatenate(pieces)]
             data = block(own, [len(x) for x in pieces], ranks)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ranks)], pa.int64()), pa.array([data], pa.binary())], names=["part", "before", "n_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ranks)], pa.int64()), pa.array([nulls], pa.int64()), pa.array([data], pa.binary())], names=["part", "before", "n_ids", "n_null", "payload"])
 
         for b in it:
-            for doc, x in zip(b.column("doc").to_pylist(), b.column("ids"), strict=True):
+            for doc, h, x in zip(b.column("doc").to_pylist(), b.column("h").to_pylist(), b.column("ids"), strict=True):
                 own.append(doc)
+                nulls += doc == NO_ID and h >= 0  # these come last
                 pieces.append(np.frombuffer(x.as_py(), kind))
                 size += len(pieces[-1])
                 if size >= BLOCK_IDS:
                     yield flush()
-                    own, pieces, size, before = [], [], 0, before + size
+                    own, pieces, size, nulls, before = [], [], 0, 0, before + size
         if own:
             yield flush()
 
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = tokens.repartitionByRange(n, "doc", "h").sortWithinPartitions("doc", "h")
-    ordered.mapInArrow(write, "part int, before bigint, n_ids bigint, payload binary").write.option("compression", "uncompressed").parquet(f"{to}/blocks")
+    ordered.mapInArrow(write, "part int, before bigint, n_ids bigint, n_null bigint, payload binary").write.option("compression", "uncompressed").parquet(f"{to}/blocks")
     discard(tokens)
 
 
 def read_tokens(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and the ids themselves (uint32, little-endian), decoded from the files."""
     ids = spark.read.schema("rank int, id bigint").parquet(f"{at}/ranks").orderBy("rank").collect()
-    blocks = spark.read.schema("part int, before bigint, n_ids bigint, payload binary").parquet(f"{at}/blocks")
+    blocks = spark.read.schema("part int, before bigint, n_ids bigint, n_null bigint, payload binary").parquet(f"{at}/blocks")
     starts: dict[int, int] = {}
     total = 0
     for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # a row for each written partition
@@ -296,18 +297,17 @@ def read_tokens(spark: SparkSession, at: str) -> DataFrame:
     def read(it: Iterator[pa.RecordBatch]):
         id_of, starts = shared.value
         for b in it:
-            for part, before, payload in zip(b.column("part").to_pylist(), b.column("before").to_pylist(), b.column("payload"), strict=True):
+            for part, before, nulls, payload in zip(*(b.column(x).to_pylist() for x in ("part", "before", "n_null")), b.column("payload"), strict=True):
                 docs, counts, all_ids = read_block(payload.as_py(), id_of)
                 ends = np.cumsum(counts)
                 raw = all_ids.astype("<u4")
                 own = [raw[e - c : e].tobytes() for c, e in zip(counts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(ends - counts + starts[part] + before, pa.int64()), pa.array(counts, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
+                    [pa.array(docs, pa.int64(), mask=np.arange(len(docs)) >= len(docs) - nulls), pa.array(ends - counts + starts[part] + before, pa.int64()), pa.array(counts, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
-    out = blocks.select("part", "before", "payload").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
-    return out.withColumn("doc_id", F.expr(f"if(doc_id = {NO_ID}L, null, doc_id)"))
+    return blocks.select("part", "before", "n_null", "payload").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_against_brute_force(spark):
 def test_blocks_of_items_give_the_same(spark, monkeypatch, size):
     bench = [(k, t) for k, t in enumerate(noise(3, 10, size=25))]
     bench += bench[:4] + [(7, "ab"), (7, "cd"), (None, "ef gh")]  # repeated items and ids, over blocks and in one
-    rows = list(enumerate(noise(4, 30) + noise(4, 30))) + [(3, "ab"), (3, "ab")]
+    rows = list(enumerate(noise(4, 30) + noise(4, 30))) + [(3, "ab"), (3, "ab"), (2**63 - 1, "ab"), (None, "ab")]
     monkeypatch.setattr(d, "BLOCK_WORDS", size)
     got = d.contamination(docs(spark, rows), items(spark, bench)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert key(map(tuple, got)) == key(brute(rows, bench))
@@ -72,6 +72,15 @@ def test_removed_cuts_the_passage_and_keeps_the_rest(spark):
     assert got[0].n_chars == len(got[0].text) and got[0].starts == "x" and got[0]["items"] == 7
 
 
+def test_a_task_feeds_few_workers_however_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(d, "BLOCK_WORDS", 5)
+    bench = items(spark, [(k, f"v{k} w{k} x{k} y{k}") for k in range(11)])
+    rows = docs(spark, ["a v3 w3 x3 y3 b v10 w10 x10 y10"])
+    got = d.contamination(rows, bench)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= d.CHAINED + 1
+    assert [(r.n_hit, r.n_items) for r in got.collect()] == [(8, 2)]
+
+
 def test_removed_is_the_same_in_blocks(spark, monkeypatch):
     whole = [f"w{k}" for k in range(15)]
     bench = [(1, " ".join(whole[:10])), (2, " ".join(whole)), (3, " ".join(f"v{k}" for k in range(10)))]

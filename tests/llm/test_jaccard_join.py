@@ -62,6 +62,14 @@ def test_rows_without_id_and_empty_tables(spark):
     assert j.linked(docs(spark, [])).count() == 0
 
 
+def test_ids_of_all_sizes(spark):
+    last = 2**63 - 1
+    rows = [(8 * 10**18, "a b c d e f"), (8 * 10**18 + 1, "a b c d e f"), (last, "p q r s t u"), (None, "p q r s t u"), (None, "v w"), (-(2**63), ""), (last - 1, None)]
+    got = sorted(((r.doc_id, r.component_id) for r in j.linked(docs(spark, rows)).collect()), key=repr)
+    assert got == sorted([(8 * 10**18, 8 * 10**18), (8 * 10**18 + 1, 8 * 10**18), (last, last), (None, last), (None, None), (-(2**63), -(2**63)), (last - 1, last - 1)], key=repr)
+    assert {(r.doc_id, r.text) for r in j.one_of_each(docs(spark, rows)).collect()} == {(8 * 10**18, "a b c d e f"), (last, "p q r s t u"), (None, "v w"), (-(2**63), ""), (last - 1, None)}
+
+
 def test_prefix_size_is_enough():
     for n in range(1, 200):
         for m in range(-(-75 * n // 100), n + 1):

@@ -39,11 +39,11 @@ def test_best_sums_against_all_segmentations():
 
 def test_documents(spark):
     rows = [None, "", "one text", "one text", "é\x00\U0001f600 " * 3000] + noise(1, 20)
-    d = docs(spark, [*enumerate(rows), (None, "no id")])
+    d = docs(spark, [*enumerate(rows), (2**63 - 1, "the last id"), (None, "no id")])
     got = s.round_trips(d).collect()
-    assert len(got) == len(rows) + 1 and all(r.round_trip for r in got)
+    assert len(got) == len(rows) + 2 and all(r.round_trip for r in got)
     back = {r.doc_id: r.text for r in s.decode_documents(s.encode_documents(d)).collect()}
-    assert back == {**{k: t or "" for k, t in enumerate(rows)}, None: "no id"}
+    assert back == {**{k: t or "" for k, t in enumerate(rows)}, 2**63 - 1: "the last id", None: "no id"}
     assert s.round_trips(docs(spark, [])).count() == 0
 
 

@@ -31,7 +31,7 @@ def test_against_brute_force(spark, monkeypatch, window):
     monkeypatch.setattr(d, "BATCH_WORDS", 200)
     texts = noise(1, 25, ("a", "b"), 70) + noise(2, 25, tuple("abcdefgh"), 80) + [None, "", " \t\n", "a " * 400, "a b " * 100]
     texts += texts[:8] + [texts[0] + " " + texts[1], "x " + texts[30] + " y"]
-    rows = [*enumerate(texts), (3, texts[3]), (3, texts[4]), (None, texts[5]), (None, "a " * 50)]
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[4]), (None, texts[5]), (None, "a " * 50), (2**63 - 1, texts[5]), (2**63 - 1, "p q " * 30)]
     table = docs(spark, rows).repartition(5)
     key = {r.t: r.h for r in table.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     got = d.deduplicated(table, window).drop("kept").collect()

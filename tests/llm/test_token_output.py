@@ -42,10 +42,10 @@ def test_code_round_trip(ranks):
 def test_files_hold_all_documents_in_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(t, "BLOCK_IDS", 100)
     texts = [*noise(1, 40), None, "", "  two  spaces \n\n<|endoftext|>", "é" * 5000, "ab cd"]
-    rows = [(7 * k % 101, x) for k, x in enumerate(texts)] + [(None, "last"), (3, "again"), (3, "again")]
+    rows = [(7 * k % 101, x) for k, x in enumerate(texts)] + [(None, "last"), (None, "last"), (3, "again"), (3, "again"), (2**63 - 1, "last"), (2**63 - 1, "more")]
     t.write_tokens(docs(spark, rows), f"file://{tmp_path}/out")
     got = t.read_tokens(spark, f"file://{tmp_path}/out").orderBy("start").collect()
-    assert [r.doc_id for r in got] == sorted(i for i, _ in rows if i is not None) + [None]
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows if i is not None) + [None, None]
     ids = {}
     for (i, _), x in zip(rows, whole([x or "" for _, x in rows]), strict=True):
         ids.setdefault(i, []).append(tuple(x) + (2,))
