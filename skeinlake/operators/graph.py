@@ -137,7 +137,17 @@ def mintable(proposals: DataFrame, charters: DataFrame, approvals: DataFrame) ->
     return proposals.join(open_, "domain", "left_anti").join(approvals.select("id"), "id", "left_semi")
 
 
+def _sound(proposals: DataFrame) -> DataFrame:
+    return proposals.where(core.known_predicate(F.col("predicate")) & (F.trim(F.coalesce("rationale", F.lit(""))) != ""))
+
+
+def proposed(nodes: DataFrame, proposals: DataFrame) -> DataFrame:
+    """src, predicate, dst, rationale, outcome: edges that may be put to approval, and 'none warranted' for every note without one."""
+    fine = _sound(proposals).select("src", "predicate", "dst", "rationale")
+    out = nodes.select(F.col("id").alias("src")).distinct().join(fine, "src", "left")
+    return out.withColumn("outcome", F.when(F.col("predicate").isNull(), "none warranted").otherwise("proposed"))
+
+
 def woven(proposals: DataFrame, approvals: DataFrame) -> DataFrame:
     """Approved edges with a rationale and a known predicate (proposals: EDGES)."""
-    fine = proposals.where(core.known_predicate(F.col("predicate")) & (F.trim(F.coalesce("rationale", F.lit(""))) != ""))
-    return fine.join(approvals.select("src", "predicate", "dst"), ["src", "predicate", "dst"], "left_semi")
+    return _sound(proposals).join(approvals.select("src", "predicate", "dst"), ["src", "predicate", "dst"], "left_semi")

@@ -431,3 +431,101 @@ def status_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "conversations").select(F.when(F.col("role") == "user", "pending").otherwise("archived").alias("state"))
     n = analogs.notes(spark, sf_dir)
     return sync.status(analogs.captures(spark, sf_dir), records, n, graph.edges(n))
+
+
+# ---------------------------------------------------------------- charters, debriefs, groups, tools, formatting
+
+_CHARTERS = """o AS (SELECT 'c' || o_custkey AS domain, o_custkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE 'c' || o_custkey END || ':family-' || o_orderpriority || o_orderstatus AS family, o_orderpriority AS p FROM orders),
+c AS (SELECT domain, k, count(DISTINCT family) AS n, count(DISTINCT p) AS m FROM o GROUP BY domain, k)"""
+
+
+def _charters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customers as domains, the kinds of their orders as families; every seventh charter is a placeholder."""
+    domain = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    family = F.concat(F.when(F.col("o_orderkey") % 10 == 0, "x").otherwise(domain), F.lit(":family-"), "o_orderpriority", "o_orderstatus")
+    by = table(spark, sf_dir, "orders").groupBy(domain.alias("domain"), "o_custkey").agg(F.collect_set(family).alias("families"), F.collect_set("o_orderpriority").alias("principles"))
+    return by.withColumn("body", F.when(F.col("o_custkey") % 7 == 0, schemas.CHARTER_PLACEHOLDER).otherwise("what belongs here"))
+
+
+_rule(
+    "charters",
+    f"""WITH {_CHARTERS} SELECT 'charter-placeholder' AS rule, domain AS subject, '' AS detail FROM c WHERE k % 7 = 0
+UNION ALL SELECT 'charter-families', domain, CAST(n AS VARCHAR) FROM c WHERE k % 7 <> 0 AND n NOT BETWEEN 3 AND 7
+UNION ALL SELECT 'charter-principles', domain, CAST(m AS VARCHAR) FROM c WHERE k % 7 <> 0 AND m > 3
+UNION ALL SELECT DISTINCT 'charter-namespace', domain, family FROM o WHERE k % 7 <> 0 AND family LIKE 'x:%'""",
+    lambda spark, at: audit.charter_shape(_charters(spark, at)),
+)
+_rule(
+    "primary",
+    "SELECT 'missing-primary' AS rule, CAST(o_orderkey AS VARCHAR) AS subject, 'c' || o_custkey AS detail FROM orders ANTI JOIN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) ON c_custkey = o_custkey",
+    lambda spark, at: audit.missing_primary(
+        table(spark, at, "orders").select(F.col("o_orderkey").alias("record_id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("primary_asset")),
+        table(spark, at, "customer").where("c_acctbal >= 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path")),
+    ),
+)
+_IDS = "n AS (SELECT 'p/' || c_custkey AS path, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN c_name ELSE 'nation:' || c_nationkey || '-' || c_custkey // 2 END AS id FROM customer)"
+_rule(
+    "id_shapes",
+    f"WITH {_IDS} SELECT 'id-shape' AS rule, coalesce(id, path) AS subject, path AS detail FROM n WHERE id IS NULL OR id LIKE 'Customer%' UNION ALL SELECT 'id-repeated', id, CAST(count(*) AS VARCHAR) FROM n WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
+    lambda spark, at: audit.identifiers(
+        table(spark, at, "customer").selectExpr(
+            "concat('p/', c_custkey) AS path", "CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN c_name ELSE concat('nation:', c_nationkey, '-', c_custkey DIV 2) END AS id"
+        )
+    ),
+)
+
+
+@query(
+    """SELECT 'file' AS kind, CAST(doc_id AS VARCHAR) AS name, CAST(1 AS BIGINT) AS items FROM documents WHERE doc_id % 3 = 0 OR source IS NULL
+UNION ALL SELECT 'batch', source, count(*) FROM documents WHERE doc_id % 3 <> 0 AND source IS NOT NULL GROUP BY lang, source
+UNION ALL SELECT 'debrief', CAST(o_orderkey AS VARCHAR), CAST(1 AS BIGINT) FROM orders WHERE o_orderstatus = 'O'"""
+)
+def inbox_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as captures: every third a single file, the others in batches of their domain; open orders as pending debriefs."""
+    captures = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("capture"), F.col("lang").alias("domain"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("batch"))
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("record_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise("archived").alias("state"))
+    return ingest.inbox(captures, records)
+
+
+@query(
+    "SELECT o_orderkey AS job, 'c' || o_custkey AS tool, CASE WHEN c_custkey IS NULL THEN 'missing' ELSE 'present' END AS state, CASE WHEN c_custkey IS NULL THEN 'install c' || o_custkey END AS hint FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) ON c_custkey = o_custkey"
+)
+def job_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as jobs that need their customer as a tool, which has a path where the account is not overdrawn."""
+    tool = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
+    wanted = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job"), tool("o_custkey").alias("tool"), F.concat(F.lit("install "), tool("o_custkey")).alias("hint"))
+    present = table(spark, sf_dir, "customer").select(tool("c_custkey").alias("tool"), F.when(F.col("c_acctbal") >= 0, F.lit("/bin/tool")).alias("path"))
+    return sync.doctor(wanted, present)
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(9), '    '), '(?m)[ ]+$', '', 'g') AS t FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, sha256(regexp_replace(regexp_replace(t, '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '\n+\z', '') || chr(10)) AS sha256 FROM t"""
+)
+def formatted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return sync.formatted(d).select("path", F.sha2("text", 256).alias("sha256"))
+
+
+@query(
+    f"""WITH {_NOTES} SELECT id AS src, CASE WHEN p_size % 3 <> 0 AND predicate <> 'LIKES' THEN predicate END AS predicate, CASE WHEN p_size % 3 <> 0 AND predicate <> 'LIKES' THEN target END AS dst,
+CASE WHEN p_size % 3 <> 0 AND predicate <> 'LIKES' THEN 'proposed' ELSE 'none warranted' END AS outcome FROM p"""
+)
+def edge_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of notes as proposals; those of every third size have no rationale."""
+    n, p = analogs.notes(spark, sf_dir), table(spark, sf_dir, "part")
+    bare = p.where("p_size % 3 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("src"), F.lit(True).alias("bare"))
+    put = graph.edges(n).join(bare, "src", "left").withColumn("rationale", F.when(F.col("bare"), " ").otherwise(F.col("rationale")))
+    return graph.proposed(n, put).select("src", "predicate", "dst", "outcome")
+
+
+@query(
+    f"""WITH {_NOTES} SELECT id, 'edge' AS kind, 'out ' || predicate AS relation, target AS other FROM p WHERE id = 'part:7' UNION ALL SELECT target, 'edge', 'in ' || predicate, id FROM p WHERE target = 'part:7'
+UNION ALL SELECT id, 'evidence', CASE WHEN s_suppkey IS NULL THEN 'no record' WHEN c_custkey IS NULL THEN 'no archive' ELSE 'whole' END, 'rec-' || id FROM p
+LEFT JOIN supplier ON id = 'part:' || s_suppkey LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) ON c_custkey = s_suppkey WHERE id = 'part:7'"""
+)
+def deep_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """parts as notes with a record each; suppliers are the records that exist, customers in credit the archived files."""
+    n = analogs.notes(spark, sf_dir).withColumn("source_links", F.array(F.concat(F.lit("rec-"), F.col("id"))))
+    assets = table(spark, sf_dir, "supplier").selectExpr("concat('rec-part:', s_suppkey) AS path", "concat('raw-', s_suppkey) AS archive_path")
+    return graph.deep(n, assets, table(spark, sf_dir, "customer").where("c_acctbal >= 0").selectExpr("concat('raw-', c_custkey) AS path"), "part:7")
