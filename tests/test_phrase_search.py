@@ -37,3 +37,20 @@ def test_many_short_phrases_are_not_held_against_all_texts(spark):
     got = _found(spark, texts, items)
     assert not any("Join Inner, Contains" in line or "Join Cross" in line for line in _plan(got).splitlines())
     assert Counter(tuple(r) for r in got.collect()) == _want(texts, items)
+
+
+def test_words_of_texts_are_not_gathered_for_long_phrases(spark, monkeypatch):
+    rng = random.Random(8)
+    words = "of the and alpha beta gamma delta".split()
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [(k, make(60)) for k in range(40)] + [(k, make(60)) for k in range(2)] + [(99, "the the the the"), (98, None)]
+    items = [(k, make(rng.randint(3, 6))) for k in range(40)] + [(50, "the the the"), (51, " of "), (52, "  "), (53, "no such words here")]
+
+    def gathered(texts):
+        raise AssertionError("all positions of all words were gathered")
+
+    want = _want(texts, items)
+    by_index = _found(spark, texts, items, index_=phrases.index(spark.createDataFrame(texts, "doc bigint, t string")))
+    assert Counter(tuple(r) for r in by_index.collect()) == want
+    monkeypatch.setattr(phrases, "index", gathered)
+    assert Counter(tuple(r) for r in _found(spark, texts, items).collect()) == want
