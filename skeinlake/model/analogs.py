@@ -29,15 +29,16 @@ def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(r.select(key("region", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent")))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, predicate, dst over keys of the star schema."""
+def edges(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """src, predicate, dst over keys of the star schema. With ``parts``, lines are dealt into so many to find their distinct keys."""
     o, l, p, n = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "part", "nation"))  # noqa: E741
+    one = lambda *c: (l.select(*c) if parts is None else l.select(*c).repartition(parts, *c)).distinct()
     key = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
     edge = lambda df, s, name, d: df.select(s.alias("src"), F.lit(name).alias("predicate"), d.alias("dst"))
     out = edge(o, key("order", "o_orderkey"), "DERIVES_FROM", key("customer", "o_custkey"))
     out = out.unionByName(edge(n, key("region", "n_regionkey"), "GOVERNS", key("nation", "n_nationkey")))
-    out = out.unionByName(edge(l.select("l_partkey", "l_suppkey").distinct(), key("part", "l_partkey"), "IMPLEMENTS", key("supplier", "l_suppkey")))
-    lines = l.select("l_orderkey", "l_linenumber").distinct()
+    out = out.unionByName(edge(one("l_partkey", "l_suppkey"), key("part", "l_partkey"), "IMPLEMENTS", key("supplier", "l_suppkey")))
+    lines = one("l_orderkey", "l_linenumber")
     out = out.unionByName(edge(lines, F.concat(key("line", "l_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string")), "EVIDENCES", key("order", "l_orderkey")))
     return out.unionByName(edge(p, key("part", "p_partkey"), "TRANSMUTES", F.concat(F.lit("type:"), F.col("p_type"))))
 

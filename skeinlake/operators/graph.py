@@ -75,6 +75,28 @@ def haystack(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.lower(F.concat_ws("\n", "title", "description", "body")).alias("t"), "id", "title")
 
 
+#: Rows of a part, about, where the number of parts has to grow with the rows, so that a task's memory does not.
+PART_ROWS = 500_000
+
+
+def parts_for(rows: int) -> int:
+    return max(1, -(-rows // PART_ROWS))
+
+
+def profile(edge_table: DataFrame, rows: int) -> DataFrame:
+    """predicate, edges, sources, targets (distinct ones): of about ``rows`` edges at most.
+
+    Sources and targets are counted apart, each dealt by its own name into parts by the number of edges; one pass that
+    counts both would hold every edge twice in a task's map, in as many tasks as a session happens to have.
+    """
+    def ends(name: str) -> DataFrame:
+        dealt = edge_table.select("predicate", name).repartition(parts_for(rows), "predicate", name)
+        return dealt.groupBy("predicate", name).agg(F.count("*").alias("n")).groupBy("predicate").agg(F.sum("n").alias("edges"), F.count(name).alias("names"))
+
+    src, dst = ends("src").select("predicate", "edges", F.col("names").alias("sources")), ends("dst").select("predicate", F.col("names").alias("targets"))
+    return src.join(dst, "predicate")
+
+
 #: Ids that are broadcast to the edges at most; more are joined by a shuffle.
 FEW_IDS = 100_000
 

@@ -221,7 +221,9 @@ def evidence_trace_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGES} SELECT predicate, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM e GROUP BY predicate")
 def edge_predicate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analogs.edges(spark, sf_dir).where(core.known_predicate(F.col("predicate"))).groupBy("predicate").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"))
+    lines, others = table(spark, sf_dir, "lineitem").count(), sum(table(spark, sf_dir, x).count() for x in ("orders", "part", "nation"))
+    e = analogs.edges(spark, sf_dir, graph.parts_for(lines)).where(core.known_predicate(F.col("predicate")))
+    return graph.profile(e, 2 * lines + others)
 
 
 @query("SELECT doc_id, source, dense_rank() OVER (PARTITION BY source ORDER BY n_chars DESC) AS place FROM documents")
