@@ -13,13 +13,14 @@ documents share is hot, so no fragment gets it.
 
 Candidates: two sets of similarity 0.75 or more share a shingle among the
 first n - ceil(0.75 n) + 1 of each. Prefix shingles that no other class holds
-lead nowhere, so what is left are few postings (shingle, class). Rounds:
+lead nowhere, and of shingles that the same classes hold one is enough, so what is
+left are few postings (shingle, class). Rounds:
 
 1. stars: each shingle's classes are paired with the least of them;
 2. shingles whose classes still lie in several components: a forest over the
    likely pairs between components;
-3. of the shingles where that forest left a likely pair out: all likely pairs
-   that still lie between components.
+3. of the shingles where that forest left a likely pair out, and of those of their classes
+   that are in one: all likely pairs that still lie between components.
 
 Every pair of a shingle's classes that could be similar is so either verified or
 inside one component. Rounds 2 and 3 compare classes in numpy, in blocks of
@@ -257,6 +258,16 @@ def postings(reps: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- pairs
 
 
+def one_for_each_set(lists: DataFrame) -> DataFrame:
+    """``lists`` with the least key of those that the same classes hold, and without keys of one class.
+
+    A passage that classes share gives as many keys as it has shingles, all of the same classes, and they lead to the same
+    pairs. Sets are compared by their size and two 64-bit hashes.
+    """
+    sets = lists.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y")).where("m > 1")
+    return lists.join(sets.groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def stars(lists: DataFrame) -> DataFrame:
     """(a, b): each shingle's classes with the least of them, if their sizes can be similar."""
     least = lists.groupBy("key").agg(F.min(F.struct("c", "n")).alias("p"), F.max("c").alias("z")).where("p.c < z").select("key", "p")
@@ -295,9 +306,9 @@ class Group:
         self.bits = [np.frombuffer(x, np.uint8) for x in bits]
 
     def pairs(self, forest: bool, two_parts: bool) -> tuple[np.ndarray, bool]:
-        """(2, n) of classes, and whether a likely pair was left out: a ``forest`` joins only what earlier pairs have not joined."""
+        """(2, n) of classes, and whether a likely pair was left out: a ``forest`` joins only what earlier pairs have not joined. ``near``: its classes of likely pairs."""
         size = np.array([len(x) for x in self.bits])
-        label, out, less = self.label.copy(), [], False
+        label, out, less, near = self.label.copy(), [], False, np.zeros(len(self.c), bool)
         for k in np.unique(size):
             longer = np.flatnonzero(size >= k)
             matrix = np.stack([folded(self.bits[i], k) for i in longer]).view(np.uint64)
@@ -313,12 +324,14 @@ class Group:
                 at = np.flatnonzero(ok)
                 at = at[np.bitwise_count(matrix[at] ^ matrix[row]).sum(1) <= most_apart(n0, n1[at])]
                 if forest and len(at):
+                    near[i] = near[longer[at]] = True
                     theirs, first = np.unique(label[longer[at]], return_index=True)
                     new = theirs != label[i]
                     less |= int(new.sum()) < len(at)
                     at = at[first[new]]
                     label[np.isin(label, theirs)] = label[i]
                 out.append(np.stack([np.full(len(at), self.c[i]), self.c[longer[at]]]))
+        self.near = self.c[near]
         return np.sort(np.concatenate(out, 1), axis=0), less
 
 
@@ -327,7 +340,7 @@ def _first_common(a: pa.Scalar, b: pa.Scalar) -> int:
 
 
 def between(lists: DataFrame, comps: DataFrame, bits: DataFrame, forest: bool) -> DataFrame:
-    """(a, b, key): likely pairs of classes of one shingle that lie in different components; a null pair marks a key whose forest left one out.
+    """(a, b, key): likely pairs of classes of one shingle that lie in different components; where a forest left one out, every class a of a likely pair and its key, without b.
 
     bits: (c, bits). A forest's pairs may be repeated, as several shingles lead to them; others are made at the least shingle of both only.
     """
@@ -363,8 +376,9 @@ def between(lists: DataFrame, comps: DataFrame, bits: DataFrame, forest: bool) -
 
         def batch():
             x = np.unique(np.concatenate([*out, np.zeros((2, 0), np.int64)], 1), axis=1)
-            none = [None] * len(marks)
-            return pa.RecordBatch.from_arrays([pa.array(x[0].tolist() + none, pa.int64()), pa.array(x[1].tolist() + none, pa.int64()), pa.array([None] * x.shape[1] + marks, pa.int64())], names=["a", "b", "key"])
+            key = [k for k, c in marks for _ in range(len(c))]
+            a = np.concatenate([x[0], *(c for _, c in marks)])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(x[1].tolist() + [None] * len(key), pa.int64()), pa.array([None] * x.shape[1] + key, pa.int64())], names=["a", "b", "key"])
 
         for t in blocks(it):
             c, comp = t.column("c").to_numpy(), t.column("comp").to_numpy()
@@ -372,9 +386,11 @@ def between(lists: DataFrame, comps: DataFrame, bits: DataFrame, forest: bool) -
                 continue
             two = t.column("x")[0].as_py() != t.column("y")[0].as_py()
             own = xxhash.xxh3_64_intdigest(c.tobytes() + b"%d" % two)
-            less = False
+            near = c[:0]
             if own not in seen:  # else one of the same classes stands for it
-                pairs, less = Group(c, t.column("n").to_numpy(), comp, t.column("part").to_numpy(), t.column("bits").to_pylist()).pairs(forest, two)
+                group = Group(c, t.column("n").to_numpy(), comp, t.column("part").to_numpy(), t.column("bits").to_pylist())
+                pairs, less = group.pairs(forest, two)
+                near = group.near if less else near
                 if not forest:
                     keys = dict(zip(c.tolist(), t.column("mine"), strict=True))
                     here = t.column("key")[0].as_py()
@@ -384,8 +400,9 @@ def between(lists: DataFrame, comps: DataFrame, bits: DataFrame, forest: bool) -
                     seen.add(own)
                 out.append(pairs)
                 found += pairs.shape[1]
-            if less:
-                marks.append(t.column("key")[0].as_py())
+            if len(near):
+                marks.append((t.column("key")[0].as_py(), near))
+                found += len(near)
             if found > 200_000:
                 yield batch()
                 out, marks, found = [], [], 0
@@ -484,7 +501,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 def _links(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root): the component of every class that is similar to another."""
     spark = docs.sparkSession
-    lists = postings(reps)
+    every = postings(reps)
+    lists = staged(one_for_each_set(every), "postings")
+    discard(every)
     comps = spark.createDataFrame([], "node bigint, root bigint")
     links = tried = spark.createDataFrame([], "a bigint, b bigint")
     for turn in ("stars", "forest", "rest"):
@@ -492,10 +511,11 @@ def _links(docs: DataFrame, reps: DataFrame, classes: DataFrame) -> DataFrame:
             found = likely(stars(lists), reps)
         else:
             made = staged(between(lists, comps, reps.select("c", "bits" if turn == "forest" else F.col("fine").alias("bits")), turn == "forest"), "between")
-            found = made.where("a is not null").select("a", "b").distinct()
+            found = made.where("b is not null").select("a", "b").distinct()
         pairs = staged(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if turn == "forest":
-            last, lists = lists, staged(lists.join(made.where("key is not null").select("key").distinct(), "key", "left_semi"), "postings")
+            near = made.where("b is null").select("key", F.col("a").alias("c")).distinct()
+            last, lists = lists, staged(one_for_each_set(lists.join(near, ["key", "c"], "left_semi")), "postings")
             discard(last)
         if turn != "stars":
             discard(made)

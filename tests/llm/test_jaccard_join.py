@@ -103,3 +103,24 @@ def test_forest_joins_what_is_likely():
     assert group.pairs(False, True)[0].shape[1] == 15 * 15
     two = j.Group(k[:2], n[:2], k[:2], k[:2], [j.parity(s).tobytes() for s in sets[:2]]).pairs(True, False)
     assert two[0].tolist() == [[0], [1]] and not two[1]
+
+
+def test_shingles_of_the_same_classes_are_one(spark):
+    held = {1: (10, 11, 12), 2: (10, 11, 12), 3: (10, 11), 4: (11, 12, 10), 5: (13,), 6: (13, 14)}
+    lists = spark.createDataFrame([(k, c, 100) for k, cs in held.items() for c in cs], "key bigint, c bigint, n int")
+    got = {}
+    for r in j.one_for_each_set(lists).collect():
+        got.setdefault(r.key, set()).add(r.c)
+    assert got == {1: {10, 11, 12}, 3: {10, 11}, 6: {13, 14}}
+
+
+def test_a_forest_names_the_classes_of_likely_pairs_only(spark):
+    """Three sets that are alike and many that share nothing with them at one shingle: the last round gets the three."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    sets = [np.unique(np.concatenate([base[:360], rng.integers(0, 1 << 63, 40, np.uint64)])) for _ in range(3)] + [np.unique(rng.integers(0, 1 << 63, 400, np.uint64)) for _ in range(20)]
+    lists = spark.createDataFrame([(7, c, len(s)) for c, s in enumerate(sets)], "key bigint, c bigint, n int")
+    bits = spark.createDataFrame([(c, bytearray(j.parity(s).tobytes())) for c, s in enumerate(sets)], "c bigint, bits binary")
+    made = j.between(lists, spark.createDataFrame([], "node bigint, root bigint"), bits, True).collect()
+    assert {(r.a, r.key) for r in made if r.b is None} == {(0, 7), (1, 7), (2, 7)}
+    assert {x for r in made if r.b is not None for x in (r.a, r.b)} == {0, 1, 2}
