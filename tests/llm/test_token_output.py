@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -67,3 +68,42 @@ def test_special_tokens_are_those_of_the_plain_call():
 def test_empty_table(spark, tmp_path):
     t.write_tokens(docs(spark, []), f"file://{tmp_path}/none")
     assert t.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_common_chunks_are_never_forgotten(monkeypatch):
+    coder = t.ChunkEncoder(t.tokenizer_path(), limit=20_000)
+    seen = []
+    part = coder.part
+    monkeypatch.setattr(coder, "part", lambda x: seen.append(x) or part(x))
+    for k in range(40):
+        texts = [f"a common w{k}x{j} word" for j in range(10)]
+        assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts)] == whole(texts)
+    assert seen.count("common") == seen.count("word") == 1
+    assert len(coder.after) + len(coder.old) < 200
+
+
+def test_texts_of_all_kinds_in_one_call():
+    odd = ["", " ", "  a b", "a  b c", "a b ", "a b\n", "\na b", "a \nb c", "b\n c d", "x <|endoftext|> y", "\x1c a\x1c b", "　a b　 c", " ", "éa 表 b, b", "b,"]
+    texts = [*noise(3, 30, ("ab", "cd,", "ef.\nGh", "b", "b\nb", "é")), *odd, *(f"{x} {y}" for x in odd for y in odd)]
+    for _ in range(2):  # the second time from memory
+        got = CODER.encode(texts)
+        assert [np.frombuffer(x, CODER.dtype).tolist() for x in got] == whole(texts)
+    with_end = CODER.encode_array(pa.array(["skipped", *texts]).slice(1), b"\2\0")
+    assert with_end.to_pylist() == [x + b"\2\0" for x in got]
+    assert CODER.encode_array(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_batches_are_cut_by_bytes():
+    texts = ["a" * n for n in (3, 0, 4, 20, 1, 1, 0)]
+    b = pa.RecordBatch.from_arrays([pa.array(["zzzz", *texts]).slice(1)], names=["text"])
+    assert [x.column(0).to_pylist() for x in t.by_bytes(b, "text", 7)] == [texts[:3], texts[3:4], texts[4:]]
+    assert not [*t.by_bytes(b.slice(0, 0), "text", 7)]
+
+
+def test_tasks_count_the_ids_that_they_encode(spark):
+    texts = [*noise(7, 60), None, "", "a  b", "<|endoftext|> ab"]
+    ids = np.concatenate([np.array([*x, 2]) for x in whole([x or "" for x in texts])])
+    counts = np.bincount(ids)
+    tokens = t.encoded(docs(spark, texts).repartition(5), t.tokenizer_path())
+    want = sorted(np.unique(ids).tolist(), key=lambda x: (-counts[x], x))
+    assert [(r.id, r.n) for r in t.rank_table(tokens).collect()] == [(x, counts[x]) for x in want]
