@@ -1,9 +1,8 @@
 """Token-ID output: frequency-ranked ids in a byte-aligned variable-length code.
 
 Three passes. (1) Texts are encoded with the tokenizers library; what is
-encoded are chunks, each remembered: the pre-tokeniser never joins a character
-that is not white space with a single space that a further such character
-follows, so a text may be cut there. Each task counts its ids as it goes. (2)
+encoded are chunks, each remembered: a space that a character other than white
+space follows always begins a pre-token, so a text may be cut before it. Each task counts its ids as it goes. (2)
 These counts are summed and the ids ranked, commonest first. (3) documents are dealt out by ranges of doc_id,
 sorted, and written in blocks: ranks below 2**8, 2**16, 2**24 take one, two,
 three bytes, others four; the lengths stand apart as two bits an id in control
@@ -46,7 +45,7 @@ END_ID = 2
 BLOCK_IDS = 1_000_000
 #: bytes of text that are encoded at once, but for longer texts.
 SLICE_BYTES = 4 << 20
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r" (?=\S)")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -104,7 +103,7 @@ class ChunkEncoder:
         self.after: dict[str, bytes] = {}  # what follows a space, which is part of it
         self.old: dict[str, bytes] = {}
         self.size = 0
-        self.marks: dict[str, bytes] = {}  # punctuation behind letters
+        self.marks: dict[str, bytes] = {}  # punctuation behind letters, white space before a space
         self.letters = _byte_letters()
         self.newline = self.raw(["\n"])[0]
 
@@ -129,13 +128,22 @@ class ChunkEncoder:
         if not tail:
             return ids
         if tail not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[tail] = self.raw([tail])[0]
+            self._mark(tail)
         return ids + self.marks[tail]
 
+    def _mark(self, text: str) -> None:
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        self.marks[text] = self.raw([text])[0]
+
     def part(self, part: str) -> bytes:
-        """ids of a space and a part that neither begins nor ends with white space."""
+        """ids of a space and a part that does not begin with white space."""
+        core = part.rstrip(" \n\r\t")
+        if len(core) < len(part) and not _unsound(core):  # what is behind it is a pre-token of its own
+            gap = part[len(core) :]
+            if gap not in self.marks:
+                self._mark(gap)
+            return (self.after.get(core) or self.old.get(core) or self.part(core)) + self.marks[gap]
         ids = self._plain(part, " ")
         if ids is None and "\n" in part:
             lines = part.split("\n")  # a newline between other characters is a pre-token of its own
@@ -159,11 +167,10 @@ class ChunkEncoder:
     def _apart(self, text: str, special: bool) -> bytes:
         """ids of a text that not every space cuts."""
         head, *parts = [text] if special else _CUT.split(text)
-        last = [parts.pop()] if parts and _unsound(parts[-1]) else []  # is not remembered
         known = dict(zip(parts, map(self.after.get, parts), strict=True))
         new = [x for x, ids in known.items() if ids is None]
         known.update(zip(new, self._add(new), strict=True))
-        return b"".join([self.raw([head])[0], *map(known.__getitem__, parts), *map(self.part, last)])
+        return b"".join([self.raw([head])[0], *map(known.__getitem__, parts)])
 
     def encode_array(self, texts: pa.StringArray, end: bytes = b"") -> pa.BinaryArray:
         """ids of each text, with ``end`` behind them."""
@@ -182,7 +189,7 @@ class ChunkEncoder:
         special = np.zeros(n, bool)  # has an id of its own, which cuts differ from
         for x in self.special:
             special |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
-        apart = special | np.fromiter(map(_unsound, heads), bool, n)
+        apart = special.copy()
         behind = np.repeat(~apart, lengths)  # chunks behind a space, in texts that every space cuts
         behind[firsts] = False
 
@@ -195,7 +202,7 @@ class ChunkEncoder:
         names = parts[used].tolist()
         ids = list(map(self.after.get, names))
         new = [k for k, x in enumerate(ids) if x is None]
-        unsound = [k for k in new if names[k][:1] in _SPACES or names[k][-1:] in _SPACES]
+        unsound = [k for k in new if names[k][:1] in _SPACES]  # after two spaces, or before other white space
         if unsound:  # no others of their texts are needed
             odd = np.zeros(len(parts), bool)
             odd[used[unsound]] = True
